@@ -6,17 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import exact_dedup
+from corvane.llm import exact_dedup, simhash, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.report(_documents(spark, sf_dir))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(_documents(spark, sf_dir))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(_documents(spark, sf_dir))
+
+
 OP7_SQL = """
 select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
        doc_id = max(doc_id) over g as kept, sha256(t) as text_sha256
@@ -26,7 +34,11 @@ window g as (partition by t)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_exact_dedup": op7_exact_dedup}
+    return {
+        "op1_token_counts": op1_token_counts,
+        "op7_exact_dedup": op7_exact_dedup,
+        "op8_simhash": op8_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
