@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import exact_dedup, simhash, tokens
+from corvane.llm import exact_dedup, mixing, packing, secrets, sharding, simhash, syncmers, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.report(_documents(spark, sf_dir))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(_documents(spark, sf_dir))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.report(_documents(spark, sf_dir))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(_documents(spark, sf_dir))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(_documents(spark, sf_dir))
 
@@ -25,6 +37,14 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(_documents(spark, sf_dir))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(_documents(spark, sf_dir))
+
+
 OP7_SQL = """
 select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
        doc_id = max(doc_id) over g as kept, sha256(t) as text_sha256
@@ -33,13 +53,68 @@ window g as (partition by t)
 """
 
 
+OP4_SQL = r"""
+with sizes as materialized (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from documents),
+per as (select source, sum(size)::bigint as z, count(*) as n from sizes group by source),
+ranked as (select *, row_number() over (order by source nulls last) - 1 as rank from per),
+weighed as (select *, [3, 1, 2][(rank % 3 + 1)::int] as w, 2 * z as cap, sum(z) over () * 1.5::double as total from ranked),
+levels as (
+  select *, total - coalesce(sum(cap) over b, 0) as left_, sum(w) over () - coalesce(sum(w) over b, 0) as w_left
+  from weighed window b as (order by cap / w, rank rows between unbounded preceding and 1 preceding)),
+level as (select left_ as l, w_left as wl from levels where cap * w_left > left_ * w order by cap / w, rank limit 1),
+target as (
+  select source, rank, n, z, w, cap, case when cap * w_left <= left_ * w then cap::double else w * (select l from level) / (select wl from level) end as target
+  from levels),
+sized as (
+  select *, greatest(1, least(2048, floor(coalesce((select min(target) from target where target > 0), 0) / 200)))::bigint as block from target),
+seats as (select *, floor((select sum(target) from target) / block + 0.5)::bigint as seats, ceil(n / 4096.0)::bigint as shards from sized),
+quota as (
+  select rank, count(*) as quota from (
+    select rank, row_number() over (order by target / (2 * s - 1) desc, rank, s) as place, seats
+    from (select rank, target, seats, unnest(range(1, seats + 1)) as s from seats where target > 0))
+  where place <= seats group by rank),
+placed as (
+  select s.doc_id, s.size, t.rank, t.z, t.target, t.block, coalesce(q.quota, 0) as quota,
+         ('0x' || substr(md5('mix-1/shard' || chr(1) || coalesce(s.doc_id::varchar, '') || chr(1) || s.size::varchar), 1, 12))::bigint % t.shards as shard,
+         ('0x' || substr(md5('mix-1/order' || chr(1) || coalesce(s.doc_id::varchar, '') || chr(1) || s.size::varchar), 1, 12))::bigint as line
+  from sizes s join seats t on s.source is not distinct from t.source left join quota q on q.rank = t.rank),
+shard as (select rank, shard, quota, block, sum(size)::bigint as size from placed group by all),
+shard_quota as (
+  select rank, shard, count(*) as blocks from (
+    select rank, shard, quota, row_number() over (partition by rank order by size / (2 * s - 1) desc, shard, s) as place
+    from (select rank, shard, quota, size, unnest(range(1, quota + 1)) as s from shard where size > 0))
+  where place <= quota group by all),
+passes as (
+  select s.rank, s.shard, m, least(coalesce(blocks, 0), 2 * m) as blocks,
+         ('0x' || substr(md5('mix-1/phase' || chr(1) || s.rank::varchar || chr(1) || s.shard::varchar), 1, 12))::bigint % greatest(m, 1) as phase
+  from (select *, ceil(size / block)::bigint as m from shard) s left join shard_quota q on q.rank = s.rank and q.shard = s.shard),
+lined as (
+  select p.*, m, phase, case when m > 0 then blocks // m else 0 end as passes, case when m > 0 then blocks % m else 0 end as q,
+         sum(size) over (partition by p.rank, p.shard order by line, doc_id rows between unbounded preceding and current row) - size as b
+  from placed p join passes s on p.rank = s.rank and p.shard = s.shard),
+ends as (
+  select *, case when q > 0 then floor(((b // block) * q + phase) / m) end as c0, case when q > 0 then floor(((b // block + 1) * q + phase) / m) end as c1,
+         case when q > 0 then floor((((b + size) // block) * q + phase) / m) end as d0, case when q > 0 then floor((((b + size) // block + 1) * q + phase) / m) end as d1
+  from lined)
+select doc_id, size::bigint as size, z as source_size, round(target, 6) as target,
+       (passes * size + case when q > 0 then (d0 * block + (d1 - d0) * ((b + size) % block)) - (c0 * block + (c1 - c0) * (b % block)) else 0 end)::bigint as taken
+from ends
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op4_mixing": op4_mixing,
+        "op5_fingerprints": op5_fingerprints,
+        "op6_sharding": op6_sharding,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_simhash": op8_simhash,
+        "op9_packing": op9_packing,
+        "op10_secrets": op10_secrets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op4_mixing": OP4_SQL, "op7_exact_dedup": OP7_SQL}
