@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import materialize, text_or_empty
-from corvane.llm.tokens import CACHED_CHARS, Cache, pre_tokens, tokenizer_path
+from corvane.llm.tokens import Cache, pre_tokens, tokenizer_path
 
 WINDOW = 2048
 OPEN = 64
@@ -53,8 +53,7 @@ def ids_of(path: str, text: str) -> bytes:
     except KeyError:
         cache.learn(pieces)
         ids = b"".join(map(cache.__getitem__, pieces))
-        if len(text) > CACHED_CHARS * len(pieces):
-            cache.forget_long([p for p in pieces if len(p) > CACHED_CHARS])
+        cache.forget_long(pieces)
         return ids
 
 

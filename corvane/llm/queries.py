@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import exact_dedup, mixing, packing, secrets, sharding, simhash, syncmers, tokens
+import corpus_pipeline
+from corvane.llm import exact_dedup, langid, mixing, packing, secrets, sharding, simhash, syncmers, tokens, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +18,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.report(_documents(spark, sf_dir))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(_documents(spark, sf_dir))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_documents(spark, sf_dir))
 
@@ -45,6 +54,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 OP7_SQL = """
 select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
        doc_id = max(doc_id) over g as kept, sha256(t) as text_sha256
@@ -106,6 +119,8 @@ from ends
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_language": op2_language,
+        "op3_toxicity": op3_toxicity,
         "op4_mixing": op4_mixing,
         "op5_fingerprints": op5_fingerprints,
         "op6_sharding": op6_sharding,
@@ -113,6 +128,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_packing": op9_packing,
         "op10_secrets": op10_secrets,
+        "pipeline": pipeline,
     }
 
 

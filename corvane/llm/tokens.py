@@ -85,8 +85,10 @@ class Cache(dict):
         self.update(zip(unknown, map(self.value, encode_each(self.path, unknown)), strict=True))
 
     def forget_long(self, pieces: list[str]) -> None:
+        """Long pre-tokens are not kept, so that the cache is bounded in bytes too."""
         for p in pieces:
-            self.pop(p, None)
+            if len(p) > CACHED_CHARS:
+                self.pop(p, None)
 
 
 _caches: dict[object, Cache] = {}
@@ -99,8 +101,7 @@ def _count(cache: Cache, text: str) -> int:
     except KeyError:
         cache.learn(pieces)
         n = sum(map(cache.__getitem__, pieces))
-        if len(text) > CACHED_CHARS * len(pieces):
-            cache.forget_long([p for p in pieces if len(p) > CACHED_CHARS])
+        cache.forget_long(pieces)
         return n
 
 
