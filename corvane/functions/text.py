@@ -5,12 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words that a mission text must not give away. Fixed values.
+# --- fixed values -------------------------------------------------------------------------------
+#: What gives a formal description away, in any case.
 LEAKS = (
-    "behavior tree", "behaviour tree", "xml", "subtree", "parallel node", "sequence node", "fallback", "precondition", "predicate",
-    "strips", "pddl", "planner", "ground truth", "moveto", "pickup", "placedown", "handover", "copickup", "comoveto", "coplacedown", "clearpath",
+    r"\(:", r"\bPDDL\b", r"\bSTRIPS\b", r"\bprecondition", r"\bpredicate", "∀", "∃", "∧", "∨", "¬", "→", "<root", "<Sequence", "<Fallback",
+    "<BehaviorTree", r"\bitem_at\b", r"\bcan_reach\b", r"\bco_carrying\b", r"\bcarrying\(", r"\bat\(", r"\bconnected\(",
 )
-STOP_WORDS = ("the", "a", "an", "at", "in", "of", "to", "robot", "robots", "named", "called")
+#: Words that are no part of a name.
+STOP_WORDS = tuple(
+    "at the a an to where you your start starts take it directly and connects connect is are in on of wakes already left into one two has have exits "
+    "exit straight through coordinate routes each other watch for be ready retry may fumble between only available report when both items places place "
+    "avoid unnecessary delays shared corridors charging station stations recharging recharge set leads lead links link linked joins joined begin begins "
+    "from mission objective objectives relocate relocates deposit plan approach transport execute use layout damaging property needed need must will "
+    "then next finally first second team robots robot wake started beginning".split()
+)
+#: Names that a renamed skill can take.
+RENAMES = {
+    "PickUp": ("FetchItem", "GrabItem", "RetrieveItem", "CollectItem", "AcquireItem"),
+    "PlaceDown": ("PlaceItem", "DepositItem", "DeliverItem", "SetItemDown", "UnloadItem"),
+    "MoveTo": ("DriveTo", "NavigateTo", "TravelTo", "GoTo"),
+    "Recharge": ("PowerUp", "ChargeUp", "DockAndCharge", "RechargeBattery"),
+    "ClearPath": ("ClearDebris", "UnblockPath", "RemoveDebris", "OpenPath"),
+}
+# -------------------------------------------------------------------------------------------------
 
 
 def stripped(text: Column) -> Column:

@@ -12,13 +12,18 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.plans.compiler import compile_tree
 from corvane.plans.judge import judge
 from corvane.plans.world import DOMAINS, sample_mission, world_of
 
-VERDICT = "struct<success: boolean, reason: string, ticks: long, recoveries: long>"
-EVENT = "array<struct<name: string, binding: map<string,string>, result: string, missing: array<string>, note: string>>"
+_STR, _LONG = T.StringType(), T.LongType()
+VERDICT = T.StructType([T.StructField(n, t) for n, t in (("success", T.BooleanType()), ("reason", _STR), ("ticks", _LONG), ("recoveries", _LONG))])
+_EVENT = T.StructType([T.StructField(n, t) for n, t in (
+    ("name", _STR), ("binding", T.MapType(_STR, _STR)), ("result", _STR), ("missing", T.ArrayType(_STR)), ("note", _STR))])
+TRACED = T.StructType([T.StructField(n, t) for n, t in (
+    ("verdict", VERDICT), ("trace", T.ArrayType(_EVENT)), ("places", T.ArrayType(_STR)), ("reach", T.ArrayType(_STR)))])
 # fixed values: share of the tiers T1, T2, T3 by split
 MIX = {"train": (0.3, 0.5, 0.2), "val": (0.3, 0.5, 0.2), "test": (0.2, 0.4, 0.4)}
 
@@ -30,7 +35,7 @@ def verdict(meta: pd.Series, xml: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["success", "reason", "ticks", "recoveries"])
 
 
-@F.pandas_udf(f"struct<verdict: {VERDICT}, trace: {EVENT}, places: array<string>, reach: array<string>>")
+@F.pandas_udf(TRACED)
 def traced(meta: pd.Series, xml: pd.Series) -> pd.DataFrame:
     """The verdict with the events of the leaves, and what the classifier must know of the world."""
     out = []

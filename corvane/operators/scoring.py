@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,8 +54,6 @@ def nearest(train: DataFrame, val: DataFrame, key: str, vector: str, k: int, met
     """
     if metric not in ("cosine", "euclid"):
         raise ValueError(f"no such metric: {metric}")
-    import pandas as pd
-
     blocks = val.select(F.col(vector).cast("array<double>").alias("v")).withColumn("_b", F.floor(F.rand(0) * F.greatest(F.lit(1), F.ceil(F.lit(val.count()) / block))))
     packed = blocks.groupBy("_b").agg(F.collect_list("v").alias("_block"))  # about block rows each
     rows = train.select(F.col(key), F.col(vector).cast("array<double>").alias("_v")).join(F.broadcast(packed.select("_block")), F.lit(True))

@@ -1,31 +1,555 @@
-"""All registered queries and the SQL that checks them."""
+"""All registered queries over the driver's tables, and the SQL that checks them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-GROUP_SUCCESS = """
-select d.lang, d.source, count(*) as n, cast(sum(l.quality) as bigint) as ok,
-       round(cast(sum(l.quality) as double) / greatest(count(*), 1), 6) as success_rate
-from documents d join labels l on d.doc_id = l.doc_id
-group by grouping sets ((d.lang, d.source), (d.lang), (d.source), ())
-"""
+from corvane.functions import text as T
+from corvane.functions.ranking import buckets, draw, midrank
+from corvane.operators import graph, metrics, missions, sampling, scoring
+from corvane.plans import inline
 
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
 
-def tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
-    for name in names:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
+def query(sql: str | None = None):
+    """Registers a function (table reader, spark) -> DataFrame under its name."""
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    def group_success(spark, sf_dir):
-        tables(spark, sf_dir, "documents", "labels")
-        return spark.sql(GROUP_SUCCESS)
+    def register(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark)
 
-    return {"group_success": group_success}
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _r(c, n: int = 6):
+    return F.round(c, n)
+
+
+# --- metrics -------------------------------------------------------------------------------------
+
+
+@query("""
+select d.lang, d.source, count(*) as n, sum(l.quality)::bigint as ok, round(sum(l.quality)::double / greatest(count(*), 1), 6) as success_rate
+from documents d join labels l on d.doc_id = l.doc_id group by grouping sets ((d.lang, d.source), (d.lang), (d.source), ())""")
+def group_success(t, spark):
+    joined = t("documents").select("doc_id", "lang", "source").join(t("labels").select("doc_id", "quality"), "doc_id")
+    return metrics.group_success(joined, "quality", ["lang", "source"])
+
+
+@query("""
+select reason, sum((not success)::int)::bigint as failures, count(*) as n from (
+  select quality = 1 and toxic = 0 as success, case when toxic = 1 then 'toxic' when quality = 0 then 'low_quality' else 'goal_reached' end as reason from labels)
+group by reason""")
+def fail_histogram(t, spark):
+    rows = t("labels").select(
+        ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("success"),
+        F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low_quality").otherwise("goal_reached").alias("reason"),
+    )
+    return metrics.fail_histogram(rows, "success", "reason")
+
+
+def _pairs(t):
+    docs = t("documents").select("doc_id", "lang")
+    return t("labels").join(docs, "doc_id").select("doc_id", "lang", (F.col("quality") == 1).alias("a"), (F.col("toxic") == 0).alias("b"))
+
+
+_CONTINGENCY = """
+select lang, count(*) as n, sum((a and b)::int)::bigint as "both", sum((a and not b)::int)::bigint as a_only,
+       sum((b and not a)::int)::bigint as b_only, sum((not a and not b)::int)::bigint as neither
+from (select d.lang, l.quality = 1 as a, l.toxic = 0 as b from labels l join documents d on d.doc_id = l.doc_id)
+group by rollup (lang)"""
+
+
+@query(_CONTINGENCY)
+def contingency(t, spark):
+    return metrics.contingency(_pairs(t), "a", "b", "lang")
+
+
+@query(f"""
+select lang, a_only, b_only,
+  round(case when a_only + b_only = 0 then 1 else least(1, 2 * list_sum(list_transform(range(0, least(a_only, b_only) + 1),
+    lambda i: exp(lgamma(a_only + b_only + 1) - lgamma(i + 1) - lgamma(a_only + b_only - i + 1) - (a_only + b_only) * ln(2))))) end, 6) as p
+from ({_CONTINGENCY})""")
+def mcnemar_exact(t, spark):
+    cells = metrics.contingency(_pairs(t), "a", "b", "lang")
+    return cells.select("lang", "a_only", "b_only", _r(metrics.mcnemar(F.col("a_only"), F.col("b_only"))).alias("p"))
+
+
+@query("""
+select sum((l.doc_id is null)::int)::bigint as left_only, sum((d.doc_id is null)::int)::bigint as right_only, 0::bigint as different
+from documents d full join labels l on d.doc_id = l.doc_id""")
+def paired_alignment_check(t, spark):
+    return metrics.alignment_violations(t("documents"), t("labels"), "doc_id")
+
+
+@query("""
+with s as (select event_type, value, row_number() over (partition by event_type order by value, event_id) - 1 as r, count(*) over (partition by event_type) as n from events)
+select event_type, any_value(n) as n, round(avg(value), 6) as mean, max(case when r = floor(n * 0.5) then value end) as median, max(case when r = floor(n * 0.9) then value end) as p90
+from s group by event_type""")
+def order_stats_latency(t, spark):
+    return metrics.order_statistics(t("events").select("event_type", "value", "event_id"), "event_type", "value", "event_id")
+
+
+_BOOT = """
+with rows_ as (select row_number() over (order by doc_id) - 1 as r, (quality = 1)::int - (toxic = 0)::int as diff from labels),
+n as (select count(*) as n from rows_),
+drawn as (select id // n as b, floor(('0x' || substr(md5('boot:' || id), 1, 13))::bigint / pow(16, 13) * n)::bigint as r from n, range(200 * (select n from n)) t(id)),
+means as (select b, avg(diff) as m from drawn join rows_ using (r) group by b)
+select round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.975), 6) as high, count(*) as rounds, (select round(avg(diff), 6) from rows_) as difference from means"""
+
+
+@query(_BOOT)
+def bootstrap_ci(t, spark):
+    from corvane.functions.ranking import ordinal
+
+    rows = t("labels").select("doc_id", (F.col("quality") == 1).alias("a"), (F.col("toxic") == 0).alias("b"))
+    return metrics.bootstrap_ci(ordinal(rows, ["doc_id"], "row"), "a", "b", "row", 200, "boot")
+
+
+@query("""
+select round(quantile_cont(l_extendedprice, 0.1), 6) as p10, round(quantile_cont(l_extendedprice, 0.5), 6) as p50, round(quantile_cont(l_extendedprice, 0.9), 6) as p90,
+       round(avg(l_extendedprice), 6) as mean, round(median(case when l_discount > 1e-8 then l_discount end), 6) as positive_median from lineitem""")
+def percentiles(t, spark):
+    rows = t("lineitem").select("l_extendedprice", "l_discount")
+    p = F.expr("percentile(l_extendedprice, array(0.1, 0.5, 0.9))")
+    out = rows.agg(p.alias("p"), _r(F.avg("l_extendedprice")).alias("mean"), _r(F.median(F.when(F.col("l_discount") > 1e-8, F.col("l_discount")))).alias("positive_median"))
+    return out.select(*[_r(F.col("p")[i]).alias(c) for i, c in enumerate(("p10", "p50", "p90"))], "mean", "positive_median")
+
+
+# --- ranks, buckets, scores ------------------------------------------------------------------------
+
+
+@query("select o_orderkey, round((row_number() over (order by o_totalprice, o_orderkey) - 0.5::double) / count(*) over (), 9) as midrank from orders")
+def midrank_orders(t, spark):
+    return midrank(t("orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey").select("o_orderkey", _r("midrank", 9).alias("midrank"))
+
+
+_BUCKETED = "select doc_id, lang, n_chars, (ntile(4) over (order by n_chars, doc_id) - 1)::int as bucket from documents"
+
+
+def _bucketed(t):
+    return buckets(t("documents").select("doc_id", "lang", "source", "n_chars"), "n_chars", "doc_id", 4)
+
+
+@query(f"select bucket, count(*) as n, round(avg(n_chars), 6) as mean_difficulty, min(n_chars) as least, max(n_chars) as most from ({_BUCKETED}) group by bucket")
+def quantile_buckets(t, spark):
+    return _bucketed(t).groupBy("bucket").agg(F.count("*").alias("n"), _r(F.avg("n_chars")).alias("mean_difficulty"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
+
+
+@query(f"""
+select b.bucket, l.lang, count(d.doc_id) as n from (select unnest(range(4))::int as bucket) b cross join (select distinct lang from documents) l
+left join ({_BUCKETED}) d on d.bucket = b.bucket and d.lang = l.lang group by b.bucket, l.lang""")
+def crosstab_dense(t, spark):
+    rows = _bucketed(t)
+    cells = spark.range(4).select(F.col("id").cast("int").alias("bucket"), F.explode(F.lit([r.lang for r in rows.select("lang").distinct().limit(1000).collect()])).alias("lang"))
+    counts = rows.groupBy("bucket", "lang").agg(F.count("*").alias("n"))
+    return cells.join(counts, ["bucket", "lang"], "left").select("bucket", "lang", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+@query("""
+with r as (select row_number() over (order by p_size, p_partkey) as a, row_number() over (order by p_retailprice, p_partkey) as b from part)
+select round(corr(a, b), 6) as rank_correlation from r""")
+def rank_corr(t, spark):
+    rows = midrank(midrank(t("part").select("p_partkey", "p_size", "p_retailprice"), "p_size", "p_partkey", "a"), "p_retailprice", "p_partkey", "b")
+    return rows.agg(_r(F.corr("a", "b")).alias("rank_correlation"))
+
+
+@query("""
+with r as (select p_partkey, (row_number() over (order by p_size, p_partkey) - 0.5::double) / count(*) over () as a,
+  (row_number() over (order by p_retailprice, p_partkey) - 0.5::double) / count(*) over () as b from part)
+select p_partkey, round(0.5::double * a + 0.5::double * b, 6) as fused from r""")
+def pca_fuse_two(t, spark):
+    fused = scoring.fused_midranks(t("part").select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"], "p_partkey")
+    return fused.select("p_partkey", _r("fused").alias("fused"))
+
+
+@query()
+def pca_fuse_many(t, spark):
+    columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    rows = t("lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row"), *columns)
+    return scoring.fuse(scoring.zscores(rows, rows, "l_quantity", "l_quantity"), columns).select("row", _r("fused").alias("fused"))
+
+
+@query("""
+with s as (select avg(c_acctbal) as m, stddev_pop(c_acctbal) as d from customer)
+select s_suppkey, round((s_acctbal - m) / case when d < 1e-6 then 1 else d end, 6) as z from supplier, s""")
+def zscore(t, spark):
+    train = t("customer").select(F.col("c_acctbal").alias("v"))
+    return scoring.zscores(train, t("supplier").select("s_suppkey", F.col("s_acctbal").alias("v")), "v").select("s_suppkey", _r("z").alias("z"))
+
+
+_IDF = """
+with n as (select count(*)::double as n from documents),
+words as (select distinct doc_id, unnest(string_split_regex(text, '\\s+')) as token from documents)
+select token, count(*) as df, ln((any_value(n.n) + 1) / (count(*) + 1)) as idf from words, n where token <> '' group by token"""
+
+
+@query(f"select token, df, round(idf, 6) as idf from ({_IDF})")
+def idf(t, spark):
+    return scoring.token_idf(t("documents").select("doc_id", "text"), "doc_id", "text").withColumn("idf", _r("idf"))
+
+
+@query(f"""
+with idf as ({_IDF}),
+tokens as (select doc_id, token, length(token)::double as x, token like '%e%' as target from (select distinct doc_id, unnest(string_split_regex(text, '\\s+')) as token from documents) where token <> ''),
+used as (select * from (select *, bool_or(target) over (partition by doc_id) as has from tokens) where target or not has),
+weighted as (select u.*, case when sum(i.idf) over (partition by doc_id) > 0 then i.idf else 1 end as w from used u join idf i on i.token = u.token)
+select doc_id, round(sum(w * x) / greatest(sum(w), 1), 6) as score from weighted group by doc_id""")
+def idf_weighted_mean(t, spark):
+    docs = t("documents").select("doc_id", "text")
+    words = F.array_distinct(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    tokens = docs.select("doc_id", F.explode(words).alias("token")).join(scoring.token_idf(docs, "doc_id", "text"), "token")
+    tokens = tokens.select("doc_id", F.length("token").cast("double").alias("x"), "idf", F.col("token").contains("e").alias("target"))
+    return scoring.weighted_mean(tokens, "doc_id", "x", "idf", "target").select("doc_id", _r("score").alias("score"))
+
+
+def _knn_sql(distance: str) -> str:
+    return f"""
+with e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings),
+pairs as (select t.vec_id, {distance} as d, row_number() over (partition by t.vec_id order by {distance}, q.vec_id) as r from e t, e q where t.vec_id % 10 <> 0 and q.vec_id % 10 = 0),
+near as (select * from pairs where r <= 5), s as (select median(d) as s from near where d > 1e-8)
+select vec_id, round(avg(case when s is null then 1 else exp(-d * d / (2 * s * s)) end), 5) as utility from near, s group by vec_id"""
+
+
+def _knn(t, metric):
+    rows = t("embeddings").select("vec_id", "embedding")
+    out = scoring.knn_utility(rows.where("vec_id % 10 != 0"), rows.where("vec_id % 10 = 0"), "vec_id", "embedding", 5, metric)
+    return out.select("vec_id", _r("utility", 5).alias("utility"))
+
+
+@query(_knn_sql("sqrt(greatest(0, 2 - 2 * list_inner_product(t.v, q.v)))"))
+def knn_utility_cosine(t, spark):
+    return _knn(t, "cosine")
+
+
+@query(_knn_sql("list_distance(t.v, q.v)"))
+def knn_utility_euclid(t, spark):
+    return _knn(t, "euclid")
+
+
+_HASH = "('0x' || substr(md5('{0}:' || {1}), 1, 13))::bigint / pow(16, 13)"
+
+
+@query(f"""
+with u as (select doc_id, n_chars, {_HASH.format("utility", "doc_id")} as u from documents),
+r as (select doc_id, (row_number() over (order by n_chars, doc_id) - 0.5::double) / count(*) over () as rank_d, (row_number() over (order by u, doc_id) - 0.5::double) / count(*) over () as rank_u from u)
+select doc_id, round(rank_d / greatest(rank_u, 1e-12), 6) as due from r""")
+def due_order(t, spark):
+    rows = t("documents").select("doc_id", "n_chars", draw("utility", "doc_id").alias("u"))
+    return scoring.due_order(rows, "n_chars", "u", "doc_id").select("doc_id", _r("due").alias("due"))
+
+
+@query()
+def expanding_window(t, spark):
+    return sampling.expanding_window(t("documents").select("doc_id"), "doc_id", 0.8, 4, "42")
+
+
+@query(f"""
+with w as (select doc_id, n_chars::double as w from documents), c as (select doc_id, w, sum(w) over (order by doc_id) as hi from w),
+u as (select id as draw, {_HASH.format("42", "id")} * (select max(hi) from c) as u from range(500) t(id))
+select draw, doc_id from u join c on hi - w <= u and u < hi""")
+def weighted_draw(t, spark):
+    return sampling.weighted_draws(t("documents").select("doc_id", F.col("n_chars").cast("double").alias("w")), "doc_id", "w", 500, "42")
+
+
+@query(f"""
+select bucket, m, round(case when m > 1 then 1 + (m - 1) * least(1, greatest(0, r)) else m end, 6) as dose
+from (values (0, 0.5, 0.2), (1, 0.75, 0.4), (2, 1.5, 0.9), (3, 3.0, 1.2)) v(bucket, m, r)""")
+def dose_gate(t, spark):
+    rows = spark.createDataFrame([(0, 0.5, 0.2), (1, 0.75, 0.4), (2, 1.5, 0.9), (3, 3.0, 1.2)], "bucket int, m double, r double")
+    return rows.select("bucket", "m", _r(scoring.gated_dose(F.col("m"), F.col("r"))).alias("dose"))
+
+
+@query(f"""
+with per as (select bucket, count(*) as n, avg(n_chars / 1000.0::double) / greatest(avg({_HASH.format("utility", "doc_id")}), 1e-12) as raw from ({_BUCKETED}) group by bucket)
+select bucket, n, round(raw / (sum(raw * n) over () / sum(n) over ()), 5) as dose from per""")
+def dose_adaptive(t, spark):
+    rows = _bucketed(t).withColumn("d", F.col("n_chars") / 1000.0).withColumn("u", draw("utility", "doc_id"))
+    return scoring.adaptive_dose(rows, "bucket", "d", "u", False).select("bucket", "n", _r("dose", 5).alias("dose"))
+
+
+def _window_sql(where: str, dose: str) -> str:
+    return f"""
+with p as (select doc_id, greatest({dose}[bucket_at::int + 1], 1e-6) as w from (select *, {where[1]} as bucket_at from ({_BUCKETED})) where {where[0]}),
+c as (select doc_id, w, sum(w) over (order by doc_id) as hi from p),
+u as (select id as draw, {_HASH.format("round", "id")} * (select max(hi) from c) as u from range(300) t(id))
+select draw, doc_id from u join c on hi - w <= u and u < hi"""
+
+
+@query(_window_sql(("bucket < 2", "bucket"), "[1.0::double, 1.0]"))
+def window_prefix(t, spark):
+    return scoring.draw_round(_bucketed(t), "doc_id", "bucket", 4, 2, [1.0, 1.0], 300, "round")
+
+
+@query(_window_sql(("bucket >= 2", "3 - bucket"), "[1.0::double, 2.0]"))
+def window_reverse(t, spark):
+    return scoring.draw_round(_bucketed(t), "doc_id", "bucket", 4, 2, [1.0, 2.0], 300, "round", reverse=True)
+
+
+@query(_window_sql(("true", "bucket"), "[0.5::double, 0.75, 1.5, 3.0]"))
+def window_mixture(t, spark):
+    return scoring.draw_round(_bucketed(t), "doc_id", "bucket", 4, 4, [0.5, 0.75, 1.5, 3.0], 300, "round", mixture=True)
+
+
+# --- samples ---------------------------------------------------------------------------------------
+
+
+@query(f"""
+select doc_id, source from (select doc_id, source, row_number() over (partition by source order by {_HASH.format("123", "doc_id")}, doc_id) as r, count(*) over (partition by source) as n from documents)
+where r <= greatest(1, round_even(n * 0.1::double, 0))""")
+def stratified_sample(t, spark):
+    return sampling.stratified(t("documents").select("doc_id", "source"), "source", "doc_id", 0.1, "123")
+
+
+@query("select event_type, event_id from (select *, row_number() over (partition by event_type order by event_id) as r from events) where r <= 120")
+def first_n_per_group(t, spark):
+    return sampling.first_per_group(t("events").select("event_type", "event_id"), "event_type", "event_id", 120)
+
+
+@query("select p_partkey, ['FetchItem', 'GrabItem', 'RetrieveItem', 'CollectItem', 'AcquireItem'][((row_number() over (partition by p_brand order by p_partkey) - 1) % 5 + 1)::int] as skill from part")
+def round_robin(t, spark):
+    return sampling.round_robin(t("part").select("p_partkey", "p_brand"), "p_brand", "p_partkey", list(T.RENAMES["PickUp"]), "skill").select("p_partkey", "skill")
+
+
+@query("select lang, sha256(text) as text_key, min(doc_id) as doc_id, count(*) as n from documents group by lang, sha256(text)")
+def dedup_first(t, spark):
+    return sampling.first_of_equal(t("documents").select("doc_id", "lang", "text"), ["lang"], "text", "doc_id")
+
+
+@query("select doc_id, case when n_chars > 3000 then 'long/' || source else source end as source from documents")
+def replace_selected(t, spark):
+    docs = t("documents").select("doc_id", "source", "n_chars")
+    selected = docs.where("n_chars > 3000").select("doc_id", F.concat(F.lit("long/"), F.col("source")).alias("source"))
+    return sampling.replace_selected(docs, selected, "doc_id", "source").select("doc_id", "source")
+
+
+# --- text ------------------------------------------------------------------------------------------
+
+
+@query("""
+select item_id, sha256(strlen(item_id::varchar)::varchar || ':' || item_id::varchar || strlen(text)::varchar || ':' || text) as record_id,
+       sha256(strlen(text)::varchar || ':' || text) as stable_record_id from benchmark""")
+def record_id_hash(t, spark):
+    return t("benchmark").select("item_id", T.record_id(F.col("item_id").cast("string"), F.col("text")).alias("record_id"), T.record_id(F.col("text")).alias("stable_record_id"))
+
+
+@query(r"""
+with s as (select doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') as t from documents)
+select doc_id, length(t) > 60 and length(t) < 2000 and not regexp_matches(t, '(?i)\(:|\bPDDL\b|\bSTRIPS\b|\bprecondition|\bpredicate|∀|∃|∧|∨|¬|→|<root|<Sequence|<Fallback|<BehaviorTree|\bitem_at\b|\bcan_reach\b|\bco_carrying\b|\bcarrying\(|\bat\(|\bconnected\(') as passes from s""")
+def leak_gate(t, spark):
+    return t("documents").select("doc_id", T.passes_gate(F.col("text")).alias("passes"))
+
+
+@query(r"select page_id, sha256(regexp_replace(html, '<(/?)p([\s/>])', '<\1para\2', 'g')) as renamed from pages")
+def tag_rename(t, spark):
+    return t("pages").select("page_id", F.sha2(T.rename_tag(F.col("html"), "p", "para"), 256).alias("renamed"))
+
+
+@query(r"select page_id, len(regexp_extract_all(html, '<[^/!?>][^>]*>')) as n, sha256(array_to_string(regexp_extract_all(html, '<[^/!?>][^>]*>'), '|')) as tags from pages")
+def opening_tags(t, spark):
+    tags = t("pages").select("page_id", T.opening_tags(F.col("html")).alias("o"))
+    return tags.select("page_id", F.size("o").cast("long").alias("n"), F.sha2(F.array_join("o", "|"), 256).alias("tags"))
+
+
+@query(r"""
+with n as (select page_id, list_transform(regexp_extract_all(html, '<([A-Za-z][A-Za-z0-9]*)[\s/>]', 1), lambda x: lower(x)) as names from pages),
+c as (select page_id, len(list_filter(names, lambda x: x in ('a', 'link'))) as n_sync, len(list_filter(names, lambda x: x in ('ul', 'ol', 'table'))) as n_co,
+  len(list_filter(names, lambda x: x in ('form', 'nav', 'aside'))) as n_fb, len(names) as n_nodes from n)
+select page_id, n_sync, n_co, n_fb, n_nodes, case when n_fb > 0 then 3 when n_sync > 0 or n_co > 0 then 2 else 1 end as stage from c""")
+def tag_features_stage(t, spark):
+    names = t("pages").select("page_id", F.transform(T.tag_names(F.col("html")), F.lower).alias("names"))
+    count = lambda *of: F.size(F.filter("names", lambda x: x.isin(*of))).cast("long")
+    out = names.select("page_id", count("a", "link").alias("n_sync"), count("ul", "ol", "table").alias("n_co"), count("form", "nav", "aside").alias("n_fb"), F.size("names").cast("long").alias("n_nodes"))
+    return out.withColumn("stage", F.when(F.col("n_fb") > 0, 3).when((F.col("n_sync") > 0) | (F.col("n_co") > 0), 2).otherwise(1))
+
+
+@query(r"""
+with t as (select unnest(regexp_extract_all(html, '<[^/!?>][^>]*>')) as t from pages),
+a as (select regexp_extract(t, '^<([A-Za-z][A-Za-z0-9]*)', 1) as tag, regexp_extract_all(t, '\s([A-Za-z-]+)=', 1) as names from t)
+select tag, coalesce(array_to_string(list_sort(list_distinct(flatten(list(names)))), ','), '') as attributes from a where tag <> '' group by tag""")
+def attr_schema(t, spark):
+    return T.attribute_schema(t("pages"), "html")
+
+
+@query(r"""
+select conv_id, regexp_replace(string_agg(role || ': ' || text, chr(10) || chr(10) order by turn, role || ': ' || text), '\s+$', '') || chr(10) || chr(10) || 'assistant:' || chr(10) as prompt
+from conversations group by conv_id""")
+def chat_concat(t, spark):
+    return T.chat_prompt(t("conversations"), "conv_id", "turn", "role", "text")
+
+
+_SENTENCE = "select n_nationkey, 'the ' || replace(lower(n_name), '_', ' ') || ' (n_' || n_nationkey || ') connects to ' || lower(r_name) || ' (r_' || r_regionkey || ')' as s from nation join region on n_regionkey = r_regionkey"
+
+
+def _sentences(t):
+    joined = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    low = F.regexp_replace(F.lower("n_name"), "_", " ")
+    return joined.select("n_nationkey", F.concat(F.lit("the "), low, F.lit(" (n_"), F.col("n_nationkey"), F.lit(") connects to "), F.lower("r_name"), F.lit(" (r_"), F.col("r_regionkey"), F.lit(")")).alias("s"))
+
+
+@query(rf"""
+select n_nationkey, pos, regexp_extract_all(s, '([A-Za-z][A-Za-z ]*?) ?\(([a-z0-9_]+)\)', 1)[pos] as name, regexp_extract_all(s, '([A-Za-z][A-Za-z ]*?) ?\(([a-z0-9_]+)\)', 2)[pos] as id
+from ({_SENTENCE}), (values (1), (2)) p(pos) where pos <= len(regexp_extract_all(s, '([A-Za-z][A-Za-z ]*?) ?\(([a-z0-9_]+)\)'))""")
+def name_id_extract(t, spark):
+    pairs = _sentences(t).select("n_nationkey", F.posexplode(T.names_and_ids(F.col("s"))).alias("pos", "pair"))
+    return pairs.select("n_nationkey", (F.col("pos") + 1).alias("pos"), "pair.name", "pair.id")
+
+
+@query(rf"""
+select n_nationkey, array_to_string(list_filter(string_split_regex(lower(regexp_extract(s, '^([^(]*)', 1)), '\s+'), lambda w: w <> '' and w not in ('the', 'of', 'and')), ' ') as name from ({_SENTENCE})""")
+def clean_name(t, spark):
+    return _sentences(t).select("n_nationkey", T.clean_name(F.regexp_extract("s", r"^([^(]*)", 1)).alias("name"))
+
+
+@query("""
+select n_nationkey, 'Place ' || coalesce(d.shown, n_name) || ' lies in ' || coalesce(r_name, 'nowhere') || '.' as summary
+from nation left join region on n_regionkey = r_regionkey left join (values (0, 'the far south'), (5, 'the horn')) d(k, shown) on d.k = n_nationkey""")
+def facts_summary(t, spark):
+    shown = spark.createDataFrame([(0, "the far south"), (5, "the horn")], "k int, shown string")
+    rows = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left").join(shown, F.col("k") == F.col("n_nationkey"), "left")
+    return rows.select("n_nationkey", F.concat(F.lit("Place "), F.coalesce("shown", "n_name"), F.lit(" lies in "), F.coalesce("r_name", F.lit("nowhere")), F.lit(".")).alias("summary"))
+
+
+@query("""
+with w as (select distinct unnest(string_split(p_name, ' ')) as token from part),
+targets as (select * from (values ('item', 'ite'), ('location', 's'), ('robot', 'al')) t(slot, typed))
+select slot, token from w join targets on starts_with(token, typed) or starts_with(typed, token) where token <> ''""")
+def prefix_mask(t, spark):
+    words = t("part").select(F.explode(F.split("p_name", " ")).alias("token")).where("token != ''").distinct()
+    targets = spark.createDataFrame([("item", "ite"), ("location", "s"), ("robot", "al")], "slot string, typed string")
+    return words.join(F.broadcast(targets), F.col("token").startswith(F.col("typed")) | F.col("typed").startswith(F.col("token"))).select("slot", "token")  # three rows
+
+
+# --- worlds and graphs -----------------------------------------------------------------------------
+
+
+def _graph(spark):
+    inline.views(spark)
+
+
+@query(inline.WITH + graph.SHORTEST.replace("with recursive", ","))
+def bfs_shortest(t, spark):
+    _graph(spark)
+    return spark.sql(graph.SHORTEST)
+
+
+@query(inline.WITH + graph.SIMPLE_PATHS.format(nodes=4).replace("with recursive", ","))
+def simple_paths(t, spark):
+    _graph(spark)
+    return spark.sql(graph.SIMPLE_PATHS.format(nodes=4))
+
+
+@query(inline.WITH + graph.STATION_DISTANCE.replace("with recursive", ","))
+def station_distance(t, spark):
+    _graph(spark)
+    return spark.sql(inline.SPARK_STATION_DISTANCE)
+
+
+@query(inline.WITH + inline.GROUND)
+def ground_actions(t, spark):
+    _graph(spark)
+    return inline.ground(spark)
+
+
+@query(f"""
+with o as (select s_suppkey as k from supplier),
+p as (select k, case when k <= 1 then null else (('0x' || substr(md5('tree:' || k), 1, 13))::bigint % (k - 1)) + 1 end as parent from o)
+select k, parent from p""")
+def spanning_tree(t, spark):
+    h = F.conv(F.substring(F.md5(F.concat(F.lit("tree:"), F.col("k").cast("string"))), 1, 13), 16, 10).cast("long")
+    return t("supplier").select(F.col("s_suppkey").alias("k")).select("k", F.when(F.col("k") > 1, h % F.greatest(F.col("k") - 1, F.lit(1)) + 1).alias("parent"))
+
+
+@query(inline.REPLAY_SQL)
+def plan_replay(t, spark):
+    return inline.replay(spark)
+
+
+@query("""
+with steps as (select * from (values (1, 1, 'alpha', 'a', 'b'), (1, 2, 'alpha', 'b', 'c'), (1, 3, 'beta', 'd', 'c'), (2, 1, 'beta', 'a', 'b'), (2, 2, 'beta', 'b', 'a')) s(task, no, robot, l1, l2))
+select distinct task, 'blocked_edge' as kind, l1 || '>' || l2 as what, null::bigint as most from steps
+union all select task, 'battery', robot, count(*) - 1 from steps group by task, robot having count(*) >= 2""")
+def fault_candidates(t, spark):
+    rows = [(1, 1, "alpha", "a", "b"), (1, 2, "alpha", "b", "c"), (1, 3, "beta", "d", "c"), (2, 1, "beta", "a", "b"), (2, 2, "beta", "b", "a")]
+    steps = spark.createDataFrame(rows, "task int, no int, robot string, l1 string, l2 string")
+    edges = steps.select("task", F.lit("blocked_edge").alias("kind"), F.concat_ws(">", "l1", "l2").alias("what"), F.lit(None).cast("long").alias("most")).distinct()
+    robots = steps.groupBy("task", "robot").agg(F.count("*").alias("n")).where("n >= 2")
+    return edges.unionByName(robots.select("task", F.lit("battery").alias("kind"), F.col("robot").alias("what"), (F.col("n") - 1).alias("most")))
+
+
+@query("""
+select domain, tier, round_even(share * 150, 0)::int as n from (values ('library'), ('greenhouse')) d(domain), (values ('T1', 0.2::double), ('T2', 0.4), ('T3', 0.4)) t(tier, share)""")
+def quotas(t, spark):
+    return missions.quotas(spark, "test", 150)
+
+
+@query()
+def jsonl_validate(t, spark):
+    from corvane.sources import jsonl
+
+    return jsonl.round_trip_report(t("documents").select("doc_id", "text", "lang"))
+
+
+# --- missions --------------------------------------------------------------------------------------
+
+
+@query()
+def corpus_build(t, spark):
+    return missions.build_corpus(spark, "test", 30, "build").select("domain", "tier", "no", "record_id", "ticks", "recoveries")
+
+
+@query()
+def plan_search(t, spark):
+    built = missions.build_corpus(spark, "train", 10, "search")
+    return built.select("domain", "tier", "no", F.get_json_object("meta", "$.scenario").alias("scenario"), F.get_json_object("meta", "$.plan_len").cast("int").alias("plan_len"))
+
+
+@query()
+def bt_compile(t, spark):
+    from corvane.operators import trees
+
+    built = missions.build_corpus(spark, "test", 20, "compile")
+    return trees.features(built, "xml").select("domain", "tier", "no", "n_sync", "n_co", "n_fb", "depth", "n_nodes", "stage")
+
+
+@query()
+def bt_execute(t, spark):
+    from corvane.operators import trees
+
+    runs = trees.damaged(missions.build_corpus(spark, "test", 20, "execute"))
+    return runs.withColumn("v", missions.verdict("meta", "xml")).select("domain", "tier", "no", "damage", "v.success", "v.reason")
+
+
+@query()
+def bt_diagnose(t, spark):
+    from corvane.operators import trees
+
+    runs = trees.damaged(missions.build_corpus(spark, "test", 20, "diagnose"))
+    keyed = runs.withColumn("run", F.concat_ws("/", "domain", "tier", F.col("no").cast("string"), "damage"))
+    return missions.diagnose(keyed, "run")
+
+
+@query()
+def skill_rename(t, spark):
+    from corvane.operators import trees
+
+    return trees.rename_skills(missions.build_corpus(spark, "test", 20, "rename"), 0.5, "123").select("domain", "tier", "no", "renamed_skill", "success")
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"group_success": GROUP_SUCCESS}
+    return dict(ORACLE)
