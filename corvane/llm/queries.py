@@ -116,6 +116,35 @@ from ends
 """
 
 
+def _op10_sql() -> str:
+    """The spans of every kind as rows, weak ones kept where a part of another role is near."""
+    every = secrets.BASE | secrets.WEAK
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    kinds = ", ".join(f"({no}, {quoted(k)}, {quoted(part)}, {least})" for no, (k, (_, _, least, part)) in enumerate(every.items()))
+    found = " union all ".join(
+        f"""select doc_id, {no} as no, regexp_extract_all(t, {quoted(pattern)}) as m, regexp_extract_all(t, {quoted(pattern)}, {group}) as c, string_split_regex(t, {quoted(pattern)}) as gaps from docs"""
+        for no, (pattern, group, _, _) in enumerate(every.values())
+    )
+    return f"""
+with docs as (select doc_id, coalesce(text, '') as t from documents),
+kinds(no, kind, part, least) as (values {kinds}),
+found as ({found}),
+placed as (
+  select doc_id, no, length(c[i]) as n, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as start_, length(m[i]) as size
+  from (select *, unnest(range(1, len(m) + 1)) as i from found)),
+spans as (select p.doc_id, p.no, k.kind, k.part, start_::bigint as s, (start_ + size)::bigint as e, p.no < {len(secrets.BASE)} as base from placed p join kinds k on k.no = p.no where p.n >= k.least),
+apart as (select * from spans w where base or part <> 'secret' or not exists (select 1 from spans b where b.base and b.doc_id = w.doc_id and b.s < w.e and b.e > w.s)),
+linked as (
+  select * from apart w where base or exists (
+    select 1 from apart o where o.doc_id = w.doc_id and (o.part = 'secret') <> (w.part = 'secret') and o.s < w.e + {secrets.REACH} and o.e > w.s - {secrets.REACH})),
+joined as (
+  select doc_id, count(*) filter (where kind = 'assign') as n_assign, count(*) filter (where kind = 'access') as n_access, count(*) filter (where kind = 'hex') as n_hex,
+    string_agg(kind || ':' || s || ':' || e, ',' order by s, no) filter (where base) as base, string_agg(kind || ':' || s || ':' || e, ',' order by s, no) as spans
+  from linked group by doc_id)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from documents d left join joined j on j.doc_id = d.doc_id"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -133,4 +162,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op4_mixing": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op10_secrets": _op10_sql()}
