@@ -43,6 +43,16 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def carried(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns, and the whole row as _all, so that no name of docs meets one of ours."""
+    return docs.select(*needed, F.struct("*").alias("_all"))
+
+
+def one_row() -> Column:
+    """An aggregate: one of the group's rows _all, the same one in every run."""
+    return F.min_by("_all", F.xxhash64(F.to_json("_all"))).alias("_all")
+
+
 # --- a bounded membership filter ---------------------------------------------------------------
 
 #: Bits of the largest filter: 2**28 bits are 32 MiB, in 8,192 rows of 4 KiB.

@@ -12,8 +12,8 @@ have a copy are read for that; a bitmap of bounded size picks them out.
 
 Defined results: null counts as the empty text. Rows that repeat a doc_id together with its text
 are copies, and one of them stays. A null doc_id loses to any other. An empty table gives an empty
-result. Columns beside doc_id and text are carried by the kept rows and may have any name that
-does not begin with an underscore.
+result. Columns beside doc_id and text are carried by the kept rows and may have any name; of rows
+that repeat both, which differ in other columns, one stays, the same in every run.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import build_filter, materialize, text_or_empty, with_filter
+from corvane.llm.common import build_filter, carried, materialize, one_row, text_or_empty, with_filter
 
 CHUNK = 65_536
 #: (modulus, base) of the two hashes.
@@ -210,11 +210,9 @@ def deduplicate(docs: DataFrame, hashes=HASHES, chunk: int = CHUNK) -> DataFrame
     if not n:
         return docs
     table, width = build_filter(F.struct("n_bytes", "row_hash"), several, n)
-    columns = docs.columns
-    marked = with_filter(docs.select("*", *_key()), F.struct("n_bytes", "row_hash"), table, width)
-    alone = marked.where("not _maybe").select(*columns)
+    rows = carried(docs, "doc_id", "text").select("doc_id", "_all", *_key())
+    marked = with_filter(rows, F.struct("n_bytes", "row_hash"), table, width)
     look = several.select(F.col("doc_id").alias("_d"), F.col("n_bytes").alias("_n"), F.col("row_hash").alias("_r"), "stays").distinct()
     maybe = marked.where("_maybe").join(look, F.expr("doc_id <=> _d and n_bytes = _n and row_hash = _r"), "left")
-    return alone.unionByName(maybe.where("stays is null").select(*columns)).unionByName(
-        maybe.where("stays").groupBy("_d", "_n", "_r").agg(F.max(F.struct(*columns)).alias("_row")).select("_row.*").select(*columns)
-    )
+    kept = maybe.where("stays").groupBy("_d", "_n", "_r").agg(one_row())
+    return marked.where("not _maybe").select("_all.*").union(maybe.where("stays is null").select("_all.*")).union(kept.select("_all.*"))

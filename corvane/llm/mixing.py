@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import WORD, materialize, text_or_empty
+from corvane.llm.common import WORD, carried, materialize, text_or_empty
 
 WEIGHTS = (3, 1, 2)
 RATIO = 1.5
@@ -104,10 +104,6 @@ def apportion(votes: DataFrame, within: list[str], seats: str, vote: str, order:
     return out_.drop("_k", "_sum", "_share", "_sure", "_top", "_open", "_won", *[f"_key_{k}" for k in key])
 
 
-def _measured(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("size", n_words(text_or_empty()))
-
-
 def _plan(sizes: DataFrame, weights, ratio, repeats, shard_rows, seed) -> tuple[DataFrame, DataFrame]:
     """(sources with target, shards, block and quota; shards with size, passes, q, m and phase)."""
     per = materialize(targets(sizes, weights, ratio, repeats), "targets")
@@ -160,7 +156,7 @@ def place(sizes: DataFrame, weights=WEIGHTS, ratio=RATIO, repeats=REPEATS, shard
 
 def report(docs: DataFrame, **options) -> DataFrame:
     """One row for each row of docs: doc_id, size, source_size, target, taken."""
-    sizes = materialize(_measured(docs).select("doc_id", "source", "size"), "sizes")
+    sizes = materialize(docs.select("doc_id", "source", n_words(text_or_empty()).alias("size")), "sizes")
     rows = place(sizes, **options)
     taken = F.col("passes") * F.col("size") + F.col("partial")
     return rows.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), taken.cast("long").alias("taken"))
@@ -170,33 +166,28 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed rows, with all columns of docs: a row for each whole pass over a document, and one
     with the chosen words (and the white space before each) where a pass takes only some of them.
     A column n_chars is brought up to date."""
-    columns = docs.columns
-    keyed = _measured(docs).withColumn("_row", F.xxhash64(text_or_empty()))
-    sizes = materialize(keyed.select("doc_id", "source", "size", "_row"), "sizes")
+    whole = carried(docs, "doc_id", "text", "source").withColumn("_row", F.xxhash64(text_or_empty()))
+    sizes = materialize(whole.select("doc_id", "source", n_words(text_or_empty()).alias("size"), "_row"), "sizes")
     rows = place(sizes, **options)
-    plan = ["passes", "partial", "begin", "q", "m", "phase", "block"]
-    rows = materialize(rows.select("doc_id", "_row", "size", *plan).where("passes > 0 or partial > 0"), "taken")
+    plan = ["size", "passes", "partial", "begin", "q", "m", "phase", "block"]
     # rows that repeat doc_id and text go one to one: the n-th row takes the n-th place
     turn = lambda *o: F.row_number().over(Window.partitionBy("doc_id", "_row").orderBy(*o))
-    placed = rows.withColumn("_turn", turn("begin")).select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), F.col("_turn").alias("_t"), F.col("size").alias("_size"), *[F.col(c).alias(f"_{c}") for c in plan])
-    return _expand(docs.withColumn("_row", F.xxhash64(text_or_empty())), placed, columns)
-
-
-def _expand(docs: DataFrame, placed: DataFrame, columns: list[str]) -> DataFrame:
-    numbered = docs.withColumn("_turn", F.row_number().over(Window.partitionBy("doc_id", "_row").orderBy("_row")))
-    both = numbered.join(placed, F.expr("doc_id <=> _d and _row = _r and _turn = _t"))
+    places = rows.withColumn("_turn", turn("rank", "shard", "begin")).select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), F.col("_turn").alias("_t"), *plan)
+    places = materialize(places.where("passes > 0 or partial > 0"), "taken")
+    numbered = whole.withColumn("_turn", turn(F.col("source").asc_nulls_last(), F.xxhash64(F.to_json("_all"))))
+    both = numbered.join(places, F.expr("doc_id <=> _d and _row = _r and _turn = _t"))
     words = F.regexp_extract_all(text_or_empty(), F.lit(SPACED_WORD), F.lit(0))
-    q, m, phase, block, begin = (F.col(f"_{c}") for c in ("q", "m", "phase", "block", "begin"))
-    before = lambda x: F.floor((x * q + phase) / m)
+    before = lambda x: F.floor((x * F.col("q") + F.col("phase")) / F.col("m"))
 
     def taken(_, at):
-        no = F.floor((begin + at) / block)
+        no = F.floor((F.col("begin") + at) / F.col("block"))
         return before(no + 1) > before(no)
 
     some = F.ltrim(F.array_join(F.filter(words, taken), ""), F.lit(" \t\n\x0b\x0c\r"))
-    whole = (F.col("_passes") + F.when(F.col("_partial") == F.col("_size"), 1).otherwise(0)).cast("int")
-    part = F.when((F.col("_partial") > 0) & (F.col("_partial") < F.col("_size")), F.array(some)).otherwise(F.array().cast("array<string>"))
-    out = both.withColumn("_text", F.explode(F.concat(F.array_repeat(F.col("text"), whole), part))).withColumn("text", F.col("_text"))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+    copies = (F.col("passes") + F.when(F.col("partial") == F.col("size"), 1).otherwise(0)).cast("int")
+    part = F.when((F.col("partial") > 0) & (F.col("partial") < F.col("size")), F.array(some)).otherwise(F.array().cast("array<string>"))
+    out = both.select("_all", F.explode(F.concat(F.array_repeat(F.col("text"), copies), part)).alias("_text"))
+    row = F.col("_all").withField("text", F.col("_text"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length("_text").cast(docs.schema["n_chars"].dataType))
+    return out.select(row.alias("_all")).select("_all.*")

@@ -14,6 +14,7 @@ several components are compared, across components. No candidate is left out.
 
 Defined results: a null or blank text has the fingerprint zero, which links like any other. A null
 doc_id is never the smallest of a component that has another. An empty table gives an empty result.
+Other columns are carried by the rows that stay and may have any name.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import build_filter, materialize, text_or_empty, with_filter
+from corvane.llm.common import build_filter, carried, materialize, one_row, text_or_empty, with_filter
 from corvane.llm.components import components
 
 DISTANCE = 4
@@ -185,11 +186,8 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     several = several.join(stays.where("own").select(F.col("component_id").alias("_c"), "first"), F.expr("component_id <=> _c"), "left")
     look = several.select(F.col("doc_id").alias("_d"), F.col("row_hash").alias("_r"), F.expr("doc_id <=> component_id and row_hash = first").alias("_stays")).distinct()
     table, width = build_filter(F.col("row_hash"), several, n)
-    columns = docs.columns
-    marked = with_filter(docs.withColumn("_row", F.xxhash64(text_or_empty())), F.col("_row"), table, width)
+    rows = carried(docs, "doc_id", "text").select("doc_id", "_all", F.xxhash64(text_or_empty()).alias("_row"))
+    marked = with_filter(rows, F.col("_row"), table, width)
     maybe = marked.where("_maybe").join(look, F.expr("doc_id <=> _d and _row = _r"), "left")
-    return (
-        marked.where("not _maybe").select(*columns)
-        .unionByName(maybe.where("_stays is null").select(*columns))
-        .unionByName(maybe.where("_stays").groupBy("_d", "_r").agg(F.max(F.struct(*columns)).alias("_whole")).select("_whole.*").select(*columns))
-    )
+    kept = maybe.where("_stays").groupBy("_d", "_r").agg(one_row())
+    return marked.where("not _maybe").select("_all.*").union(maybe.where("_stays is null").select("_all.*")).union(kept.select("_all.*"))

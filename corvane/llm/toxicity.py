@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import text_or_empty
+from corvane.llm.common import carried, text_or_empty
 
 TRAIN_ROWS = 3000
 TRAIN_BYTES = 32_768
@@ -302,4 +302,4 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that are not predicted toxic, with all their columns."""
-    return with_score(docs, fit(docs, labels), "_score").where("_score < 0.5").select(*docs.columns)
+    return with_score(carried(docs, "text"), fit(docs, labels)).where("score < 0.5").select("_all.*")
