@@ -91,3 +91,41 @@ def rename_skills(records: DataFrame, fraction: float, seed: str) -> DataFrame:
     renamed = renamed.withColumn("success", verdict("meta", "xml")["success"]).drop("_skills", "skill")
     rest = records.join(renamed.where("success").select("row"), "row", "left_anti")
     return renamed.where("success").unionByName(rest.withColumn("renamed_skill", F.lit(None).cast("string")).withColumn("success", F.lit(True)))
+
+
+def node_table(trees: DataFrame, key: str, xml: str) -> DataFrame:
+    """(key, node_id, parent_id, ord, depth, tag, attrs): a row for each element, the root's parent is null.
+
+    Trees without a well-formed block give no rows.
+    """
+    import xml.etree.ElementTree as ET
+
+    import pandas as pd
+
+    from corvane.plans.judge import _BLOCK
+
+    def nodes(batches):
+        for b in batches:
+            out = []
+            for k, text in zip(b[key], b[xml], strict=True):
+                block = _BLOCK.search(text or "")
+                try:
+                    line = [(ET.fromstring(block[0]), None, 0, 0)] if block else []
+                except ET.ParseError:
+                    line = []
+                no = 0
+                while line:
+                    e, parent, ord_, level = line.pop()
+                    out.append((k, no, parent, ord_, level, e.tag, dict(e.attrib)))
+                    line += [(kid, no, i, level + 1) for i, kid in reversed(list(enumerate(e)))]
+                    no += 1
+            frame = pd.DataFrame(out, columns=[key, "node_id", "parent_id", "ord", "depth", "tag", "attrs"])
+            yield frame.astype({"parent_id": "Int64"})
+
+    kind = trees.schema[key].dataType.simpleString()
+    return trees.select(key, xml).mapInPandas(nodes, f"{key} {kind}, node_id long, parent_id long, ord long, depth long, tag string, attrs map<string,string>")
+
+
+def rename_report(records: DataFrame) -> DataFrame:
+    """By family and new name: how many records were renamed."""
+    return records.groupBy("family", "renamed_skill").agg(F.count("*").alias("n"))

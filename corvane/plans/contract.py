@@ -547,6 +547,105 @@ def skill_rename(t, spark):
     return trees.rename_skills(missions.build_corpus(spark, "test", 20, "rename"), 0.5, "123").select("domain", "tier", "no", "renamed_skill", "success")
 
 
+@query()
+def skill_rename_report(t, spark):
+    from corvane.operators import trees
+
+    return trees.rename_report(trees.rename_skills(missions.build_corpus(spark, "test", 20, "rename"), 0.5, "123"))
+
+
+@query()
+def bt_nodes(t, spark):
+    from corvane.operators import trees
+
+    built = missions.build_corpus(spark, "test", 20, "nodes")
+    return trees.node_table(built, "record_id", "xml").groupBy("depth", "tag").agg(F.count("*").alias("n"))
+
+
+@query()
+def stage_means(t, spark):
+    from corvane.operators import trees
+
+    return trees.stage_report(trees.features(missions.build_corpus(spark, "test", 20, "stages"), "xml"))
+
+
+_TOKENS = f"""
+with b as (select page_id, regexp_extract_all(html, '<[^/!?>][^>]*>') as m, string_split_regex(html, '<[^/!?>][^>]*>') as g from pages),
+spans as (select page_id, coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as s, length(m[i]) as n
+  from (select *, unnest(range(1, len(m) + 1)) as i from b)),
+w as (select page_id, regexp_extract_all(html, '[^ ]+ ?') as w, html from pages),
+tokens as (select page_id, i as pos, w[i] as token_id, coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) as a, length(w[i]) as n from (select *, unnest(range(1, len(w) + 1)) as i from w)),
+scored as (select *, {_HASH.format("nll", "page_id || ':' || pos")} * 4 as nll, ({_HASH.format("ok", "page_id || ':' || pos")} >= 0.3)::int as ok from tokens),
+marked as (select t.*, exists (select 1 from spans s where s.page_id = t.page_id and t.a < s.s + s.n and t.a + t.n > s.s) as tag from scored t),
+idf as (select token_id, ln(((select count(distinct page_id) from tokens) + 1.0::double) / (count(distinct page_id) + 1)) as idf from tokens group by token_id),
+used as (select * from (select *, bool_or(tag) over (partition by page_id) as has from marked) where tag or not has),
+weighted as (select u.*, case when sum(i.idf) over (partition by page_id) > 0 then i.idf else 1 end as w from used u join idf i on i.token_id = u.token_id)
+select page_id, round(sum(w * nll) / greatest(sum(w), 1), 6) as nll, round(sum(w * (1 - ok)) / greatest(sum(w), 1), 6) as error from weighted group by page_id"""
+
+
+@query(_TOKENS)
+def semantic_difficulty(t, spark):
+    from corvane.operators import difficulty
+
+    pages = t("pages").select("page_id", F.regexp_replace("html", "^ +", "").alias("html"))
+    words = F.regexp_extract_all("html", F.lit("[^ ]+ ?"), F.lit(0))
+    lengths = F.aggregate(words, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, w: F.struct((acc["at"] + F.length(w)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+    tokens = pages.select("page_id", F.posexplode(F.arrays_zip(words.alias("w"), lengths.alias("a"))).alias("pos", "x"))
+    row = F.concat_ws(":", F.col("page_id").cast("string"), (F.col("pos") + 1).cast("string"))
+    tokens = tokens.select(
+        "page_id", "pos", F.col("x.w").alias("token_id"), F.col("x.a").alias("char_start"), (F.col("x.a") + F.length("x.w")).alias("char_end"),
+        (draw("nll", row) * 4).alias("nll"), (draw("ok", row) >= 0.3).alias("top1_ok"),
+    )
+    spans = difficulty.opening_spans(pages, "page_id", "html")
+    return difficulty.semantic_difficulty(tokens, spans, "page_id").select("page_id", _r("nll").alias("nll"), _r("error").alias("error"))
+
+
+@query()
+def two_view_utility(t, spark):
+    from corvane.operators import difficulty
+
+    rows = t("embeddings").select("vec_id", "embedding", F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b"))
+    out = difficulty.two_view_utility(rows.where("vec_id % 10 != 0"), rows.where("vec_id % 10 = 0"), "vec_id", "embedding", ["a", "b"], 5)
+    return out.select("vec_id", _r("utility").alias("utility"))
+
+
+@query(inline.WITH + """
+select e.src as loc, c.robot, string_agg(e.dst, ',' order by e.dst) as ways from edges e join can_reach c on c.loc = e.dst
+where not ((e.src = 'hall' and e.dst = 'dock') or (e.src = 'dock' and e.dst = 'hall')) group by e.src, c.robot""")
+def valid_outgoing(t, spark):
+    _graph(spark)
+    blocked = spark.createDataFrame([("hall", "dock"), ("dock", "hall")], "src string, dst string")
+    open_ = spark.table("edges").join(blocked, ["src", "dst"], "left_anti").join(spark.table("can_reach"), F.col("dst") == F.col("loc"))
+    return open_.groupBy(F.col("src").alias("loc"), "robot").agg(F.array_join(F.array_sort(F.collect_list("dst")), ",").alias("ways"))
+
+
+@query(inline.WITH + f"""
+select a.loc as a, b.loc as b, round({_HASH.format("extra", "a.loc || b.loc")}, 6) as u from locations a join locations b on a.loc < b.loc
+where not exists (select 1 from edges e where e.src = a.loc and e.dst = b.loc) order by {_HASH.format("extra", "a.loc || b.loc")} limit 2""")
+def extra_edges(t, spark):
+    _graph(spark)
+    loc = spark.table("locations")
+    pairs = loc.select(F.col("loc").alias("a")).join(loc.select(F.col("loc").alias("b")), F.col("a") < F.col("b"))
+    spare = pairs.join(spark.table("edges"), (F.col("a") == F.col("src")) & (F.col("b") == F.col("dst")), "left_anti")
+    u = draw("extra", F.concat("a", "b"))
+    return spare.withColumn("_u", u).orderBy("_u").limit(2).select("a", "b", _r("_u").alias("u"))
+
+
+@query("""
+select case when source in ('src0', 'src1') then 'new' else 'shared' end as family, count(*) as n, sum(quality)::bigint as ok
+from documents d join labels l on d.doc_id = l.doc_id group by 1""")
+def family_success(t, spark):
+    rows = t("documents").select("doc_id", "source").join(t("labels"), "doc_id")
+    family = F.when(F.col("source").isin("src0", "src1"), "new").otherwise("shared").alias("family")
+    return rows.groupBy(family).agg(F.count("*").alias("n"), F.sum("quality").cast("long").alias("ok"))
+
+
+@query("""
+select count(*) as n, sum((lang = 'en')::int)::bigint as english, sum((n_chars > 1000)::int)::bigint as long_, count(distinct source) as sources from documents""")
+def composition(t, spark):
+    return t("documents").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == "en").alias("english"), F.count_if(F.col("n_chars") > 1000).alias("long_"), F.countDistinct("source").alias("sources"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
