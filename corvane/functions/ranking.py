@@ -24,6 +24,18 @@ def ordinal(df: DataFrame, order: list[str], out: str = "rank0") -> DataFrame:
     return ranked.withColumn(out, F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_start")
 
 
+def rank_within(df: DataFrame, group: str, order: list[str], out: str = "rank0", size: str = "group_size") -> DataFrame:
+    """df with out: 0, 1, ... in each group, and the group's size; a large group spreads over many tasks.
+
+    The rank over (group, order) less the group's first rank; groups meet their rows in a plain
+    equi-join, which adaptive execution can split.
+    """
+    ranked = ordinal(df, [group, *order], "_rank")
+    starts = ranked.groupBy(F.col(group).alias("_group")).agg(F.min("_rank").alias("_first"), F.count("*").alias(size))
+    both = ranked.join(starts, F.col(group).eqNullSafe(F.col("_group")))
+    return both.withColumn(out, F.col("_rank") - F.col("_first")).drop("_rank", "_group", "_first")
+
+
 def midrank(df: DataFrame, value: str, tie: str, out: str = "midrank") -> DataFrame:
     """Ordinal percentile (rank + 0.5) / n; ties go by the tie column, they are not averaged."""
     n = df.count()

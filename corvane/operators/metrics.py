@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.ranking import draw
+from corvane.functions.ranking import draw, rank_within
 
 
 def group_success(results: DataFrame, ok: str, groups: list[str]) -> DataFrame:
@@ -61,8 +61,7 @@ def alignment_violations(a: DataFrame, b: DataFrame, key: str, same: list[str] =
 
 def order_statistics(df: DataFrame, group: str, value: str, tie: str) -> DataFrame:
     """Mean, and the elements at floor(n q) of the sorted values for q = .5 and .9; not interpolated."""
-    line = Window.partitionBy(group)
-    r = df.withColumn("_r", F.row_number().over(line.orderBy(value, tie)) - 1).withColumn("_n", F.count("*").over(line))
+    r = rank_within(df, group, [value, tie], "_r", "_n")
     at = lambda q: F.max(F.when(F.col("_r") == F.floor(F.col("_n") * q), F.col(value)))
     return r.groupBy(group).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), at(F.lit(0.5)).alias("median"), at(F.lit(0.9)).alias("p90"))
 

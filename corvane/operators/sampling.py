@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.ranking import draw, ordinal
+from corvane.functions.ranking import draw, ordinal, rank_within
 from corvane.functions.storage import materialize
 
 
 def stratified(df: DataFrame, stratum: str, key: str, fraction: float, seed: str) -> DataFrame:
     """From each stratum greatest(1, round half even (n * fraction)) rows in hashed order; none if fraction is 0."""
-    line = Window.partitionBy(stratum)
-    ranked = df.withColumn("_r", F.row_number().over(line.orderBy(draw(seed, key), key))).withColumn("_n", F.count("*").over(line))
-    size = F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(float(fraction)), 0)) if fraction > 0 else F.lit(0)
-    return ranked.where(F.col("_r") <= size).drop("_r", "_n")
+    if fraction <= 0:
+        return df.limit(0)
+    ranked = rank_within(df.withColumn("_u", draw(seed, key)), stratum, ["_u", key], "_r", "_n")
+    size = F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(float(fraction)), 0))
+    return ranked.where(F.col("_r") < size).drop("_u", "_r", "_n")
 
 
 def first_per_group(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
@@ -23,8 +24,8 @@ def first_per_group(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
 
 def round_robin(df: DataFrame, key: str, order: str, pool: list[str], out: str) -> DataFrame:
     """The rows of each key take the names of the pool in turn."""
-    turn = (F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1) % len(pool) + 1
-    return df.withColumn(out, F.element_at(F.array(*[F.lit(x) for x in pool]), turn.cast("int")))
+    ranked = rank_within(df, key, [order], "_r", "_n")
+    return ranked.withColumn(out, F.element_at(F.array(*[F.lit(x) for x in pool]), (F.col("_r") % len(pool) + 1).cast("int"))).drop("_r", "_n")
 
 
 def running_weights(df: DataFrame, order: str, weight: str) -> DataFrame:

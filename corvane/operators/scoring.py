@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from corvane.functions.ranking import midrank
 
 
+#: Validation vectors are broadcast up to this size.
+BROADCAST_BYTES = 64 << 20
+
+
 def token_idf(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(token, df, idf) with idf = ln((n + 1) / (df + 1)); a token counts once for a document."""
     n = docs.count()
@@ -54,9 +58,17 @@ def nearest(train: DataFrame, val: DataFrame, key: str, vector: str, k: int, met
     """
     if metric not in ("cosine", "euclid"):
         raise ValueError(f"no such metric: {metric}")
-    blocks = val.select(F.col(vector).cast("array<double>").alias("v")).withColumn("_b", F.floor(F.rand(0) * F.greatest(F.lit(1), F.ceil(F.lit(val.count()) / block))))
-    packed = blocks.groupBy("_b").agg(F.collect_list("v").alias("_block"))  # about block rows each
-    rows = train.select(F.col(key), F.col(vector).cast("array<double>").alias("_v")).join(F.broadcast(packed.select("_block")), F.lit(True))
+    n, v = val.count(), F.col(vector).cast("array<double>")
+    at = F.pmod(F.xxhash64(vector), F.lit(max(1, -(-n // block))))
+    packed = val.select(v.alias("v"), at.alias("_b")).groupBy("_b").agg(F.collect_list("v").alias("_block"))  # about block rows each
+    rows = train.select(F.col(key), v.alias("_v"))
+    wide = val.agg(F.max(F.size(vector))).first()[0] or 0
+    if n * wide * 8 <= BROADCAST_BYTES:
+        rows = rows.join(F.broadcast(packed.select("_block")), F.lit(True))  # size checked
+    else:  # every group of training rows meets every block
+        groups = max(1, train.count() // 200_000)
+        rows = rows.withColumn("_g", F.pmod(F.xxhash64(key), F.lit(groups)))
+        rows = rows.join(packed.select("_block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).cast("long").alias("_g")), "_g")
 
     @F.pandas_udf("array<double>")
     def best(v: pd.Series, others: pd.Series) -> pd.Series:
