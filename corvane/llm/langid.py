@@ -3,8 +3,8 @@
 Two gated recurrent networks read a word's bytes (between two spaces) from left and right; both
 states at a position give the probabilities of its language. A document's probabilities are the
 mean over all its positions. The network is trained here, in numpy, by backpropagation through
-time, on words of a bounded sample of labelled rows: at most TRAIN_DOCS rows in each language, of at
-most TRAIN_BYTES bytes, and TRAIN_WORDS words in all. Prediction reads every whole text.
+time, on words of a bounded sample of labelled rows: some TRAIN_DOCS rows of each language, at
+most TRAIN_ROWS in all, of at most TRAIN_BYTES bytes, and TRAIN_WORDS words of them. Prediction reads every whole text.
 
 A word's sums do not depend on what stands around it, so a worker keeps them for the words it has
 seen, in a table of bounded size; only new words go through the network, in batches of equal
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from corvane.llm.common import text_or_empty
 
 TRAIN_DOCS = 400
-TRAIN_BYTES = 32_768
+TRAIN_ROWS = 4_000
+TRAIN_BYTES = 16_384
 TRAIN_WORDS = 60_000
 EMBED = 12
 HIDDEN = 16
@@ -224,8 +225,9 @@ def _sample(docs: DataFrame, per_class: int) -> list:
     if not sizes:
         return []
     draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30))
+    per_class = min(per_class, max(1, TRAIN_ROWS // len(sizes)))
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, per_class / n) * (1 << 30)))]), F.col("lang"))
-    drawn = rows.where(draw < share).orderBy(draw, "doc_id").limit(2 * per_class * len(sizes))
+    drawn = rows.where(draw < share).orderBy(draw, "doc_id").limit(TRAIN_ROWS)
     return drawn.select("text", "lang").collect()
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from corvane.llm.common import carried, text_or_empty
 
 TRAIN_ROWS = 3000
-TRAIN_BYTES = 32_768
+TRAIN_BYTES = 16_384
 MINED = 192
 #: A mined word beginning must occur in that many different toxic texts, and be that pure.
 LEAST_TEXTS, LEAST_PURITY = 3, 0.9
@@ -125,7 +125,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list:
     drawn = own.where(draw < F.when(F.col("_toxic") == 1, share[1]).otherwise(share[0])).orderBy(draw, "doc_id").limit(3 * rows)
     texts = docs.where(F.octet_length(text_or_empty()) <= TRAIN_BYTES).select("doc_id", text_or_empty().alias("text"))
     # at most 3 * TRAIN_ROWS pairs of numbers
-    return texts.join(F.broadcast(drawn.withColumnRenamed("doc_id", "_id")), F.expr("doc_id = _id")).orderBy("doc_id", "text").select("text", "_toxic").limit(4 * rows).collect()
+    return texts.join(F.broadcast(drawn.withColumnRenamed("doc_id", "_id")), F.expr("doc_id = _id")).orderBy("doc_id", "text").select("text", "_toxic").limit(3 * rows).collect()
 
 
 def _one_of_each(texts: list[str]) -> list[str]:
