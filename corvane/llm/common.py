@@ -48,9 +48,14 @@ def carried(docs: DataFrame, *needed: str) -> DataFrame:
     return docs.select(*needed, F.struct("*").alias("_all"))
 
 
-def one_row() -> Column:
+def whole_hash(docs: DataFrame) -> Column:
+    """A hash of a row _all of docs; maps can be hashed as text only."""
+    return F.xxhash64(F.to_json("_all") if "map<" in docs.schema.simpleString() else F.col("_all"))
+
+
+def one_row(docs: DataFrame) -> Column:
     """An aggregate: one of the group's rows _all, the same one in every run."""
-    return F.min_by("_all", F.xxhash64(F.to_json("_all"))).alias("_all")
+    return F.min_by("_all", whole_hash(docs)).alias("_all")
 
 
 # --- a bounded membership filter ---------------------------------------------------------------

@@ -214,5 +214,5 @@ def deduplicate(docs: DataFrame, hashes=HASHES, chunk: int = CHUNK) -> DataFrame
     marked = with_filter(rows, F.struct("n_bytes", "row_hash"), table, width)
     look = several.select(F.col("doc_id").alias("_d"), F.col("n_bytes").alias("_n"), F.col("row_hash").alias("_r"), "stays").distinct()
     maybe = marked.where("_maybe").join(look, F.expr("doc_id <=> _d and n_bytes = _n and row_hash = _r"), "left")
-    kept = maybe.where("stays").groupBy("_d", "_n", "_r").agg(one_row())
+    kept = maybe.where("stays").groupBy("_d", "_n", "_r").agg(one_row(docs))
     return marked.where("not _maybe").select("_all.*").union(maybe.where("stays is null").select("_all.*")).union(kept.select("_all.*"))

@@ -15,8 +15,8 @@ each source, for each shard of a source, or for each document of a shard. Quotie
 case are not listed: with k rivals, the seats that a divisor for (seats - k/2) gives are sure, and
 only some 2 k quotients after them are ranked.
 
-Defined results: a null text has no words and gives none; sources without words have the target 0;
-null is a source, the last one. Rows that repeat a doc_id and a size are taken alike, each from its
+Defined results: a null, empty or blank text has no words and gives none, so mix() leaves it out;
+sources without words have the target 0; null is a source, the last one. Rows that repeat a doc_id and a size are taken alike, each from its
 own place. An empty table gives an empty result.
 """
 
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import WORD, carried, materialize, text_or_empty
+from corvane.llm.common import WORD, carried, materialize, text_or_empty, whole_hash
 
 WEIGHTS = (3, 1, 2)
 RATIO = 1.5
@@ -173,8 +173,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     # rows that repeat doc_id and text go one to one: the n-th row takes the n-th place
     turn = lambda *o: F.row_number().over(Window.partitionBy("doc_id", "_row").orderBy(*o))
     places = rows.withColumn("_turn", turn("rank", "shard", "begin")).select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), F.col("_turn").alias("_t"), *plan)
-    places = materialize(places.where("passes > 0 or partial > 0"), "taken")
-    numbered = whole.withColumn("_turn", turn(F.col("source").asc_nulls_last(), F.xxhash64(F.to_json("_all"))))
+    places = materialize(places.where("size > 0 and (passes > 0 or partial > 0)"), "taken")
+    numbered = whole.withColumn("_turn", turn(F.col("source").asc_nulls_last(), whole_hash(docs)))
     both = numbered.join(places, F.expr("doc_id <=> _d and _row = _r and _turn = _t"))
     words = F.regexp_extract_all(text_or_empty(), F.lit(SPACED_WORD), F.lit(0))
     before = lambda x: F.floor((x * F.col("q") + F.col("phase")) / F.col("m"))

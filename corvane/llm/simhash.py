@@ -189,5 +189,5 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     rows = carried(docs, "doc_id", "text").select("doc_id", "_all", F.xxhash64(text_or_empty()).alias("_row"))
     marked = with_filter(rows, F.col("_row"), table, width)
     maybe = marked.where("_maybe").join(look, F.expr("doc_id <=> _d and _row = _r"), "left")
-    kept = maybe.where("_stays").groupBy("_d", "_r").agg(one_row())
+    kept = maybe.where("_stays").groupBy("_d", "_r").agg(one_row(docs))
     return marked.where("not _maybe").select("_all.*").union(maybe.where("_stays is null").select("_all.*")).union(kept.select("_all.*"))
