@@ -38,7 +38,7 @@ MINED = 192
 #: A mined word beginning must occur in that many different toxic texts, and be that pure.
 LEAST_TEXTS, LEAST_PURITY = 3, 0.9
 BEGINNINGS = (3, 4, 5, 6)
-CACHE_ROWS = 400_000
+CACHE_ROWS = 200_000
 RIDGE = 0.01
 TRUSTED = 0.9
 
