@@ -46,15 +46,8 @@ def _pack(ids: list[int]) -> bytes:
 def ids_of(path: str, text: str) -> bytes:
     """The ids of a text as little-endian 32-bit numbers."""
     if path not in _caches:
-        _caches[path] = Cache(path, _pack)
-    cache, pieces = _caches[path], pre_tokens(text)
-    try:
-        return b"".join(map(cache.__getitem__, pieces))
-    except KeyError:
-        cache.learn(pieces)
-        ids = b"".join(map(cache.__getitem__, pieces))
-        cache.forget_long(pieces)
-        return ids
+        _caches[path] = Cache(path, _pack, b"".join)
+    return b"".join(map(_caches[path].__getitem__, pre_tokens(text)))
 
 
 class Packer:

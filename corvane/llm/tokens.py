@@ -4,7 +4,7 @@ Texts are cut at ASCII white space, which no token crosses, into pre-tokens. A f
 task count its own pre-tokens and hand on its FREQUENT_PER_TASK most frequent ones; the
 TABLE_ROWS most frequent of those are encoded once and broadcast as a compact table of token
 lengths. A second pass looks every pre-token up in that table, and else in a bounded cache that the
-worker keeps, whose misses are encoded in one batch. Pre-tokens are never shuffled, and the table
+worker keeps, whose misses are encoded word by word. Pre-tokens are never shuffled, and the table
 decides only which tier answers: every count is the tokenizer's own.
 
 Defined results: null counts as the empty text, which has no token. Special strings in a text are
@@ -13,6 +13,7 @@ treated as the tokenizer treats them by default. A text of any length is counted
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -24,11 +25,11 @@ from pyspark.sql import functions as F
 from corvane.llm.common import text_or_empty
 
 TABLE_ROWS = 65_536
-FREQUENT_PER_TASK = 65_536
+FREQUENT_PER_TASK = 2048
 #: The longest pre-token that enters the table, which bounds it: 65,536 * (4 * 32 + 3) bytes, 8.6 MB.
 LONGEST = 32
-CACHE_ROWS = 500_000
-CACHED_CHARS = 200
+CACHE_ROWS = 300_000
+CACHED_CHARS = 64
 #: str.split() cuts here too, but the tokenizers don't.
 _NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 OVER = 2048
@@ -69,40 +70,60 @@ def encode_each(path: str, pieces: list[str]) -> list[list[int]]:
     return out
 
 
-class Cache(dict):
-    """Values of pre-tokens, at most CACHE_ROWS of them; it starts anew when it is full."""
+#: Pre-tokens of these characters are split into words here: letters, single digits, the rest.
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-;=-@\[-`{-~]+")
+_PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
-    def __init__(self, path: str, value: Callable[[list[int]], object], first: dict | None = None):
-        super().__init__(first or {})
-        self.path, self.value, self.first = path, value, first or {}
 
-    def learn(self, pieces: list[str]) -> None:
-        """Encodes those of pieces that are not known."""
-        if len(self) > CACHE_ROWS:
-            self.clear()
-            self.update(self.first)
-        unknown = [p for p in set(pieces) if p not in self]
-        self.update(zip(unknown, map(self.value, encode_each(self.path, unknown)), strict=True))
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: printable ones for themselves, the others from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_LETTER = _byte_letters()
+
 
-    def forget_long(self, pieces: list[str]) -> None:
-        """Long pre-tokens are not kept, so that the cache is bounded in bytes too."""
-        for p in pieces:
-            if len(p) > CACHED_CHARS:
-                self.pop(p, None)
+class Cache(dict):
+    """The value of each pre-token: value(its ids), which combine() makes of those of its words.
+
+    It holds at most CACHE_ROWS pre-tokens and as many that were in use before; those that are not
+    asked for in all that time are forgotten. Long ones are never kept.
+    """
+
+    def __init__(self, path: str, value: Callable, combine: Callable, first: dict | None = None):
+        super().__init__(first or {})
+        self.whole, self.model = tokenizer(path), tokenizer(path).model
+        self.value, self.combine, self.first, self.older = value, combine, first or {}, {}
+
+    def __missing__(self, piece: str):
+        found = self.older.get(piece)
+        if found is None:
+            found = self._encode(piece)
+        if len(piece) <= CACHED_CHARS:
+            if len(self) >= CACHE_ROWS + len(self.first):
+                self.older = dict(self)
+                self.clear()
+                self.update(self.first)
+            self[piece] = found
+        return found
+
+    def _encode(self, piece: str):
+        if len(piece) > CACHED_CHARS or not _PLAIN.fullmatch(piece):
+            return self.value(self.whole.encode(piece, add_special_tokens=False).ids)
+        parts = _PARTS.findall(piece.lower())
+        if len(parts) > 1:
+            return self.combine(self[p] for p in parts)
+        letters = "".join(map(_LETTER.__getitem__, parts[0].encode()))
+        return self.value([t.id for t in self.model.tokenize(letters)])
 
 
 _caches: dict[object, Cache] = {}
 
 
 def _count(cache: Cache, text: str) -> int:
-    pieces = pre_tokens(text)
-    try:
-        return sum(map(cache.__getitem__, pieces))
-    except KeyError:
-        cache.learn(pieces)
-        n = sum(map(cache.__getitem__, pieces))
-        cache.forget_long(pieces)
-        return n
+    return sum(map(cache.__getitem__, pre_tokens(text)))
 
 
 def _frequent(batches: Iterator[pa.RecordBatch], most: int, longest: int) -> Iterator[pa.RecordBatch]:
@@ -110,13 +131,13 @@ def _frequent(batches: Iterator[pa.RecordBatch], most: int, longest: int) -> Ite
     for batch in batches:
         for text in batch.column(0):
             counts.update(pre_tokens(text.as_py()))
-        if len(counts) > 8 * most:  # keep the summary bounded
-            counts = Counter(dict(counts.most_common(most)))
+        if len(counts) > 128 * most:  # keep the summary bounded
+            counts = Counter(dict(counts.most_common(32 * most)))
     top = [(k, n) for k, n in counts.most_common(most) if n > 1 and len(k) <= longest]
     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["piece", "n"])
 
 
-def frequent(docs: DataFrame, rows: int = TABLE_ROWS, per_task: int = FREQUENT_PER_TASK // 8) -> list[str]:
+def frequent(docs: DataFrame, rows: int = TABLE_ROWS, per_task: int = FREQUENT_PER_TASK) -> list[str]:
     """The most frequent pre-tokens of the whole table, from bounded summaries of each task."""
     found = docs.select(text_or_empty().alias("text")).mapInArrow(lambda it: _frequent(it, per_task, LONGEST), "piece string, n long")
     top = found.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(rows)
@@ -146,7 +167,7 @@ def with_token_counts(docs: DataFrame, path: str | None = None, text: str = "tex
         key = (path, hash(sent.value))
         if key not in _caches:
             _caches.clear()
-            _caches[key] = Cache(path, len, unpack_table(sent.value))
+            _caches[key] = Cache(path, len, sum, unpack_table(sent.value))
         cache = _caches[key]
         return pa.array([_count(cache, t.as_py()) for t in texts], pa.int64())
 
