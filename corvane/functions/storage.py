@@ -2,19 +2,54 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_RUN = f"corvane-{uuid.uuid4().hex}"
+_cleaned: set[str] = set()
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the folder of spark.checkpoint.dir, which all executors share, and read it back."""
-    spark = df.sparkSession
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: spark.checkpoint.dir of the session.
+
+    Only where that is unset (tests, a single machine) a temporary folder is chosen and kept in the
+    session, so that later calls find the same one.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
         at = f"file://{tempfile.mkdtemp(prefix='corvane-')}"
         spark.sparkContext.setCheckpointDir(at)
-    path = f"{at.rstrip('/')}/corvane/{name}-{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def _remove_at_exit(spark: SparkSession, folder: str) -> None:
+    """The tables of this process go when it ends; nothing reads them after that."""
+    if folder in _cleaned:
+        return
+    _cleaned.add(folder)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def remove() -> None:
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+    atexit.register(remove)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back.
+
+    It cuts the lineage at a place that survives a lost executor, and it fixes the rows: whatever
+    reads the table again sees the same ones.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/{_RUN}"
+    _remove_at_exit(spark, folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
