@@ -2,43 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.storage import materialize  # noqa: F401  for the operators here
+
 #: A word is a maximal run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir of the session.
-
-    Only where that is unset (tests, a single machine) a temporary folder is chosen and kept in
-    the session, so that later calls find the same one.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        held = spark.sparkContext.getCheckpointDir()
-        at = held or f"file://{tempfile.mkdtemp(prefix='corvane-')}"
-        if not held:
-            spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back.
-
-    It cuts the lineage at a place that survives a lost executor, and it fixes the rows: whatever
-    reads the table again sees the same ones.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corvane/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
