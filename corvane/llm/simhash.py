@@ -174,11 +174,16 @@ def report(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows that stay: of each component the one with the smallest doc_id, with all columns.
+    """The rows that stay: of each component the one with the smallest doc_id, with all columns."""
+    return keep_least(docs, classes(docs, shingle))
+
+
+def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs that stay of the components found (doc_id, row_hash, component_id, n).
 
     Rows that are alone in their component pass straight through; only the others are shuffled.
     """
-    several = materialize(classes(docs, shingle).where("n > 1"), "near-copies")
+    several = materialize(found.where("n > 1"), "near-copies")
     n = several.count()
     if not n:
         return docs
