@@ -4,11 +4,14 @@ Every source gets a target number of words: a share by weight of RATIO times all
 REPEATS times what it has, the excess shared again by weight until none is above. Targets are
 turned into whole blocks of equal size by the highest quotients target / (2 s - 1), first over the
 sources and then, in each source, over its shards of some SHARD_ROWS documents. In a shard the
-documents lie in a seeded order, end to end; a quota of several times the shard's blocks takes whole
-passes, and the remaining q of m blocks are chosen evenly from a seeded start: block i is taken if
-floor((i + 1) q / m + phase) goes one up. What a document gives is the overlap of its words with
-the chosen blocks, which is arithmetic on the words before it; blocks are never listed. All orders
-come from md5 of seed and doc_id, so runs agree.
+documents lie in a seeded order on a ring; a quota of more words than the shard has takes whole
+passes, and the rest is taken in blocks at even distances from a seeded start, no more and no fewer
+words than the quota says. What a document gives is the overlap of its words with these blocks,
+which is arithmetic on the words before it; blocks are never listed. All orders come from md5 of
+seed and doc_id, so runs agree.
+
+A block is small beside the smallest target and beside the smallest shard, so that neither the
+rounding of a source nor that of a shard shows, however short the texts are.
 
 A source with a third of all rows is spread over as many more shards. The windows hold one row for
 each source, for each shard of a source, or for each document of a shard. Quotients that win in any
@@ -34,6 +37,8 @@ SHARD_ROWS = 4096
 LARGEST_BLOCK = 2048
 #: A block is at most this share of the smallest target, which bounds the rounding of any source.
 BLOCKS_OF_SMALLEST = 200
+#: And at most this share of the mean shard of any source that gives words.
+BLOCKS_OF_SHARD = 64
 SEED = "mix-1"
 #: A word with the white space before it.
 SPACED_WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
@@ -105,25 +110,26 @@ def apportion(votes: DataFrame, within: list[str], seats: str, vote: str, order:
 
 
 def _plan(sizes: DataFrame, weights, ratio, repeats, shard_rows, seed) -> tuple[DataFrame, DataFrame]:
-    """(sources with target, shards, block and quota; shards with size, passes, q, m and phase)."""
-    per = materialize(targets(sizes, weights, ratio, repeats), "targets")
-    least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(_everything())
-    block = F.greatest(F.lit(1), F.least(F.lit(LARGEST_BLOCK), F.floor(least / BLOCKS_OF_SMALLEST)))
+    """(sources with target, shards, block and quota; shards with size, passes, rest, q and phase)."""
+    per = targets(sizes, weights, ratio, repeats).withColumn("shards", F.ceil(F.col("rows") / shard_rows).cast("long"))
+    per = materialize(per, "targets")
+    gives = F.col("target") > 0
+    least = F.min(F.when(gives, F.least(F.col("target") / BLOCKS_OF_SMALLEST, F.col("source_size") / (F.col("shards") * BLOCKS_OF_SHARD)))).over(_everything())
+    block = F.greatest(F.lit(1), F.least(F.lit(LARGEST_BLOCK), F.floor(least)))
     per = per.withColumn("block", F.coalesce(block, F.lit(1)).cast("long"))
     per = per.withColumn("seats", F.floor(F.sum("target").over(_everything()) / F.col("block") + 0.5))
-    per = per.withColumn("shards", F.ceil(F.col("rows") / shard_rows).cast("long"))
     per = materialize(apportion(per, [], "seats", "target", "rank", "quota"), "quotas")
     parts = _sharded(sizes, per, seed).groupBy("rank", "shard", "quota", "block").agg(F.sum("size").alias("shard_size"))
     parts = apportion(parts, ["rank"], "quota", "shard_size", "shard", "blocks")
-    m = F.ceil(F.col("shard_size") / F.col("block")).cast("long")
+    n = F.greatest("shard_size", F.lit(1))
     parts = (
-        parts.withColumn("m", m)
-        .withColumn("blocks", F.least(F.col("blocks"), F.col("m") * repeats))
-        .withColumn("passes", F.when(F.col("m") > 0, F.expr("blocks div m")).otherwise(0))
-        .withColumn("q", F.when(F.col("m") > 0, F.col("blocks") % F.col("m")).otherwise(0))
-        .withColumn("phase", _draw(f"{seed}/phase", F.col("rank"), F.col("shard")) % F.greatest("m", F.lit(1)))
+        parts.withColumn("words", F.least(F.col("blocks") * F.col("block"), F.col("shard_size") * repeats))
+        .withColumn("passes", _div("words", n))
+        .withColumn("rest", F.col("words") % n)
+        .withColumn("q", F.ceil(F.col("rest") / F.col("block")).cast("long"))
+        .withColumn("phase", _draw(f"{seed}/phase", F.col("rank"), F.col("shard")) % n)
     )
-    return per, materialize(parts.select("rank", "shard", "passes", "q", "m", "phase"), "shard-quotas")
+    return per, materialize(parts.select("rank", "shard", "shard_size", "passes", "rest", "q", "phase"), "shard-quotas")
 
 
 def _sharded(sizes: DataFrame, per: DataFrame, seed: str) -> DataFrame:
@@ -133,23 +139,38 @@ def _sharded(sizes: DataFrame, per: DataFrame, seed: str) -> DataFrame:
     return joined.withColumn("shard", F.pmod(_draw(f"{seed}/shard", F.col("doc_id"), F.col("size")), F.col("shards")))
 
 
-def chosen_before(x: Column) -> Column:
-    """Chosen blocks among the first x of a pass: q of m, spread evenly from the phase."""
-    return F.floor((x * F.col("q") + F.col("phase")) / F.col("m")) - F.floor(F.col("phase") / F.col("m"))
+def _div(a: str | Column, b: Column) -> Column:
+    """Whole division of numbers that are not negative."""
+    a = F.col(a) if isinstance(a, str) else a
+    return ((a - a % b) / b).cast("long")
+
+
+def block_at(x: Column) -> tuple[Column, Column, Column]:
+    """(number k, place within k's stretch, chosen words of it) for the place x of a ring.
+
+    A ring of shard_size words is cut into q stretches, and the head of each is a chosen block: rest
+    words in all. Stretches as well as blocks differ by one word at most, the longer ones first.
+    """
+    n, rest, q = F.col("shard_size"), F.col("rest"), F.greatest("q", F.lit(1))
+    wide, more = _div(n, q), n % q
+    edge = more * (wide + 1)
+    k = F.when(x < edge, _div(x, wide + 1)).otherwise(more + _div(x - edge, F.greatest(wide, F.lit(1))))
+    return k, x - (k * wide + F.least(k, more)), _div(rest, q) + F.when(k < rest % q, 1).otherwise(0)
 
 
 def words_before(at: Column) -> Column:
-    """Chosen words among the first words of a pass."""
-    no = F.floor(at / F.col("block"))
-    return chosen_before(no) * F.col("block") + (chosen_before(no + 1) - chosen_before(no)) * (at % F.col("block"))
+    """Chosen words among the first words of the ring, round after round."""
+    n, rest, q = F.greatest("shard_size", F.lit(1)), F.col("rest"), F.greatest("q", F.lit(1))
+    k, within, chosen = block_at(at % n)
+    return _div(at, n) * rest + k * _div(rest, q) + F.least(k, rest % q) + F.least(within, chosen)
 
 
 def place(sizes: DataFrame, weights=WEIGHTS, ratio=RATIO, repeats=REPEATS, shard_rows=SHARD_ROWS, seed=SEED) -> DataFrame:
-    """sizes (doc_id, source, size) with source_size, target, block, passes, q, m, phase, begin."""
+    """sizes (doc_id, source, size) with source_size, target, shard_size, passes, rest, q, begin (on the ring), partial."""
     per, parts = _plan(sizes, weights, ratio, repeats, shard_rows, seed)
     rows = _sharded(sizes, per, seed).join(parts, ["rank", "shard"])
     line = Window.partitionBy("rank", "shard").orderBy(_draw(f"{seed}/order", F.col("doc_id"), F.col("size")), "doc_id")
-    rows = rows.withColumn("begin", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    rows = rows.withColumn("begin", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") + F.col("phase"))
     partial = F.when(F.col("q") > 0, words_before(F.col("begin") + F.col("size")) - words_before(F.col("begin"))).otherwise(0)
     return rows.withColumn("partial", partial.cast("long"))
 
@@ -169,7 +190,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     whole = carried(docs, "doc_id", "text", "source").withColumn("_row", F.xxhash64(text_or_empty()))
     sizes = materialize(whole.select("doc_id", "source", n_words(text_or_empty()).alias("size"), "_row"), "sizes")
     rows = place(sizes, **options)
-    plan = ["size", "passes", "partial", "begin", "q", "m", "phase", "block"]
+    plan = ["size", "passes", "partial", "begin", "q", "rest", "shard_size"]
     # rows that repeat doc_id and text go one to one: the n-th row takes the n-th place
     turn = lambda *o: F.row_number().over(Window.partitionBy("doc_id", "_row").orderBy(*o))
     places = rows.withColumn("_turn", turn("rank", "shard", "begin")).select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), F.col("_turn").alias("_t"), *plan)
@@ -177,11 +198,10 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     numbered = whole.withColumn("_turn", turn(F.col("source").asc_nulls_last(), whole_hash(docs)))
     both = numbered.join(places, F.expr("doc_id <=> _d and _row = _r and _turn = _t"))
     words = F.regexp_extract_all(text_or_empty(), F.lit(SPACED_WORD), F.lit(0))
-    before = lambda x: F.floor((x * F.col("q") + F.col("phase")) / F.col("m"))
 
     def taken(_, at):
-        no = F.floor((F.col("begin") + at) / F.col("block"))
-        return before(no + 1) > before(no)
+        _, within, chosen = block_at((F.col("begin") + at) % F.col("shard_size"))
+        return within < chosen
 
     some = F.ltrim(F.array_join(F.filter(words, taken), ""), F.lit(" \t\n\x0b\x0c\r"))
     copies = (F.col("passes") + F.when(F.col("partial") == F.col("size"), 1).otherwise(0)).cast("int")

@@ -80,8 +80,9 @@ target as (
   select source, rank, n, z, w, cap, case when cap * w_left <= left_ * w then cap::double else w * (select l from level) / (select wl from level) end as target
   from levels),
 sized as (
-  select *, greatest(1, least(2048, floor(coalesce((select min(target) from target where target > 0), 0) / 200)))::bigint as block from target),
-seats as (select *, floor((select sum(target) from target) / block + 0.5)::bigint as seats, ceil(n / 4096.0)::bigint as shards from sized),
+  select *, ceil(n / 4096.0)::bigint as shards, greatest(1, least(2048, floor(coalesce(
+    (select min(least(target / 200, z / (ceil(n / 4096.0)::bigint * 64)::double)) from target where target > 0), 0))))::bigint as block from target),
+seats as (select *, floor((select sum(target) from target) / block + 0.5)::bigint as seats from sized),
 quota as (
   select rank, count(*) as quota from (
     select rank, row_number() over (order by target / (2 * s - 1) desc, rank, s) as place, seats
@@ -99,20 +100,23 @@ shard_quota as (
     from (select rank, shard, quota, size, unnest(range(1, quota + 1)) as s from shard where size > 0))
   where place <= quota group by all),
 passes as (
-  select s.rank, s.shard, m, least(coalesce(blocks, 0), 2 * m) as blocks,
-         ('0x' || substr(md5('mix-1/phase' || chr(1) || s.rank::varchar || chr(1) || s.shard::varchar), 1, 12))::bigint % greatest(m, 1) as phase
-  from (select *, ceil(size / block)::bigint as m from shard) s left join shard_quota q on q.rank = s.rank and q.shard = s.shard),
+  select *, words // n as passes, words % n as rest, (words % n + block - 1) // block as q,
+         ('0x' || substr(md5('mix-1/phase' || chr(1) || rank::varchar || chr(1) || shard::varchar), 1, 12))::bigint % n as phase
+  from (select s.rank, s.shard, s.block, greatest(s.size, 1) as n, least(coalesce(blocks, 0) * s.block, 2 * s.size)::bigint as words
+        from shard s left join shard_quota q on q.rank = s.rank and q.shard = s.shard)),
 lined as (
-  select p.*, m, phase, case when m > 0 then blocks // m else 0 end as passes, case when m > 0 then blocks % m else 0 end as q,
-         sum(size) over (partition by p.rank, p.shard order by line, doc_id rows between unbounded preceding and current row) - size as b
+  select p.*, s.n, s.passes, s.rest, s.q, s.phase + (sum(size) over (partition by p.rank, p.shard order by line, doc_id rows between unbounded preceding and current row))::bigint - size as b
   from placed p join passes s on p.rank = s.rank and p.shard = s.shard),
 ends as (
-  select *, case when q > 0 then floor(((b // block) * q + phase) / m) end as c0, case when q > 0 then floor(((b // block + 1) * q + phase) / m) end as c1,
-         case when q > 0 then floor((((b + size) // block) * q + phase) / m) end as d0, case when q > 0 then floor((((b + size) // block + 1) * q + phase) / m) end as d1
-  from lined)
-select doc_id, size::bigint as size, z as source_size, round(target, 6) as target,
-       (passes * size + case when q > 0 then (d0 * block + (d1 - d0) * ((b + size) % block)) - (c0 * block + (c1 - c0) * (b % block)) else 0 end)::bigint as taken
-from ends
+  select *, n // greatest(q, 1) as wide, n % greatest(q, 1) as more, list_transform([b, b + size], lambda y: {'rounds': y // n, 'x': y % n}) as at_ from lined),
+cut as (
+  select *, list_transform(at_, lambda p: {'rounds': p.rounds, 'x': p.x,
+    'k': case when p.x < more * (wide + 1) then p.x // (wide + 1) else more + (p.x - more * (wide + 1)) // greatest(wide, 1) end}) as cut_ from ends),
+before as (
+  select *, list_transform(cut_, lambda p: p.rounds * rest + p.k * (rest // greatest(q, 1)) + least(p.k, rest % greatest(q, 1))
+    + least(p.x - p.k * wide - least(p.k, more), rest // greatest(q, 1) + (p.k < rest % greatest(q, 1))::int)) as w from cut)
+select doc_id, size, z as source_size, round(target, 6) as target, (passes * size + case when q > 0 then w[2] - w[1] else 0 end)::bigint as taken
+from before
 """
 
 

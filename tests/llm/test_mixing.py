@@ -71,6 +71,35 @@ def test_many_shards_stay_near_the_target(spark):
         assert taken == pytest.approx(target, rel=0.02)
 
 
+@pytest.mark.parametrize("sources", [1, 3])
+def test_short_texts_meet_the_targets_at_default_settings(spark, sources):
+    n = 30_000
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.expr(f"repeat('w ', cast(if({sources} = 1, 1, 1 + id % 3) as int))").alias("text"), F.expr(f"concat('s', if(id % 2 = 0, 0, id % {sources}))").alias("source"))
+    size, taken, said = defaultdict(int), defaultdict(int), {}
+    for r in M.report(df).collect():
+        source = f"s{0 if r.doc_id % 2 == 0 else r.doc_id % sources}"
+        size[source] += r.size
+        taken[source] += r.taken
+        said[source] = r.target
+        assert r.taken <= 2 * r.size
+    names = sorted(size)
+    for name, want in zip(names, fill([size[s] for s in names]), strict=True):
+        assert said[name] == pytest.approx(want) and taken[name] == pytest.approx(want, rel=0.005)
+
+
+def test_places_are_those_of_listed_blocks(spark):
+    """Every word of a ring, against blocks that are written out one by one."""
+    for n, rest, q, phase in ((13, 12, 5, 4), (100, 37, 4, 99), (7, 6, 6, 0), (50, 1, 1, 17), (64, 63, 9, 5)):
+        marks = []
+        for k in range(q):
+            stretch, chosen = n // q + (k < n % q), rest // q + (k < rest % q)
+            marks += [1] * chosen + [0] * (stretch - chosen)
+        df = spark.range(n).select("id", *[F.lit(x).cast("long").alias(c) for c, x in (("shard_size", n), ("rest", rest), ("q", q))])
+        at = F.col("id") + phase
+        got = [r[0] for r in df.orderBy("id").select((M.words_before(at + 1) - M.words_before(at)).alias("w")).collect()]
+        assert sum(got) == rest and got == [marks[(i + phase) % n] for i in range(n)]
+
+
 def test_mix_gives_what_the_report_says(docs, held):
     out = M.mix(docs)
     assert out.columns == docs.columns
