@@ -16,11 +16,14 @@ _cleaned: set[str] = set()
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests, a single machine) a temporary folder is chosen and kept in the
-    session, so that later calls find the same one.
+    Only where that is unset and the master is local, so that there is one machine, a temporary
+    folder is chosen and kept in the session, so that later calls find the same one. On a cluster an
+    unset folder is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='corvane-')}"
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")

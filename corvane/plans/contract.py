@@ -265,7 +265,7 @@ def weighted_draw(t, spark):
 
 @query(f"""
 select bucket, m, round(case when m > 1 then 1 + (m - 1) * least(1, greatest(0, r)) else m end, 6) as dose
-from (values (0, 0.5, 0.2), (1, 0.75, 0.4), (2, 1.5, 0.9), (3, 3.0, 1.2)) v(bucket, m, r)""")
+from (select bucket, m::double as m, r::double as r from (values (0, 0.5, 0.2), (1, 0.75, 0.4), (2, 1.5, 0.9), (3, 3.0, 1.2)) v(bucket, m, r))""")
 def dose_gate(t, spark):
     rows = spark.createDataFrame([(0, 0.5, 0.2), (1, 0.75, 0.4), (2, 1.5, 0.9), (3, 3.0, 1.2)], "bucket int, m double, r double")
     return rows.select("bucket", "m", _r(scoring.gated_dose(F.col("m"), F.col("r"))).alias("dose"))
