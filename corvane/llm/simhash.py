@@ -25,7 +25,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import build_filter, carried, materialize, one_row, text_or_empty, with_filter
+from corvane.llm import near_copies
+from corvane.llm.common import keep_least, materialize, text_or_empty
 from corvane.llm.components import components
 
 DISTANCE = 4
@@ -173,26 +174,9 @@ def report(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows that stay: of each component the one with the smallest doc_id, with all columns."""
-    return keep_least(docs, classes(docs, shingle))
+def deduplicate(docs: DataFrame, shingle: int = SHINGLE, like: tuple[int, int] | None = None) -> DataFrame:
+    """The rows that stay: of each component the one with the smallest doc_id, with all columns.
 
-
-def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs that stay of the components found (doc_id, row_hash, component_id, n).
-
-    Rows that are alone in their component pass straight through; only the others are shuffled.
+    like: a Jaccard likeness of the shingle sets as a fraction (see near_copies), instead of DISTANCE bits.
     """
-    several = materialize(found.where("n > 1"), "near-copies")
-    n = several.count()
-    if not n:
-        return docs
-    stays = several.groupBy("component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("own")).agg(F.min("row_hash").alias("first"))
-    several = several.join(stays.where("own").select(F.col("component_id").alias("_c"), "first"), F.expr("component_id <=> _c"), "left")
-    look = several.select(F.col("doc_id").alias("_d"), F.col("row_hash").alias("_r"), F.expr("doc_id <=> component_id and row_hash = first").alias("_stays")).distinct()
-    table, width = build_filter(F.col("row_hash"), several, n)
-    rows = carried(docs, "doc_id", "text").select("doc_id", "_all", F.xxhash64(text_or_empty()).alias("_row"))
-    marked = with_filter(rows, F.col("_row"), table, width)
-    maybe = marked.where("_maybe").join(look, F.expr("doc_id <=> _d and _row = _r"), "left")
-    kept = maybe.where("_stays").groupBy("_d", "_r").agg(one_row(docs))
-    return marked.where("not _maybe").select("_all.*").union(maybe.where("_stays is null").select("_all.*")).union(kept.select("_all.*"))
+    return keep_least(docs, near_copies.classes(docs, shingle, like) if like else classes(docs, shingle))
