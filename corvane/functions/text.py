@@ -12,13 +12,17 @@ LEAKS = (
     "<BehaviorTree", r"\bitem_at\b", r"\bcan_reach\b", r"\bco_carrying\b", r"\bcarrying\(", r"\bat\(", r"\bconnected\(",
 )
 #: Words that are no part of a name.
-STOP_WORDS = tuple(
-    "at the a an to where you your start starts take it directly and connects connect is are in on of wakes already left into one two has have exits "
-    "exit straight through coordinate routes each other watch for be ready retry may fumble between only available report when both items places place "
-    "avoid unnecessary delays shared corridors charging station stations recharging recharge set leads lead links link linked joins joined begin begins "
-    "from mission objective objectives relocate relocates deposit plan approach transport execute use layout damaging property needed need must will "
-    "then next finally first second team robots robot wake started beginning".split()
-)
+STOP_WORDS = (
+    "at", "the", "a", "an", "to", "where", "you", "your", "start", "starts", "take", "it", "directly", "and", "connects", "connect", "is", "are", "in",
+    "on", "of", "wakes", "already", "left", "into", "one", "two", "has", "have", "exits", "exit", "straight", "through", "coordinate", "routes", "each",
+    "other", "watch", "for", "be", "ready", "retry", "may", "fumble", "between", "only", "available", "report", "when", "both", "items", "places",
+    "place", "avoid", "unnecessary", "delays", "shared", "corridors", "charging", "station", "stations", "recharging", "recharge", "set", "leads", "lead",
+    "links", "link", "linked", "joins", "joined", "begin", "begins", "from", "mission", "objective", "objectives", "relocate", "relocates", "deposit",
+    "plan", "approach", "transport", "execute", "use", "layout", "damaging", "property", "needed", "need", "must", "will", "then", "next", "finally",
+    "first", "second", "team", "robots", "robot", "wake", "started", "beginning",
+)
+#: A name and the id in parentheses after it.
+NAME_ID = r"([A-Za-z][A-Za-z'\- ]*?)\s*\(([a-z_0-9]+)\)"
 #: Names that a renamed skill can take.
 RENAMES = {
     "PickUp": ("FetchItem", "GrabItem", "RetrieveItem", "CollectItem", "AcquireItem"),
@@ -71,11 +75,18 @@ def chat_prompt(turns: DataFrame, key: str, turn: str, role: str, text: str) ->
 
 
 def names_and_ids(text: Column) -> Column:
-    """Pairs of a name and the id in parentheses after it."""
-    pattern = F.lit(r"([A-Za-z][A-Za-z ]*?) ?\(([a-z0-9_]+)\)")
+    """Pairs of a name and the id in parentheses after it; names may hold apostrophes and hyphens."""
+    pattern = F.lit(NAME_ID)
     return F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("name"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("id"))
 
 
+def name_map(text: Column) -> Column:
+    """Names in lower case to their ids; of several ids of a name the last one counts."""
+    each = F.transform(names_and_ids(text), lambda p: F.struct(F.lower(p["name"]).alias("name"), p["id"].alias("id")))
+    last = F.filter(each, lambda p, i: ~F.exists(F.slice(each, i + 2, F.greatest(F.size(each), F.lit(1))), lambda q: q["name"] == p["name"]))
+    return F.map_from_entries(last)
+
+
 def clean_name(name: Column) -> Column:
     """Lower case, without stop words."""
     words = F.filter(F.split(F.lower(name), r"\s+"), lambda w: (w != "") & ~w.isin(*STOP_WORDS))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.ranking import draw, rank_within
+from corvane.functions.ranking import draw, ordinal, rank_within
+from corvane.functions.storage import materialize
 
 
 def group_success(results: DataFrame, ok: str, groups: list[str]) -> DataFrame:
@@ -22,6 +23,40 @@ def fail_histogram(results: DataFrame, success: str, reason: str) -> DataFrame:
     return results.groupBy(reason).agg(F.sum((~F.col(success)).cast("long")).alias("failures"), F.count("*").alias("n"))
 
 
+def failures_only(results: DataFrame, success: str, reason: str) -> DataFrame:
+    """Failures for the reasons that failures have, no others."""
+    return results.where(~F.col(success)).groupBy(reason).agg(F.count("*").alias("failures"))
+
+
+def error_counts(failures: DataFrame, kind: str, scenario: str) -> DataFrame:
+    """How many failures each kind has, in every scenario and over all (null), with its place from the most frequent down."""
+    counts = failures.where(F.col(kind).isNotNull()).groupingSets([[F.col(scenario), F.col(kind)], [F.col(kind)]], scenario, kind)
+    counts = counts.agg(F.count("*").alias("n"), F.grouping(scenario).alias("_all"))
+    place = F.row_number().over(Window.partitionBy("_all", scenario).orderBy(F.desc("n"), kind))  # one row for each kind
+    return counts.select(scenario, kind, "n", place.alias("place"))
+
+
+def success_report(results: DataFrame, success: str, wellformed: str) -> DataFrame:
+    """n, and the shares of successes and of well-formed outputs; 0 for an empty table."""
+    n = F.greatest(F.count("*"), F.lit(1))
+    rate = lambda c: F.round(F.count_if(c) / n, 6)
+    return results.agg(F.count("*").alias("n"), rate(success).alias("exec_success_rate"), rate(wellformed).alias("xml_wellformed_rate"))
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float | None]:
+    """Interpolated quantiles from the rows of two ranks each; nothing is held in one task."""
+    df = df.select(F.col(value).cast("double").alias("_v")).where("_v is not null")
+    ranked = materialize(ordinal(df, ["_v"], "_rank"), "ranked")
+    n = ranked.count()
+    if not n:
+        return [None] * len(shares)
+    places = [(n - 1) * q for q in shares]
+    wanted = sorted({int(at) + k for at in places for k in (0, 1)})
+    held = {r["_rank"]: r["_v"] for r in ranked.where(F.col("_rank").isin(wanted)).collect()}  # two rows for each share
+    low = [held[int(at)] for at in places]
+    return [a + (at - int(at)) * (held.get(int(at) + 1, a) - a) for a, at in zip(low, places, strict=True)]
+
+
 def contingency(pairs: DataFrame, a: str, b: str, scenario: str) -> DataFrame:
     """Both, A only, B only and neither, by scenario and overall (null)."""
     cell = lambda x, y: F.count_if((F.col(a) == x) & (F.col(b) == y))

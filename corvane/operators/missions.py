@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.functions.storage import materialize
 from corvane.plans.compiler import compile_tree
 from corvane.plans.judge import judge
 from corvane.plans.world import DOMAINS, sample_mission, world_of
@@ -118,17 +119,34 @@ def _candidates(batches: Iterator[pd.DataFrame], seed: str) -> Iterator[pd.DataF
         yield pd.DataFrame(out, columns=["domain", "tier", "n", "no", "meta", "xml", "task"])
 
 
-def build_corpus(spark: SparkSession, split: str, per_domain: int, seed: str, spare: float = 1.5) -> DataFrame:
+def build_corpus(spark: SparkSession, split: str, per_domain: int, seed: str, spares: tuple[float, ...] = (1.5, 8.0, 40.0)) -> DataFrame:
     """(domain, tier, no, record_id, meta, xml): missions that the judge drives to their goal.
 
-    Candidates are drawn by number, spare times as many as wanted, each from its own seed, so any
-    task can make any of them. Equal tasks of a domain and tier count once, the first by number.
+    Candidates are drawn by number, each from its own seed, so any task can make any of them. Equal
+    tasks of a domain and tier count once, the first by number. Quotas that stay open are tried
+    with more candidates, up to 40 times as many as wanted; one that is open after that is an error.
     """
-    jobs = quotas(spark, split, per_domain).withColumn("no", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") * spare).cast("int") + 3)))
+    wanted = quotas(spark, split, per_domain)
+    kept, todo = None, wanted.withColumn("begin", F.lit(0))
+    for spare in spares:
+        kept = materialize(_built(spark, wanted, todo, split, seed, spare, kept), "corpus")
+        have = kept.groupBy("domain", "tier").agg(F.count("*").alias("_have"))
+        open_ = wanted.join(have, ["domain", "tier"], "left").where("coalesce(_have, 0) < n").collect()  # quotas
+        if not open_:
+            return kept.drop("task")
+        todo = spark.createDataFrame([(r.domain, r.tier, r.n, int(-(-r.n * spare // 1)) + 4) for r in open_], "domain string, tier string, n int, begin int")
+    raise ValueError(f"too few missions reach their goal: {[(r.domain, r.tier) for r in open_]}")
+
+
+def _built(spark: SparkSession, wanted: DataFrame, todo: DataFrame, split: str, seed: str, spare: float, kept: DataFrame | None) -> DataFrame:
+    """The missions kept so far and those of the candidates from begin on, the first n of each quota."""
+    jobs = todo.withColumn("no", F.explode(F.sequence(F.col("begin"), F.ceil(F.col("n") * spare).cast("int") + 3))).drop("begin")
     jobs = jobs.repartition(max(1, spark.sparkContext.defaultParallelism), "domain", "tier", "no")
     made = jobs.mapInPandas(lambda it: _candidates(it, f"{seed}/{split}"), "domain string, tier string, n int, no int, meta string, xml string, task string")
     good = made.withColumn("v", verdict("meta", "xml")).where("v.success")
+    good = good.select("domain", "tier", "no", F.sha2(F.concat("meta", F.lit("\n"), "xml"), 256).alias("record_id"), "meta", "xml", F.col("v.ticks").alias("ticks"), F.col("v.recoveries").alias("recoveries"), "task")
+    both = good if kept is None else kept.unionByName(good)
     first = Window.partitionBy("domain", "tier", "task").orderBy("no")
     line = Window.partitionBy("domain", "tier").orderBy("no")
-    kept = good.withColumn("_r", F.row_number().over(first)).where("_r = 1").withColumn("_k", F.row_number().over(line)).where("_k <= n")
-    return kept.select("domain", "tier", "no", F.sha2(F.concat("meta", F.lit("\n"), "xml"), 256).alias("record_id"), "meta", "xml", F.col("v.ticks").alias("ticks"), F.col("v.recoveries").alias("recoveries"))
+    ranked = both.withColumn("_r", F.row_number().over(first)).where("_r = 1").withColumn("_k", F.row_number().over(line))
+    return ranked.join(F.broadcast(wanted), ["domain", "tier"]).where("_k <= n").select(*good.columns)  # one row for each quota

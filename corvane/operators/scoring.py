@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.ranking import midrank
+from corvane.functions.ranking import midrank, ordinal
+from corvane.functions.storage import materialize
+from corvane.operators.metrics import quantiles
 
 
 #: Validation vectors are broadcast up to this size.
@@ -49,40 +51,46 @@ def _distance(a: Column, b: Column, metric: str) -> Column:
     raise ValueError(f"no such metric: {metric}")
 
 
-def nearest(train: DataFrame, val: DataFrame, key: str, vector: str, k: int, metric: str, block: int = 256) -> DataFrame:
-    """(key, distances): the k smallest distances of every training row to the validation rows.
+def nearest(train: DataFrame, val: DataFrame, key: str, vector: str, k: int, metric: str, block: int = 4096) -> DataFrame:
+    """(key, distances): the k smallest distances of every training row to the validation rows, ascending.
 
-    The validation rows are a stated query set; they go over the training rows in blocks. Training
-    vectors come in Arrow batches against one block as a matrix, so neither pairs nor ranks are
-    shuffled, and the best k of all blocks are merged by training row.
+    The validation rows are a stated query set. They go over the training rows in blocks of vectors,
+    each a matrix that is sent once to every executor and at most BROADCAST_BYTES large; one matrix
+    product serves an Arrow batch. Pairs are never made into rows, and the k best of a block are
+    merged with those of the blocks before it.
     """
     if metric not in ("cosine", "euclid"):
         raise ValueError(f"no such metric: {metric}")
-    n, v = val.count(), F.col(vector).cast("array<double>")
-    at = F.pmod(F.xxhash64(vector), F.lit(max(1, -(-n // block))))
-    packed = val.select(v.alias("v"), at.alias("_b")).groupBy("_b").agg(F.collect_list("v").alias("_block"))  # about block rows each
-    rows = train.select(F.col(key), v.alias("_v"))
-    wide = val.agg(F.max(F.size(vector))).first()[0] or 0
-    if n * wide * 8 <= BROADCAST_BYTES:
-        rows = rows.join(F.broadcast(packed.select("_block")), F.lit(True))  # size checked
-    else:  # every group of training rows meets every block
-        groups = max(1, train.count() // 200_000)
-        rows = rows.withColumn("_g", F.pmod(F.xxhash64(key), F.lit(groups)))
-        rows = rows.join(packed.select("_block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).cast("long").alias("_g")), "_g")
-
-    @F.pandas_udf("array<double>")
-    def best(v: pd.Series, others: pd.Series) -> pd.Series:
-        out, held, matrix = [], None, None
-        for a, b in zip(v, others, strict=True):
-            if held is not b:
-                held, matrix = b, np.stack(list(b))
-            x = np.asarray(a)
-            d = np.sqrt(np.maximum(0, 2 - 2 * matrix @ x)) if metric == "cosine" else np.sqrt(((matrix - x) ** 2).sum(1))
-            out.append(np.sort(np.partition(d, min(k, len(d)) - 1)[:k]))
-        return pd.Series(out)
-
-    found = rows.select(key, best("_v", "_block").alias("_d"))
-    return found.groupBy(key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("_d"))), 1, k).alias("distances"))
+    spark, v = train.sparkSession, F.col(vector).cast("array<double>")
+    size = val.agg(F.count("*"), F.max(F.size(vector))).first()
+    block = max(1, min(block, BROADCAST_BYTES // max(1, 8 * (size[1] or 1))))
+    numbered = materialize(ordinal(val.select(v.alias("_v")), ["_v"], "_no"), "validation")
+    rows = train.select(F.col(key), v.alias("_v"), F.array().cast("array<double>").alias("distances"))
+    for start in range(0, size[0], block):
+        some = numbered.where((F.col("_no") >= start) & (F.col("_no") < start + block)).select("_v").toArrow()["_v"]  # one block
+        sent = spark.sparkContext.broadcast(np.array(some.to_pylist(), np.float64))
+        rows = rows.withColumn("distances", _closest(sent, k, metric)("_v", "distances"))
+        if start + block < size[0]:
+            rows = materialize(rows, "nearest")
+    return rows.select(key, "distances")
+
+
+def _closest(sent, k: int, metric: str):
+    @F.arrow_udf("array<double>")
+    def best(vectors: pa.Array, so_far: pa.Array) -> pa.Array:
+        m, out = sent.value, []
+        for at in range(0, len(vectors), 256):
+            x = np.array(vectors.slice(at, 256).to_pylist(), np.float64).reshape(-1, m.shape[1])
+            if metric == "cosine":
+                d = np.sqrt(np.maximum(0, 2 - 2 * x @ m.T))
+            else:
+                d = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (m * m).sum(1) - 2 * x @ m.T))
+            for row, before in zip(d, so_far.slice(at, 256).to_pylist(), strict=True):
+                row = np.partition(row, k - 1)[:k] if k < len(row) else row
+                out.append(np.sort(np.concatenate([before, row]))[:k])
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return best
 
 
 def knn_utility(train: DataFrame, val: DataFrame, key: str, vector: str, k: int, metric: str = "cosine") -> DataFrame:
@@ -90,7 +98,8 @@ def knn_utility(train: DataFrame, val: DataFrame, key: str, vector: str, k: int,
     median of the distances above 1e-8; without any, utility is 1."""
     k = min(max(1, k), val.count())
     near = nearest(train, val, key, vector, k, metric)
-    sigma = near.select(F.explode("distances").alias("d")).where("d > 1e-8").agg(F.median("d")).first()[0]
+    near = materialize(near, "distances")
+    sigma = quantiles(near.select(F.explode("distances").alias("d")).where("d > 1e-8"), "d", [0.5])[0]
     if sigma is None:
         return near.select(key, F.lit(1.0).alias("utility"))
     kernel = F.transform("distances", lambda d: F.exp(-d * d / (2 * sigma * sigma)))
@@ -153,6 +162,18 @@ def adaptive_dose(rows: DataFrame, bucket: str, difficulty: str, utility: str, f
     return per.select(bucket, "n", (F.col("raw") / mean).alias("dose"))
 
 
+def residual_dose(rows: DataFrame, bucket: str, difficulty: str, residuals: list[float], window: list[int]) -> DataFrame:
+    """(bucket, n, dose): mean difficulty times the residual, cut to [0, 1], over the mean of that in the
+    buckets of the window; a window without any mass is an error."""
+    per = rows.groupBy(bucket).agg(F.count("*").alias("n"), F.avg(difficulty).alias("d"))
+    r = F.try_element_at(F.array(*[F.lit(min(1.0, max(0.0, float(x)))) for x in residuals]), (F.col(bucket) + 1).cast("int"))
+    per = materialize(per.withColumn("raw", F.col("d") * r), "doses")  # one row for each bucket
+    mean = per.where(F.col(bucket).isin(window)).agg(F.sum(F.col("raw") * F.col("n")) / F.sum("n")).first()[0]
+    if not mean or mean <= 0:
+        raise ValueError("the active buckets have no positive mass")
+    return per.select(bucket, "n", (F.col("raw") / F.lit(mean)).alias("dose"))
+
+
 def check_rounds(windows: list[int], doses: list[list[float]], k: int, only_round: int | None = None, adaptive: bool = False, gated: bool = False) -> None:
     """The flags that go together: one window and one dose for each round, the last window over all buckets."""
     if adaptive and gated:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.functions.ranking import draw
+from corvane.functions.storage import materialize
 from corvane.operators.missions import verdict
 from corvane.operators.sampling import round_robin, stratified
 
@@ -72,7 +73,8 @@ def rename_skills(records: DataFrame, fraction: float, seed: str) -> DataFrame:
     """The sampled records with one simple skill renamed, judged again with the alias; others as they were.
 
     Families are sampled by their own share; a record's skill is drawn among those it has; names of a
-    skill's pool take turns. A renamed tree that the judge refuses keeps its old name.
+    skill's pool take turns. A record whose renamed tree the judge refuses
+    stays as it was, with success false and the name that was tried.
     """
     records = records.withColumn("family", family(F.get_json_object("meta", "$.scenario"))).withColumn("row", F.concat_ws("/", "domain", "tier", F.col("no").cast("string")))
     chosen = stratified(records, "family", "row", fraction, seed)
@@ -88,9 +90,12 @@ def rename_skills(records: DataFrame, fraction: float, seed: str) -> DataFrame:
     renamed = parts[0]
     for p in parts[1:]:
         renamed = renamed.unionByName(p)
-    renamed = renamed.withColumn("success", verdict("meta", "xml")["success"]).drop("_skills", "skill")
-    rest = records.join(renamed.where("success").select("row"), "row", "left_anti")
-    return renamed.where("success").unionByName(rest.withColumn("renamed_skill", F.lit(None).cast("string")).withColumn("success", F.lit(True)))
+    renamed = materialize(renamed.withColumn("success", verdict("meta", "xml")["success"]).drop("_skills", "skill").withColumn("tried_skill", F.col("renamed_skill")), "renamed")
+    none = F.lit(None).cast("string")
+    refused = renamed.where("not success").select(F.col("row").alias("_row"), "tried_skill")
+    rest = records.join(renamed.where("success").select("row"), "row", "left_anti").join(refused, F.expr("row = _row"), "left").drop("_row")
+    rest = rest.withColumn("renamed_skill", none).withColumn("success", F.col("tried_skill").isNull())
+    return renamed.where("success").unionByName(rest)
 
 
 def node_table(trees: DataFrame, key: str, xml: str) -> DataFrame:
@@ -127,5 +132,5 @@ def node_table(trees: DataFrame, key: str, xml: str) -> DataFrame:
 
 
 def rename_report(records: DataFrame) -> DataFrame:
-    """By family and new name: how many records were renamed."""
-    return records.groupBy("family", "renamed_skill").agg(F.count("*").alias("n"))
+    """By family and new name (null: not sampled): how many were tried, renamed and refused by the judge."""
+    return records.groupBy("family", "tried_skill").agg(F.count("*").alias("n"), F.count_if("success").alias("ok"), F.count_if(~F.col("success")).alias("exec_failed"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text as T
 from corvane.functions.ranking import buckets, draw, midrank
 from corvane.operators import graph, metrics, missions, sampling, scoring
-from corvane.plans import inline
+from corvane.plans import cases, inline
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,10 +87,45 @@ def mcnemar_exact(t, spark):
 
 
 @query("""
-select sum((l.doc_id is null)::int)::bigint as left_only, sum((d.doc_id is null)::int)::bigint as right_only, 0::bigint as different
-from documents d full join labels l on d.doc_id = l.doc_id""")
+select sum((b.doc_id is null)::int)::bigint as left_only, sum((d.doc_id is null)::int)::bigint as right_only,
+       sum((b.doc_id is not null and d.doc_id is not null and (d.lang is distinct from b.lang or d.source is distinct from b.source))::int)::bigint as different
+from documents d full join (select doc_id, case when doc_id % 10 = 0 then 'other' else lang end as lang, case when doc_id % 15 = 0 then null else source end as source
+                            from documents where doc_id % 7 <> 0 union all select -1, 'en', 'src0') b on d.doc_id = b.doc_id""")
 def paired_alignment_check(t, spark):
-    return metrics.alignment_violations(t("documents"), t("labels"), "doc_id")
+    a = t("documents").select("doc_id", "lang", "source")
+    lang = F.when(F.col("doc_id") % 10 == 0, "other").otherwise(F.col("lang")).alias("lang")
+    b = a.where("doc_id % 7 <> 0").select("doc_id", lang, F.when(F.col("doc_id") % 15 != 0, F.col("source")).alias("source"))
+    b = b.union(spark.createDataFrame([(-1, "en", "src0")], "doc_id long, lang string, source string"))
+    return metrics.alignment_violations(a, b, "doc_id", ["lang", "source"])
+
+
+_KINDS = """
+select l.doc_id, d.source, quality = 1 and toxic = 0 as success, length(d.text) > 500 as wellformed,
+       case when toxic = 1 then 'toxic' when quality = 0 then 'low_quality' end as kind from labels l join documents d on d.doc_id = l.doc_id"""
+
+
+def _kinds(t):
+    kind = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low_quality")
+    rows = t("labels").join(t("documents").select("doc_id", "source", "text"), "doc_id")
+    return rows.select("doc_id", "source", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("success"), (F.length("text") > 500).alias("wellformed"), kind.alias("kind"))
+
+
+@query(f"select kind, count(*) as failures from ({_KINDS}) where not success group by kind")
+def failures_only(t, spark):
+    return metrics.failures_only(_kinds(t), "success", "kind")
+
+
+@query(f"""
+with c as (select source, kind, count(*) as n, grouping(source) as all_ from ({_KINDS}) where kind is not null group by grouping sets ((source, kind), (kind)))
+select source, kind, n, row_number() over (partition by all_, source order by n desc, kind)::int as place from c""")
+def error_types(t, spark):
+    return metrics.error_counts(_kinds(t), "kind", "source")
+
+
+@query(f"""
+select count(*) as n, round(sum(success::int)::double / count(*), 6) as exec_success_rate, round(sum(wellformed::int)::double / count(*), 6) as xml_wellformed_rate from ({_KINDS})""")
+def success_report(t, spark):
+    return metrics.success_report(_kinds(t), "success", "wellformed")
 
 
 @query("""
@@ -122,9 +157,10 @@ select round(quantile_cont(l_extendedprice, 0.1), 6) as p10, round(quantile_cont
        round(avg(l_extendedprice), 6) as mean, round(median(case when l_discount > 1e-8 then l_discount end), 6) as positive_median from lineitem""")
 def percentiles(t, spark):
     rows = t("lineitem").select("l_extendedprice", "l_discount")
-    p = F.expr("percentile(l_extendedprice, array(0.1, 0.5, 0.9))")
-    out = rows.agg(p.alias("p"), _r(F.avg("l_extendedprice")).alias("mean"), _r(F.median(F.when(F.col("l_discount") > 1e-8, F.col("l_discount")))).alias("positive_median"))
-    return out.select(*[_r(F.col("p")[i]).alias(c) for i, c in enumerate(("p10", "p50", "p90"))], "mean", "positive_median")
+    p10, p50, p90 = metrics.quantiles(rows, "l_extendedprice", [0.1, 0.5, 0.9])
+    (median,) = metrics.quantiles(rows.where("l_discount > 1e-8"), "l_discount", [0.5])
+    value = lambda x: _r(F.lit(x).cast("double"))
+    return rows.agg(value(p10).alias("p10"), value(p50).alias("p50"), value(p90).alias("p90"), _r(F.avg("l_extendedprice")).alias("mean"), value(median).alias("positive_median"))
 
 
 # --- ranks, buckets, scores ------------------------------------------------------------------------
@@ -279,6 +315,14 @@ def dose_adaptive(t, spark):
     return scoring.adaptive_dose(rows, "bucket", "d", "u", False).select("bucket", "n", _r("dose", 5).alias("dose"))
 
 
+@query(f"""
+with per as (select bucket, count(*) as n, avg(n_chars / 1000.0::double) * least(1, greatest(0, [0.9::double, 1.4, 0.3, -0.2][bucket + 1])) as raw from ({_BUCKETED}) group by bucket)
+select bucket, n, round(raw / (select sum(raw * n) / sum(n) from per where bucket in (0, 1, 2)), 5) as dose from per""")
+def dose_residual(t, spark):
+    rows = _bucketed(t).withColumn("d", F.col("n_chars") / 1000.0)
+    return scoring.residual_dose(rows, "bucket", "d", [0.9, 1.4, 0.3, -0.2], [0, 1, 2]).select("bucket", "n", _r("dose", 5).alias("dose"))
+
+
 def _window_sql(where: str, dose: str) -> str:
     return f"""
 with p as (select doc_id, greatest({dose}[bucket_at::int + 1], 1e-6) as w from (select *, {where[1]} as bucket_at from ({_BUCKETED})) where {where[0]}),
@@ -389,18 +433,18 @@ def chat_concat(t, spark):
     return T.chat_prompt(t("conversations"), "conv_id", "turn", "role", "text")
 
 
-_SENTENCE = "select n_nationkey, 'the ' || replace(lower(n_name), '_', ' ') || ' (n_' || n_nationkey || ') connects to ' || lower(r_name) || ' (r_' || r_regionkey || ')' as s from nation join region on n_regionkey = r_regionkey"
+_SENTENCE = "select n_nationkey, 'the ' || replace(lower(n_name), '_', ' ') || '''s out-post (n_' || n_nationkey || ') connects to ' || lower(r_name) || ' (r_' || r_regionkey || ')' as s from nation join region on n_regionkey = r_regionkey"
 
 
 def _sentences(t):
     joined = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     low = F.regexp_replace(F.lower("n_name"), "_", " ")
-    return joined.select("n_nationkey", F.concat(F.lit("the "), low, F.lit(" (n_"), F.col("n_nationkey"), F.lit(") connects to "), F.lower("r_name"), F.lit(" (r_"), F.col("r_regionkey"), F.lit(")")).alias("s"))
+    return joined.select("n_nationkey", F.concat(F.lit("the "), low, F.lit("'s out-post (n_"), F.col("n_nationkey"), F.lit(") connects to "), F.lower("r_name"), F.lit(" (r_"), F.col("r_regionkey"), F.lit(")")).alias("s"))
 
 
 @query(rf"""
-select n_nationkey, pos, regexp_extract_all(s, '([A-Za-z][A-Za-z ]*?) ?\(([a-z0-9_]+)\)', 1)[pos] as name, regexp_extract_all(s, '([A-Za-z][A-Za-z ]*?) ?\(([a-z0-9_]+)\)', 2)[pos] as id
-from ({_SENTENCE}), (values (1), (2)) p(pos) where pos <= len(regexp_extract_all(s, '([A-Za-z][A-Za-z ]*?) ?\(([a-z0-9_]+)\)'))""")
+select n_nationkey, pos, regexp_extract_all(s, '([A-Za-z][A-Za-z''\- ]*?)\s*\(([a-z_0-9]+)\)', 1)[pos] as name, regexp_extract_all(s, '([A-Za-z][A-Za-z''\- ]*?)\s*\(([a-z_0-9]+)\)', 2)[pos] as id
+from ({_SENTENCE}), (values (1), (2)) p(pos) where pos <= len(regexp_extract_all(s, '([A-Za-z][A-Za-z''\- ]*?)\s*\(([a-z_0-9]+)\)'))""")
 def name_id_extract(t, spark):
     pairs = _sentences(t).select("n_nationkey", F.posexplode(T.names_and_ids(F.col("s"))).alias("pos", "pair"))
     return pairs.select("n_nationkey", (F.col("pos") + 1).alias("pos"), "pair.name", "pair.id")
@@ -426,9 +470,11 @@ with w as (select distinct unnest(string_split(p_name, ' ')) as token from part)
 targets as (select * from (values ('item', 'ite'), ('location', 's'), ('robot', 'al')) t(slot, typed))
 select slot, token from w join targets on starts_with(token, typed) or starts_with(typed, token) where token <> ''""")
 def prefix_mask(t, spark):
-    words = t("part").select(F.explode(F.split("p_name", " ")).alias("token")).where("token != ''").distinct()
-    targets = spark.createDataFrame([("item", "ite"), ("location", "s"), ("robot", "al")], "slot string, typed string")
-    return words.join(F.broadcast(targets), F.col("token").startswith(F.col("typed")) | F.col("typed").startswith(F.col("token"))).select("slot", "token")  # three rows
+    from corvane.operators import masks
+
+    words = t("part").select(F.explode(F.split("p_name", " ")).alias("token")).distinct()
+    cases = spark.createDataFrame([("item", ["ite"], ""), ("location", ["s"], ""), ("robot", ["al"], "")], "slot string, allowed array<string>, _typed string")
+    return masks.allowed_tokens(cases, words, "slot")
 
 
 # --- worlds and graphs -----------------------------------------------------------------------------
@@ -438,10 +484,10 @@ def _graph(spark):
     inline.views(spark)
 
 
-@query(inline.WITH + graph.SHORTEST.replace("with recursive", ","))
+@query(inline.WITH + inline.SHORTEST)
 def bfs_shortest(t, spark):
     _graph(spark)
-    return spark.sql(graph.SHORTEST)
+    return graph.shortest(spark.table("edges"))
 
 
 @query(inline.WITH + graph.SIMPLE_PATHS.format(nodes=4).replace("with recursive", ","))
@@ -450,10 +496,10 @@ def simple_paths(t, spark):
     return spark.sql(graph.SIMPLE_PATHS.format(nodes=4))
 
 
-@query(inline.WITH + graph.STATION_DISTANCE.replace("with recursive", ","))
+@query(inline.WITH + inline.STATION_DISTANCE)
 def station_distance(t, spark):
     _graph(spark)
-    return spark.sql(inline.SPARK_STATION_DISTANCE)
+    return graph.station_distance(spark.table("edges"), spark.table("stations"), spark.table("can_reach"))
 
 
 @query(inline.WITH + inline.GROUND)
@@ -494,13 +540,33 @@ def quotas(t, spark):
     return missions.quotas(spark, "test", 150)
 
 
-@query()
+@query("""
+select problem, count(*) as n from (
+  select case when doc_id % 97 = 0 then 'bad_json' when text is null then 'missing:instruction' when doc_id % 97 = 1 or lang is null then 'missing:input' else 'ok' end as problem
+  from documents where doc_id % 97 <> 2) group by problem""")
 def jsonl_validate(t, spark):
     from corvane.sources import jsonl
 
     return jsonl.round_trip_report(t("documents").select("doc_id", "text", "lang"))
 
 
+# --- the judge's truth table: written verdicts, the trees are run --------------------------------
+
+
+def _judged(spark):
+    return spark.createDataFrame(cases.rows(), '`case` string, meta string, xml string')
+
+
+@query(cases.verdict_sql())
+def judge_cases(t, spark):
+    return _judged(spark).select("case", missions.verdict("meta", "xml").alias("v")).select("case", "v.success", "v.reason", F.col("v.recoveries").cast("long").alias("recoveries"))
+
+
+@query(cases.error_sql())
+def diagnose_cases(t, spark):
+    return missions.diagnose(_judged(spark), "case").select("case", "error_type")
+
+
 # --- missions --------------------------------------------------------------------------------------
 
 
@@ -631,13 +697,17 @@ def extra_edges(t, spark):
     return spare.withColumn("_u", u).orderBy("_u").limit(2).select("a", "b", _r("_u").alias("u"))
 
 
-@query("""
-select case when source in ('src0', 'src1') then 'new' else 'shared' end as family, count(*) as n, sum(quality)::bigint as ok
-from documents d join labels l on d.doc_id = l.doc_id group by 1""")
+_SCENARIO = "case source when 'src0' then 'relay+service' when 'src1' then 'heavy+extra' when 'src2' then 'relay' else 'independent' end"
+
+
+@query(f"""
+select case when s like '%+service%' then 'new_primitive' when s like 'relay%' then 'relay' when s like 'heavy%' then 'heavy' else 'independent' end as family, count(*) as n, sum(quality)::bigint as ok
+from (select {_SCENARIO} as s, quality from documents d join labels l on d.doc_id = l.doc_id) group by 1""")
 def family_success(t, spark):
-    rows = t("documents").select("doc_id", "source").join(t("labels"), "doc_id")
-    family = F.when(F.col("source").isin("src0", "src1"), "new").otherwise("shared").alias("family")
-    return rows.groupBy(family).agg(F.count("*").alias("n"), F.sum("quality").cast("long").alias("ok"))
+    from corvane.operators import trees
+
+    rows = t("documents").select("doc_id", F.expr(_SCENARIO).alias("scenario")).join(t("labels"), "doc_id")
+    return rows.groupBy(trees.family(F.col("scenario")).alias("family")).agg(F.count("*").alias("n"), F.sum("quality").cast("long").alias("ok"))
 
 
 @query("""
