@@ -6,7 +6,8 @@ A generative label model (two classes, a rate of firing for each voter and class
 votes by expectation maximisation, the annotator's label being one voter more. What is left of the
 covariance of two voters within a class gives their correlation; a voter counts for its share among
 those that it goes with. The posteriors of that model are the labels on which a linear classifier of
-the voters' hits is trained. It scores every whole text.
+the voters' hits is trained, together with one virtual text for each voter, which carries the label
+model's estimate of that voter. It scores every whole text.
 
 All fitting is on a bounded sample of labelled rows: at most TRAIN_ROWS of each label, of at most
 TRAIN_BYTES bytes. Held-out rows are never read for it.
@@ -40,7 +41,8 @@ LEAST_TEXTS, LEAST_PURITY = 3, 0.9
 BEGINNINGS = (3, 4, 5, 6)
 CACHE_ROWS = 200_000
 RIDGE = 0.01
-TRUSTED = 0.9
+#: The value of the one feature of a virtual text: two hits of one voter.
+VIRTUAL_HITS = float(np.log2(3))
 
 LEXICON = tuple(
     "idiot moron stupid dumb loser clown scum trash garbage filth vermin pathetic worthless disgusting imbecile jerk bastard "
@@ -84,7 +86,7 @@ class Voter(dict):
         self.words, self.starts, self.patterns = model.lookup()
 
     def __missing__(self, token: str) -> tuple[int, ...]:
-        hits = [i for i, p in self.patterns if len(token) < 200 and p.fullmatch(token)]
+        hits = [i for i, p in self.patterns if p.fullmatch(token)]
         for word in _LETTERS.findall(token.lower()):
             if word in self.words:
                 hits.append(self.words[word])
@@ -255,18 +257,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         at, value = features(voter.hits(text), len(text))
         x[i, at] = value
     posterior, model.accuracy, shares = label_model(x > 0, gold)
-    w, model.bias = logistic(x * shares, posterior, np.ones(len(posterior)))
+    # a virtual text for each voter, which it alone fires for, with the label model's word on it: a
+    # voter that the sample hardly knows keeps the weight that its estimated accuracy gives it
+    alone = np.eye(len(voters)) * VIRTUAL_HITS
+    w, model.bias = logistic(np.concatenate([x, alone]) * shares, np.concatenate([posterior, model.accuracy]), np.ones(len(unique) + len(voters)))
     model.weights = w * shares
-    # two words of the lexicon that the label model trusts are enough
-    fixed = [i for i, (k, _) in enumerate(voters) if k == "word"]
-    for i in fixed:
-        if x[:, i].any() and model.accuracy[i] >= TRUSTED:
-            model.weights[i] = max(model.weights[i], -0.55 * model.bias)
-    # and one that no sampled text holds speaks like the others do
-    known = [model.weights[i] for i in fixed if model.weights[i] > 0]
-    for i in fixed:
-        if known and not x[:, i].any():
-            model.weights[i] = min(float(np.median(known)), -model.bias / 2)
     return model
 
 
