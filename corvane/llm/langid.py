@@ -1,14 +1,17 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Two gated recurrent networks read a word's bytes (between two spaces) from left and right; both
-states at a position give the probabilities of its language. A document's probabilities are the
-mean over all its positions. The network is trained here, in numpy, by backpropagation through
-time, on words of a bounded sample of labelled rows: some TRAIN_DOCS rows of each language, at
-most TRAIN_ROWS in all, of at most TRAIN_BYTES bytes, and TRAIN_WORDS words of them. Prediction reads every whole text.
-
-A word's sums do not depend on what stands around it, so a worker keeps them for the words it has
-seen, in a table of bounded size; only new words go through the network, in batches of equal
-length. Words of more than PIECE bytes are cut into pieces of that length, all of which are read.
+A text is read as one line of bytes, lower case in ASCII, with one space for every run of white
+space. Two gated recurrent networks run over it from left and right, across words; both states at a
+position give the probabilities of its language, and a document's probabilities are the mean over
+all its positions. For long texts the line is cut into windows of STEP positions, and either network
+starts CONTEXT positions before its window, so that its state has settled when the window begins;
+every position is labelled once. Windows of many texts go through the networks side by side, so
+memory is bounded by WINDOWS whatever the length of a text.
+
+The networks are trained here, in numpy, by backpropagation through time, on pieces of PIECE bytes
+from a bounded sample of labelled rows: some TRAIN_DOCS rows of each language, at most TRAIN_ROWS in
+all (so at most that many languages), of at most TRAIN_BYTES bytes, and TRAIN_PIECES pieces of them.
+Prediction reads every whole text.
 
 Defined results: und for a null text or one without a letter, with score 0. Without any training
 row every text is und. Rows of equal texts get equal results. An empty table gives an empty result.
@@ -26,17 +29,18 @@ from corvane.llm.common import text_or_empty
 TRAIN_DOCS = 400
 TRAIN_ROWS = 4_000
 TRAIN_BYTES = 16_384
-TRAIN_WORDS = 60_000
+TRAIN_PIECES = 10_000
+PIECE = 64
 EMBED = 12
-HIDDEN = 16
-EPOCHS = 4
-BATCH = 256
+HIDDEN = 12
+EPOCHS, MOST_EPOCHS = 3, 45
+BATCH = 64
 RATE = 0.01
-PIECE = 30
-CACHE_ROWS = 400_000
+STEP, CONTEXT = 192, 16
+WINDOWS = 512
 SEED = 11
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_PAD = 0
+_SPACE = 32
 
 
 def _sigmoid(x):
@@ -57,17 +61,18 @@ class Network:
         self.w = weights
 
     def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool):
-        """x: bytes (steps, words). States after each step; what the way back needs, if keep."""
+        """x: bytes (steps, lines). States after each step; what the way back needs, if keep."""
         h = HIDDEN
-        gates_in = (self.w["emb"] @ self.w[f"w{d}"] + self.w[f"c{d}"])[x]
+        of_byte = self.w["emb"] @ self.w[f"w{d}"] + self.w[f"c{d}"]
         u = self.w[f"u{d}"]
         state = np.zeros((x.shape[1], h), np.float32)
         states, held = np.empty((*x.shape, h), np.float32), []
         order = range(len(x)) if d == "f" else range(len(x) - 1, -1, -1)
         for t in order:
-            zr = _sigmoid(gates_in[t, :, : 2 * h] + state @ u[:, : 2 * h])
+            gates_in = of_byte[x[t]]
+            zr = _sigmoid(gates_in[:, : 2 * h] + state @ u[:, : 2 * h])
             z, r = zr[:, :h], zr[:, h:]
-            n = np.tanh(gates_in[t, :, 2 * h :] + (r * state) @ u[:, 2 * h :])
+            n = np.tanh(gates_in[:, 2 * h :] + (r * state) @ u[:, 2 * h :])
             m = mask[t][:, None]
             new = state + m * (1 - z) * (n - state)
             if keep:
@@ -75,12 +80,45 @@ class Network:
             state = states[t] = new
         return states, held
 
-    def probabilities(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """(steps, words, classes)"""
-        states = [self._run(x, mask, d, False)[0] for d in "fb"]
-        logits = np.concatenate(states, 2) @ self.w["out"] + self.w["bias"]
-        e = np.exp(logits - logits.max(2, keepdims=True))
-        return e / e.sum(2, keepdims=True)
+    def _states(self, x: np.ndarray, d: str, there: slice) -> np.ndarray:
+        """States at the places there, (steps, units, lines): _run without the way back, in place and unit by unit."""
+        h, w = HIDDEN, self.w
+        half = np.repeat(np.array([0.5, 1], np.float32), [2 * h, h])  # sigmoid(x) = (1 + tanh(x / 2)) / 2
+        of_byte = np.ascontiguousarray(((w["emb"] @ w[f"w{d}"] + w[f"c{d}"]) * half).T.astype(np.float32))
+        u = np.ascontiguousarray((w[f"u{d}"] * half).T.astype(np.float32))
+        lines = x.shape[1]
+        state, gates, some = np.zeros((h, lines), np.float32), np.empty((3 * h, lines), np.float32), np.empty((2 * h, lines), np.float32)
+        out = np.empty((there.stop - there.start, h, lines), np.float32)
+        zr, n = gates[: 2 * h], gates[2 * h :]
+        places = range(there.stop) if d == "f" else range(len(x) - 1, there.start - 1, -1)
+        for t in places:
+            np.take(of_byte, x[t], axis=1, out=gates, mode="clip")
+            np.matmul(u[: 2 * h], state, out=some)
+            zr += some
+            np.tanh(zr, out=zr)
+            zr += 1
+            zr *= 0.5
+            np.multiply(zr[h:], state, out=some[:h])
+            np.matmul(u[2 * h :], some[:h], out=some[h:])
+            n += some[h:]
+            np.tanh(n, out=n)
+            state -= n
+            state *= zr[:h]
+            state += n
+            if there.start <= t < there.stop:
+                out[t - there.start] = state
+        return out
+
+    def labels(self, x: np.ndarray, there: slice) -> np.ndarray:
+        """Probabilities at the places there of every line: (steps, classes, lines)"""
+        f, b = (self._states(x, d, there) for d in "fb")
+        out, h = self.w["out"].T.astype(np.float32), HIDDEN
+        e = np.ascontiguousarray(out[:, :h]) @ f + np.ascontiguousarray(out[:, h:]) @ b
+        e += self.w["bias"].astype(np.float32)[:, None]
+        e -= e.max(1, keepdims=True)
+        np.exp(e, out=e)
+        e /= e.sum(1, keepdims=True)
+        return e
 
     def gradient(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross entropy over all positions, and its derivatives."""
@@ -121,28 +159,27 @@ class Network:
         return float(loss), g
 
 
-def _layout(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes (steps, words) and which of them are there; words stand between spaces."""
-    size = max(map(len, words)) + 2
-    x = np.full((size, len(words)), _PAD, np.uint8)
-    mask = np.zeros((size, len(words)), np.float32)
-    for k, word in enumerate(words):
-        framed = b" " + word + b" "
-        x[: len(framed), k] = np.frombuffer(framed, np.uint8)
-        mask[: len(framed), k] = 1
+def _layout(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes (steps, pieces) and which of them are there."""
+    size = max(map(len, pieces))
+    x = np.full((size, len(pieces)), _SPACE, np.uint8)
+    mask = np.zeros((size, len(pieces)), np.float32)
+    for k, piece in enumerate(pieces):
+        x[: len(piece), k] = np.frombuffer(piece, np.uint8)
+        mask[: len(piece), k] = 1
     return x, mask
 
 
-def train(words: list[bytes], labels: np.ndarray, classes: list[str], epochs: int = EPOCHS, seed: int = SEED) -> Network:
-    """Adam on batches of words of like length."""
+def train(pieces: list[bytes], labels: np.ndarray, classes: list[str], epochs: int = EPOCHS, seed: int = SEED) -> Network:
+    """Adam on batches of pieces of like length."""
     net, r = Network(classes, seed=seed), np.random.default_rng(seed)
     mean, square = ({k: np.zeros_like(v) for k, v in net.w.items()} for _ in range(2))
-    by_length = np.argsort([len(x) for x in words], kind="stable")
-    batches = [by_length[i : i + BATCH] for i in range(0, len(words), BATCH)]
+    by_length = np.argsort([len(x) for x in pieces], kind="stable")
+    batches = [by_length[i : i + BATCH] for i in range(0, len(pieces), BATCH)]
     step, steps = 0, epochs * len(batches)
     for _ in range(epochs):
         for b in r.permutation(len(batches)):
-            x, mask = _layout([words[i] for i in batches[b]])
+            x, mask = _layout([pieces[i] for i in batches[b]])
             _, g = net.gradient(x, mask, labels[batches[b]])
             step += 1
             rate = RATE * (1 - step / (steps + 1))
@@ -153,65 +190,32 @@ def train(words: list[bytes], labels: np.ndarray, classes: list[str], epochs: in
     return net
 
 
-def words_of(text: str) -> list[bytes]:
-    """The words in lower case, long ones in pieces, so that what is kept for a word is small."""
+def line_of(text: str) -> bytes:
+    """The bytes that are read: lower case in ASCII, a space for each run of white space, and one at either end."""
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if words and max(map(len, words)) > PIECE:
-        return [p for w in words for p in pieces_of(w)]
-    return words
-
-
-def pieces_of(word: bytes) -> list[bytes]:
-    return [word] if len(word) <= PIECE else [word[i : i + PIECE] for i in range(0, len(word), PIECE)]
-
-
-class Reader:
-    """Sums of probabilities by word, kept for at most CACHE_ROWS words."""
-
-    def __init__(self, net: Network):
-        self.net, self.index = net, {}
-        self.sums = np.empty((CACHE_ROWS, len(net.classes) + 1), np.float32)
-
-    def _read(self, words: list[bytes]) -> np.ndarray:
-        """(words, classes and number of positions)"""
-        out = np.zeros((len(words), len(self.net.classes) + 1), np.float32)
-        pieces = sorted(enumerate(words), key=lambda x: len(x[1]))
-        for at in range(0, len(pieces), 2048):
-            some = pieces[at : at + 2048]
-            x, mask = _layout([p for _, p in some])
-            p = (self.net.probabilities(x, mask) * mask[:, :, None]).sum(0)
-            out[[k for k, _ in some]] = np.concatenate([p, mask.sum(0)[:, None]], 1)
-        return out
-
-    def document(self, words: list[bytes]) -> np.ndarray:
-        """Sums over all words; many words at a time, so that a long text stays within the cache."""
-        total = np.zeros(self.sums.shape[1])
-        for at in range(0, len(words), CACHE_ROWS // 4):
-            some = words[at : at + CACHE_ROWS // 4]
-            total += self.sums[self._known(some)].sum(0, dtype=np.float64)
-        return total
-
-    def _known(self, words: list[bytes]) -> np.ndarray:
-        try:
-            return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            if len(self.index) + len(words) > CACHE_ROWS:
-                self.index.clear()
-            new = [x for x in dict.fromkeys(words) if x not in self.index]
-            at = len(self.index)
-            self.sums[at : at + len(new)] = self._read(new)
-            self.index.update(zip(new, range(at, at + len(new)), strict=True))
-            return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        """Reads the new words of many texts in one go."""
-        new = list(dict.fromkeys(x for words in texts for x in words if x not in self.index))
-        if len(self.index) + len(new) > CACHE_ROWS:
-            self.index.clear()
-            new = list(dict.fromkeys(x for words in texts for x in words))
-        new = new[:CACHE_ROWS]
-        for at in range(0, len(new), 50_000):
-            self._known(new[at : at + 50_000])
+    return b" " + b" ".join(words) + b" "
+
+
+def sums_of(net: Network, lines: list[bytes]) -> np.ndarray:
+    """(lines, classes): the sums of the probabilities at all places of each line."""
+    pad = b" " * CONTEXT
+    buffer = np.frombuffer(b"".join(pad + x + pad for x in lines) + b" " * STEP, np.uint8)
+    lengths = np.array([len(x) for x in lines], np.int64)
+    begin = np.concatenate([[0], np.cumsum(lengths + 2 * CONTEXT)[:-1]])
+    n = -(-lengths // STEP)
+    line = np.repeat(np.arange(len(lines)), n)
+    no = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    left = lengths[line] - no * STEP  # places from the window's begin to the line's end
+    out = np.zeros((len(lines), len(net.classes)))
+    by_size = np.argsort(left, kind="stable")  # short windows side by side, so that little is read in vain
+    for at in range(0, len(by_size), WINDOWS):
+        some = by_size[at : at + WINDOWS]
+        size = int(min(STEP, left[some].max()))
+        x = buffer[(begin[line[some]] + no[some] * STEP)[None, :] + np.arange(size + 2 * CONTEXT)[:, None]]
+        p = net.labels(x, slice(CONTEXT, CONTEXT + size))
+        there = np.arange(size)[:, None] < left[some][None, :]
+        np.add.at(out, line[some], (p * there[:, None, :]).sum(0).T)
+    return out
 
 
 def held_out() -> Column:
@@ -221,14 +225,15 @@ def held_out() -> Column:
 def _sample(docs: DataFrame, per_class: int) -> list:
     """At most per_class rows of each language, by a hash of doc_id; text and lang alone."""
     rows = docs.where("lang is not null").where(~held_out()).where(F.octet_length(text_or_empty()) <= TRAIN_BYTES)
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()}
+    # each language needs a row of the sample, so no more than TRAIN_ROWS of them can be learned
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(TRAIN_ROWS).collect()
     if not sizes:
         return []
-    draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30))
     per_class = min(per_class, max(1, TRAIN_ROWS // len(sizes)))
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, per_class / n) * (1 << 30)))]), F.col("lang"))
-    drawn = rows.where(draw < share).orderBy(draw, "doc_id").limit(TRAIN_ROWS)
-    return drawn.select("text", "lang").collect()
+    shares = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, per_class / r["count"]) * (1 << 30)) + 1) for r in sizes], "_lang string, _share long")
+    draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30))
+    drawn = rows.join(F.broadcast(shares), F.expr("lang = _lang")).where(draw < F.col("_share"))  # at most TRAIN_ROWS rows
+    return drawn.orderBy(draw, "doc_id").limit(TRAIN_ROWS).select("text", "lang").collect()
 
 
 def fit(docs: DataFrame, per_class: int = TRAIN_DOCS, seed: int = SEED) -> Network | None:
@@ -237,17 +242,21 @@ def fit(docs: DataFrame, per_class: int = TRAIN_DOCS, seed: int = SEED) -> Netwo
     if not classes:
         return None
     r = np.random.default_rng(seed)
-    words, labels = [], []
-    each = TRAIN_WORDS // len(classes)
+    pieces, labels = [], []
+    each = max(1, TRAIN_PIECES // len(classes))
     for k, c in enumerate(classes):
-        own = sorted(p for x in rows if x.lang == c for p in words_of(x.text or ""))
+        lines = sorted(line_of(x.text or "") for x in rows if x.lang == c)
+        own = [x[i : i + PIECE] for x in lines for i in range(0, len(x), PIECE) if len(x) > 2]
         chosen = r.choice(len(own), min(each, len(own)), replace=False) if own else []
-        words += [own[i] for i in chosen]
+        pieces += [own[i] for i in chosen]
         labels += [k] * len(chosen)
-    return train(words, np.array(labels), classes, seed=seed) if words else None
+    # a small sample is read more often, so that the networks take as many steps as on a large one
+    epochs = min(MOST_EPOCHS, EPOCHS * max(1, TRAIN_PIECES // max(1, len(pieces))))
+    return train(pieces, np.array(labels), classes, epochs, seed) if pieces else None
 
 
-_readers: dict[int, Reader] = {}
+#: Bytes of text that go through the networks together, some windows more than WINDOWS.
+TOGETHER = 1 << 19
 
 
 def with_language(docs: DataFrame, net: Network | None) -> DataFrame:
@@ -258,21 +267,28 @@ def with_language(docs: DataFrame, net: Network | None) -> DataFrame:
 
     @F.arrow_udf("struct<lang: string, score: double>")
     def read(texts: pa.Array) -> pa.Array:
-        classes, weights = sent.value
-        key = hash(weights["emb"].tobytes())
-        if key not in _readers:
-            _readers.clear()
-            _readers[key] = Reader(Network(classes, weights))
-        reader, langs, scores = _readers[key], [], []
-        for at in range(0, len(texts), 64):
-            some = [t.as_py() for t in texts[at : at + 64]]
-            words = [words_of(t) if any(map(str.isalpha, t)) else [] for t in some]
-            reader.learn(words)
-            for w in words:
-                sums = reader.document(w)
-                k = int(sums[:-1].argmax())
-                langs.append(classes[k] if w else "und")
-                scores.append(min(1.0, float(sums[k] / sums[-1])) if w else 0.0)
+        net = Network(*sent.value)
+        langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+        held: list[tuple[int, bytes]] = []
+
+        def read_held() -> None:
+            sums = sums_of(net, [x for _, x in held])
+            for (i, x), total in zip(held, sums, strict=True):
+                k = int(total.argmax())
+                langs[i], scores[i] = net.classes[k], min(1.0, float(total[k] / len(x)))
+            held.clear()
+
+        size = 0
+        for i, t in enumerate(texts):
+            text = t.as_py()
+            if any(map(str.isalpha, text)):
+                held.append((i, line_of(text)))
+                size += len(text)
+            if size >= TOGETHER:
+                read_held()
+                size = 0
+        if held:
+            read_held()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
     out = docs.withColumn("_read", read(text_or_empty()))

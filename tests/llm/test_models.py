@@ -48,14 +48,50 @@ def test_language_edge_cases(docs, held, none):
     assert langid.report(none).collect() == []
 
 
-def test_words_are_kept_in_a_bounded_table(monkeypatch):
-    monkeypatch.setattr(langid, "CACHE_ROWS", 64)
+def test_windows_label_every_position_once(monkeypatch):
+    """Against a loop over single positions, with the same networks."""
+    monkeypatch.setattr(langid, "STEP", 24)
+    monkeypatch.setattr(langid, "CONTEXT", 8)
+    monkeypatch.setattr(langid, "WINDOWS", 5)
+    net = langid.Network(["a", "b", "c"])
+    w, h = net.w, langid.HIDDEN
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(line, d):
+        state, out = np.zeros(h), []
+        for byte in line if d == "f" else line[::-1]:
+            g = w["emb"][byte] @ w[f"w{d}"] + w[f"c{d}"]
+            zr = sigmoid(g[: 2 * h] + state @ w[f"u{d}"][:, : 2 * h])
+            new = np.tanh(g[2 * h :] + (zr[h:] * state) @ w[f"u{d}"][:, 2 * h :])
+            state = state + (1 - zr[:h]) * (new - state)
+            out.append(state)
+        return out if d == "f" else out[::-1]
+
+    lines = [langid.line_of(t) for t in ("short", "words in a line that is cut " * 6, "é", "x" * 100)]
+    got = langid.sums_of(net, lines)
+    for line, total in zip(lines, got, strict=True):
+        want, padded = np.zeros(3), b" " * 8 + line + b" " * 40
+        for at in range(0, len(line), 24):
+            size = min(24, len(line) - at)
+            f, b = (states(padded[at : at + size + 16], d) for d in "fb")
+            # a window that is read with longer ones starts from the right in the spaces behind the line
+            for t in range(8, 8 + size):
+                e = np.exp(np.concatenate([f[t], b[t]]) @ w["out"] + w["bias"])
+                want += e / e.sum()
+        assert total.sum() == pytest.approx(len(line), rel=1e-4) and total == pytest.approx(want, rel=0.02)
+
+
+def test_the_networks_read_across_words():
     net = langid.Network(["a", "b"])
-    reader, fresh = langid.Reader(net), langid.Reader(net)
-    texts = [[f"w{i}{j}".encode() for j in range(30)] for i in range(40)]
-    for words in texts:
-        assert np.allclose(reader.document(words), fresh._read(words).sum(0), rtol=1e-4)
-        assert len(reader.index) <= 64
+    one, other = (langid.sums_of(net, [langid.line_of(t)])[0] for t in ("ab cd ef", "ef cd ab"))
+    assert not np.allclose(one, other, rtol=1e-6)
+
+
+def test_more_languages_than_a_byte_counts(spark, monkeypatch):
+    monkeypatch.setattr(langid, "EPOCHS", 1)
+    rows = [(i, f"text number {i % 300} of language {i % 300}", f"l{i % 300:03d}") for i in range(1200)]
+    net = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(net.classes) == 300
 
 
 def test_label_model_finds_good_and_correlated_voters():
@@ -73,12 +109,19 @@ def test_label_model_finds_good_and_correlated_voters():
 
 
 def test_toxicity(spark, sf):
-    docs, labels = spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet"), spark.read.parquet(sf.replace("0.001", "0.01") + "/labels.parquet")
+    docs, labels = spark.read.parquet(sf.replace("0.001", "0.1") + "/documents.parquet"), spark.read.parquet(sf.replace("0.001", "0.1") + "/labels.parquet")
     got = toxicity.report(docs, labels).join(labels, "doc_id").where("held_out").collect()
     clean = [r.predicted for r in got if r.toxic == 0]
     assert np.mean(clean) < 0.02
-    english = [r for r in got if r.toxic == 1]
-    assert np.mean([r.predicted for r in english]) > 0.5
+    # a quarter of the toxic labels here stand at texts in which no voter fires, whose score is the least
+    least = min(r.score for r in got)
+    assert np.mean([r.predicted for r in got if r.toxic == 1 and r.score > least + 1e-9]) >= 0.9
+
+
+def test_long_tokens_are_searched_too():
+    model = toxicity.Model([("pattern", p) for p in toxicity.PATTERNS], np.ones(3), -1.0, np.ones(3))
+    for n in (150, 250, 70_000):
+        assert toxicity.Voter(model)["A" * n + "!!"] == (1, 2)
 
 
 def test_toxicity_edge_cases(spark, docs, held, none):
