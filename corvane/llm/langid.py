@@ -36,7 +36,7 @@ HIDDEN = 12
 EPOCHS, MOST_EPOCHS = 3, 45
 BATCH = 64
 RATE = 0.01
-STEP, CONTEXT = 192, 16
+STEP, CONTEXT = 384, 16
 WINDOWS = 512
 SEED = 11
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
