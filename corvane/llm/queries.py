@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from corvane.llm import exact_dedup, langid, mixing, packing, secrets, sharding, simhash, syncmers, tokens, toxicity
+from corvane.llm import bands, best_fit, divergence, exact_dedup, langid, mixing, packing, secrets, sharding, simhash, syncmers, tokens, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +54,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_documents(spark, sf_dir))
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(_documents(spark, sf_dir))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_documents(spark, sf_dir))
+
+
+def op13_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bands.near_prices(spark.read.parquet(f"{sf_dir}/sale_lines.parquet"), spark.read.parquet(f"{sf_dir}/items.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -149,6 +161,60 @@ select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_a
 from documents d left join joined j on j.doc_id = d.doc_id"""
 
 
+OP12_SQL = r"""
+with docs as (
+  select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+words as (select id, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs),
+counted as materialized (select lang, source, term, count(*) as n, count(distinct id) as d from words group by all),
+kept as materialized (select lang, term, sum(n)::hugeint as n from counted group by all having sum(d) >= 30),
+size as (select lang, count(*)::hugeint as v, sum(n)::hugeint as n from kept group by all),
+groups as (
+  select g.lang, g.source, coalesce(any_value(s.v), 0)::hugeint as v, coalesce(sum(c.n) filter (where k.term is not null), 0)::hugeint as n
+  from (select distinct lang, source from docs) g left join size s on s.lang = g.lang
+  left join counted c on c.lang = g.lang and c.source = g.source left join kept k on k.lang = c.lang and k.term = c.term
+  group by all),
+shares as materialized (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+         1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (g.n + 5 * g.v) as p, 1 + (1000000000::hugeint * (k.n + 5)) // (s.n + 5 * s.v) as q
+  from groups g join kept k on k.lang = g.lang join size s on s.lang = g.lang left join counted c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+apart as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(x.value, 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source left join apart x on x.lang = a.lang and x.source = a.source and x.item = b.source),
+every as (select * from pairs union all select lang, source, 'term', term, (p - q)::bigint from shares where n > 0 and p > q)
+select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from every
+qualify part = 'pair' or rank <= 50
+"""
+
+
+#: crc32 is the sum over the text's bytes by a table that the polynomial gives.
+OP13_SQL = """
+with table_ as materialized (select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i::bigint)) as t),
+priced as (
+  select item_id, case when price is not null and isfinite(price) then floor(100 * price + 0.5)::bigint end as p from items),
+read_ as (
+  select sale_id, line_no, item_id, quantity::bigint as q, floor(100 * amount + 0.5)::bigint as a from sale_lines
+  where sale_id is not null and item_id is not null and quantity <> 0 and amount is not null and isfinite(amount)),
+lined as materialized (
+  select sale_id, line_no, item_id as line_item_id,
+         ((2 * a + q) * sign(q) - (((2 * a + q) * sign(q)) % (2 * abs(q)) + 2 * abs(q)) % (2 * abs(q)))::bigint // (2 * abs(q))::bigint as u,
+         xor(list_reduce(list_transform(string_split(concat_ws(',', sale_id, line_no, item_id), ''), lambda ch: ord(ch)::bigint),
+                         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295) as crc
+  from read_, table_),
+numbered as (select row_number() over () as id, item_id, p from priced),
+pairs as (
+  select id, abs(u - p) as gap, u, sale_id, line_no, line_item_id, crc
+  from numbered i join lined l on u between least(p - 50, (1000 * p) // 1005 - 1) and greatest(p + 50, (1005 * p) // 1000 + 1)
+  where l.line_item_id is distinct from i.item_id and (abs(u - p) <= 50 or 1000 * abs(u - p) <= 5 * least(u, p))),
+totals as (select id, count(*) as n_pairs, sum(gap)::bigint as gap_sum, sum(crc)::bigint as lines_crc from pairs group by id),
+ranked as (select *, row_number() over (partition by id order by gap, u, sale_id, line_no nulls first, line_item_id) as rank from pairs qualify rank <= 10)
+select i.item_id, coalesce(r.rank, 0)::int as rank, r.gap::bigint as gap, r.u::bigint as u, r.sale_id::bigint as sale_id, r.line_no::bigint as line_no, r.line_item_id::bigint as line_item_id,
+       coalesce(t.n_pairs, 0)::bigint as n_pairs, coalesce(t.gap_sum, 0)::bigint as gap_sum, coalesce(t.lines_crc, 0)::bigint as lines_crc
+from numbered i left join totals t on t.id = i.id left join ranked r on r.id = i.id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -161,9 +227,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_packing": op9_packing,
         "op10_secrets": op10_secrets,
+        "op11_best_fit": op11_best_fit,
+        "op12_divergence": op12_divergence,
+        "op13_band_join": op13_band_join,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op10_secrets": _op10_sql()}
+    return {"op4_mixing": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op10_secrets": _op10_sql(), "op12_divergence": OP12_SQL, "op13_band_join": OP13_SQL}
