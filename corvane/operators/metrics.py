@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,14 +106,82 @@ def order_statistics(df: DataFrame, group: str, value: str, tie: str) -> DataFra
     return r.groupBy(group).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), at(F.lit(0.5)).alias("median"), at(F.lit(0.9)).alias("p90"))
 
 
-def bootstrap_ci(pairs: DataFrame, a: str, b: str, row: str, rounds: int, seed: str) -> DataFrame:
+#: More different values than that are no outcomes of trials.
+MOST_VALUES = 64
+#: Up to this deviation a binomial quantile comes from summed probabilities, beyond it from an expansion.
+EXACT_DEVIATION = 1000.0
+
+
+def _log_factorials(x: np.ndarray) -> np.ndarray:
+    """ln x! by Stirling's series, from a product where x is small."""
+    y = x + 16.0
+    series = (y + 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    return series - np.log(np.stack([x + k for k in range(1, 17)])).sum(0)
+
+
+def binomial_quantile(n: int, p: float, u: np.ndarray) -> np.ndarray:
+    """For each u the least k of which at least a share u of binomial(n, p) lies at or below k.
+
+    Summed probabilities within 40 deviations of the mean; where the deviation passes
+    EXACT_DEVIATION, Cornish and Fisher's expansion, which is then off by one at most.
+    """
+    if n <= 0 or p <= 0:
+        return np.zeros(len(u), np.int64)
+    if p >= 1:
+        return np.full(len(u), n, np.int64)
+    mean, deviation = n * p, math.sqrt(n * p * (1 - p))
+    if deviation > EXACT_DEVIATION:
+        z = np.array([NormalDist().inv_cdf(min(max(x, 1e-300), 1 - 1e-16)) for x in u])
+        skew, excess = (1 - 2 * p) / deviation, (1 - 6 * p * (1 - p)) / deviation**2
+        w = z + (z**2 - 1) * skew / 6 + (z**3 - 3 * z) * excess / 24 - (2 * z**3 - 5 * z) * skew**2 / 36
+        return np.clip(np.ceil(mean + deviation * w - 0.5), 0, n).astype(np.int64)
+    k = np.arange(max(0, int(mean - 40 * deviation - 40)), min(n, int(mean + 40 * deviation + 40)) + 1, dtype=np.float64)
+    log = _log_factorials(np.array([float(n)]))[0] - _log_factorials(k) - _log_factorials(n - k) + k * math.log(p) + (n - k) * math.log1p(-p)
+    below = np.cumsum(np.exp(log))
+    return (k[0] + np.minimum(np.searchsorted(below, u), len(k) - 1)).astype(np.int64)
+
+
+def multinomial_means(values: list[float], counts: list[int], u: np.ndarray) -> np.ndarray:
+    """The mean of as many draws with replacement as there are rows, for each row of u: u has a
+    column for each value but the last, which the binomials of one value after the other take."""
+    left = np.full(len(u), sum(counts), np.int64)
+    rest, total = sum(counts), np.zeros(len(u))
+    for v, (value, count) in enumerate(zip(values[:-1], counts[:-1], strict=True)):
+        taken = np.zeros(len(u), np.int64)
+        for n in np.unique(left):
+            at = left == n
+            taken[at] = binomial_quantile(int(n), count / rest, u[at, v])
+        total += value * taken
+        left, rest = left - taken, rest - count
+    return (total + values[-1] * left) / max(1, sum(counts))
+
+
+def bootstrap_ci(pairs: DataFrame, a: str, b: str, rounds: int, seed: str) -> DataFrame:
     """Mean difference and the 2.5 and 97.5 percentiles of it over resamples of the rows.
 
-    row: 0 .. n-1. Every resample draws n indices by hash; draws meet the rows in an equi-join.
+    A resample matters only by how often it has each difference, and those counts are one
+    multinomial draw: the rows are counted once, and a round costs a number for each difference
+    and not one for each row. Its draws are hashes of seed, round and difference, so rounds are
+    dealt over tasks and reruns agree. Without rows all figures are null.
     """
-    spark, n = pairs.sparkSession, pairs.count()
-    base = pairs.select(F.col(row).cast("long").alias("_row"), (F.col(a).cast("int") - F.col(b).cast("int")).alias("_diff"))
-    drawn = spark.range(rounds * n).select(F.expr(f"id div {max(n, 1)}").alias("b"), F.floor(draw(seed, "id") * n).alias("_row"))
-    means = drawn.join(base, "_row").groupBy("b").agg(F.avg("_diff").alias("m"))
-    ci = means.agg(F.round(F.expr("percentile(m, 0.025)"), 6).alias("low"), F.round(F.expr("percentile(m, 0.975)"), 6).alias("high"), F.count("*").alias("rounds"))
-    return ci.join(F.broadcast(base.agg(F.round(F.avg("_diff"), 6).alias("difference"))), F.lit(True))  # one row each
+    spark = pairs.sparkSession
+    difference = (F.col(a).cast("double") - F.col(b).cast("double")).alias("_d")
+    found = pairs.select(difference).where("_d is not null").groupBy("_d").agg(F.count("*").alias("n")).orderBy("_d").limit(MOST_VALUES + 1).collect()
+    if len(found) > MOST_VALUES:
+        raise ValueError(f"more than {MOST_VALUES} different differences")
+    values, counts = [r._d for r in found], [r.n for r in found]
+    n = sum(counts)
+    u = [draw(seed, "id", F.lit(str(v))) for v in range(max(0, len(values) - 1))]
+
+    @F.arrow_udf("double")
+    def means(draws: pa.Array) -> pa.Array:
+        if not n:
+            return pa.nulls(len(draws), pa.float64())
+        u = np.array(draws.to_pylist(), np.float64).reshape(len(draws), -1)
+        return pa.array(multinomial_means(values, counts, u))
+
+    drawn = spark.range(rounds).select(means(F.array(*u).cast("array<double>")).alias("m"))
+    # some number for each round
+    ci = drawn.agg(F.round(F.expr("percentile(m, 0.025)"), 6).alias("low"), F.round(F.expr("percentile(m, 0.975)"), 6).alias("high"), F.count("*").alias("rounds"))
+    mean = sum(v * c for v, c in zip(values, counts, strict=True)) / n if n else None
+    return ci.withColumn("difference", F.round(F.lit(mean).cast("double"), 6))

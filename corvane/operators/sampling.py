@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.ranking import draw, ordinal, rank_within
@@ -38,6 +40,18 @@ def running_weights(df: DataFrame, order: str, weight: str) -> DataFrame:
     return out.withColumn("hi", F.col("_before") + F.col("_own")).withColumn("lo", F.col("hi") - F.col(weight)).drop("_i", "_block", "_own", "_before")
 
 
+def running_columns(df: DataFrame, order: str, weights: list[str]) -> DataFrame:
+    """df with lo_<w> and hi_<w> for several columns of weights, from one sort by range."""
+    dealt = materialize(ordinal(df, [order], "_i").withColumn("_block", F.expr("_i div 8192")), "weights")
+    sums = dealt.groupBy("_block").agg(*[F.sum(w).alias(f"_{w}") for w in weights])
+    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_block", *[F.coalesce(F.sum(f"_{w}").over(earlier), F.lit(0).cast("double")).alias(f"_{w}") for w in weights])
+    own = Window.partitionBy("_block").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.select("*", *[F.sum(w).over(own).alias(f"hi_{w}") for w in weights]).join(before, "_block")
+    out = out.withColumns({f"hi_{w}": F.col(f"_{w}") + F.col(f"hi_{w}") for w in weights})
+    return out.withColumns({f"lo_{w}": F.col(f"hi_{w}") - F.col(w) for w in weights}).drop("_i", "_block", *[f"_{w}" for w in weights])
+
+
 def weighted_draws(df: DataFrame, order: str, weight: str, n: int, seed: str, cells: int = 1024) -> DataFrame:
     """(draw, order) of n draws with replacement, each row in proportion to its weight.
 
@@ -53,33 +67,60 @@ def weighted_draws(df: DataFrame, order: str, weight: str, n: int, seed: str, ce
     return hit.select("draw", order)
 
 
-def expanding_window(df: DataFrame, order: str, alpha: float, batch: int, seed: str) -> DataFrame:
-    """(order, position): a permutation drawn batch by batch from a window that grows over the order.
+def window_ends(n: int, alpha: float, batch: int) -> tuple[Column, Column]:
+    """Of draw `k`: the number of rows that its window holds, and of draws that share that window before it.
 
-    Sequential by nature; only the two numbers of each row go through it.
+    The window of step t holds the first ceil(n * min(1, (t + 1) / reach)) rows, reach being
+    ceil(alpha * steps), and as many more as the step needs.
+    """
+    steps = -(-n // batch)
+    reach = max(1, math.ceil(alpha * steps))
+    t = F.expr(f"k div {batch}")
+    share = F.least(F.lit(1.0), (t + 1) / F.lit(float(reach)))
+    grown = F.greatest(F.lit(1), F.ceil(share * float(n)))
+    return F.greatest(grown, F.least(F.lit(n), (t + 1) * batch)).cast("long"), (F.col("k") % batch)
+
+
+def expanding_window(df: DataFrame, order: str, alpha: float, batch: int, seed: str) -> DataFrame:
+    """(order, position): a permutation drawn batch by batch, uniformly, from a window that grows over the order.
+
+    It is the shuffle in which draw k swaps slot k with a slot j of those from k to the end of its
+    window, so that the slots behind k hold just what has entered and not been drawn. Each j is a hash
+    of seed and k, so all are known at once, and what a slot holds when it is drawn follows from
+    pointers to earlier draws: slot j got its content from the last draw that chose j before, and that
+    draw's own slot in the same way. Chains of pointers are shortened by doubling, some log log n
+    equi-joins of pairs of numbers; no task sees more than its share of rows. order must be unique.
     """
-    import numpy as np
-    import pandas as pd
-
-    def permute(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = rows.sort_values(order)[order].to_numpy()
-        n, rng = len(keys), np.random.default_rng(int.from_bytes(seed.encode(), "little") % (1 << 63))
-        steps = -(-n // batch)
-        reach, waiting, entered, out = max(1, int(np.ceil(alpha * steps))), [], 0, []
-        for t in range(steps):
-            end = max(1, int(np.ceil(min(1.0, (t + 1) / reach) * n)))
-            need = min(batch, n - len(out))
-            end = max(end, len(out) + need)  # a short window is filled up from behind it
-            waiting += range(entered, end)
-            entered = end
-            for _ in range(need):
-                k = int(rng.integers(len(waiting)))
-                waiting[k], waiting[-1] = waiting[-1], waiting[k]
-                out.append(waiting.pop())
-        return pd.DataFrame({order: keys[out], "position": np.arange(n)})
-
-    kind = df.schema[order].dataType.simpleString()
-    return df.select(order).groupBy(F.lit(0).alias("_all")).applyInPandas(permute, f"{order} {kind}, position long")
+    n = df.count()
+    rows = ordinal(df.select(order), [order], "_rank")
+    if not n:
+        return rows.select(order, F.col("_rank").alias("position"))
+    end, _ = window_ends(n, alpha, batch)
+    k = F.col("k")
+    drawn = df.sparkSession.range(n).withColumnRenamed("id", "k")
+    drawn = drawn.withColumn("j", k + F.floor(draw(seed, "k") * (end - k)))
+    # the last draw before that chose the same slot; a draw that chooses its own slot changes nothing
+    drawn = materialize(drawn.withColumn("last", F.lag("k").over(Window.partitionBy("j").orderBy("k"))), "swaps")
+    held = drawn.where("j > k").groupBy(F.col("j").alias("slot")).agg(F.max("k").alias("of"))  # what slot k held before draw k came from draw `of`
+    held = materialize(held, "swap-pointers")
+    while True:
+        further = held.join(held.select(F.col("slot").alias("of"), F.col("of").alias("_of")), "of", "left")
+        held = materialize(further.select("slot", F.coalesce("_of", "of").alias("of"), F.col("_of").isNotNull().alias("moved")), "swap-pointers")
+        if held.where("moved").isEmpty():
+            break
+        held = held.select("slot", "of")
+    held = held.select(F.col("slot").alias("last"), "of")
+    placed = drawn.join(held, "last", "left").select(F.col("k").alias("position"), F.coalesce("of", "last", "j").alias("_rank"))
+    return rows.join(placed, "_rank").select(order, "position")
+
+
+def shuffled(df: DataFrame, column: str, key: str, seed: str) -> DataFrame:
+    """df with the values of a column dealt anew over its rows, by a hash of seed and key: each value stays as frequent."""
+    rows = materialize(df.withColumn("_u", draw(seed, key)), "to-shuffle")
+    to = ordinal(rows.select("_u", F.col(key).alias("_key")), ["_u", "_key"], "_rank").select("_rank", "_key")
+    values = ordinal(rows.select(F.col(column).alias("_value"), F.col(key).alias("_from")), ["_from"], "_rank").select("_rank", "_value")
+    dealt = to.join(values, "_rank").select("_key", "_value")
+    return rows.join(dealt, F.col(key) == F.col("_key")).withColumn(column, F.col("_value")).drop("_u", "_key", "_value")
 
 
 def replace_selected(df: DataFrame, selected: DataFrame, key: str, column: str) -> DataFrame:

@@ -12,6 +12,8 @@ from corvane.functions.storage import materialize
 from corvane.operators.metrics import quantiles
 
 
+#: Rows of one cell of running weights.
+CELL_ROWS = 64
 #: Validation vectors are broadcast up to this size.
 BROADCAST_BYTES = 64 << 20
 
@@ -199,3 +201,59 @@ def draw_round(rows: DataFrame, key: str, bucket: str, k: int, window: int, dose
     w = F.coalesce(F.try_element_at(F.array(*[F.lit(float(x)) for x in dose]), (at + 1).cast("int")), F.lit(0.0))
     pool = rows.where(inside).withColumn("_w", F.greatest(w, F.lit(1e-6)))
     return weighted_draws(pool, key, "_w", size, seed)
+
+
+def round_weights(bucket: Column, k: int, window: int, dose: list[float], utility: Column, reverse: bool = False, mixture: bool = False) -> Column:
+    """A row's weight in a round: its utility times its bucket's multiplier, 1e-6 at least; 0 outside of the window."""
+    inside = F.lit(True) if mixture else (bucket >= k - window) if reverse else (bucket < window)
+    at = (k - 1 - bucket) if reverse else bucket
+    multiplier = F.coalesce(F.try_element_at(F.array(*[F.lit(float(x)) for x in dose]), (at + 1).cast("int")), F.lit(0.0))
+    return F.when(inside, F.greatest(utility * multiplier, F.lit(1e-6))).otherwise(F.lit(0.0))
+
+
+def build_rounds(
+    rows: DataFrame, key: str, bucket: str, k: int, windows: list[int], doses: list[list[float]], size: int, seed: str,
+    utility: str | None = None, reverse: bool = False, mixture: bool = False, cells: int | None = None,
+) -> DataFrame:
+    """(round, position, key): all rounds of a curriculum, from one sort of the rows.
+
+    Each round draws `size` rows with replacement, in proportion to their weights, and shuffles them.
+    The running weights of all rounds come from one sort by range; draws meet them through cells of
+    equal weight, some CELL_ROWS rows each, in an equi-join with a test. The order within a round is
+    a hash of seed, round and draw, ranked by range. A round whose window is empty has no rows.
+    """
+    from corvane.functions.ranking import draw, rank_within
+    from corvane.operators.sampling import running_columns
+
+    check_rounds(windows, doses, k)
+    n = len(windows)
+    u = F.col(utility).cast("double") if utility else F.lit(1.0)
+    weights = [round_weights(F.col(bucket), k, windows[r], doses[r], u, reverse, mixture).alias(f"w{r}") for r in range(n)]
+    line = running_columns(rows.select(key, *weights), key, [f"w{r}" for r in range(n)])
+    one = line.agg(F.count("*").alias("rows"), *[F.max(f"hi_w{r}").alias(f"t{r}") for r in range(n)]).first()
+    totals = [one[f"t{r}"] or 0.0 for r in range(n)]
+    cells = cells or max(1024, one.rows // CELL_ROWS)
+    of_round = lambda values: F.array(*[F.lit(float(v)) for v in values])[F.col("round")]
+    each = F.array(*[F.struct(F.lit(r).alias("round"), F.col(f"lo_w{r}").alias("lo"), F.col(f"hi_w{r}").alias("hi")) for r in range(n)])
+    held = line.select(key, F.explode(each).alias("x")).select(key, "x.*").where("hi > lo")
+    cell = lambda x: F.floor(x / of_round(max(t / cells, 1e-300) for t in totals))
+    spread = held.withColumn("_cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))))
+    drawn = rows.sparkSession.range(n * size).select(F.expr(f"cast(id div {max(1, size)} as int)").alias("round"), (F.col("id") % max(1, size)).alias("draw"))
+    drawn = drawn.withColumn("u", draw(seed, "round", "draw") * of_round(totals))
+    drawn = drawn.where(of_round(totals) > 0).withColumn("_cell", cell(F.col("u")))
+    hit = drawn.join(spread, ["round", "_cell"]).where("lo <= u and u < hi")
+    hit = hit.select("round", "draw", key, draw(f"{seed}:order", "round", "draw").alias("_order"))
+    ranked = rank_within(hit, "round", ["_order", "draw"], "position", "_n")
+    return ranked.select("round", "position", "draw", key)
+
+
+def write_rounds(rounds: DataFrame, records: DataFrame, key: str, path: str) -> None:
+    """The rounds' records as JSON lines, a folder for each round, its files in the order of positions."""
+    full = rounds.select("round", "position", F.col(key).alias("_key")).join(records, F.col("_key") == F.col(key)).drop("_key")
+    full.repartitionByRange("round", "position").sortWithinPartitions("round", "position").write.partitionBy("round").json(path)
+
+
+def distinct_drawn(rounds: DataFrame, key: str) -> DataFrame:
+    """(round, drawn, distinct): how many draws each round has, and of how many different rows."""
+    times = rounds.groupBy("round", key).agg(F.count("*").alias("n"))
+    return times.groupBy("round").agg(F.sum("n").alias("drawn"), F.count("*").alias("distinct"))

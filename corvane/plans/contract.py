@@ -136,20 +136,25 @@ def order_stats_latency(t, spark):
     return metrics.order_statistics(t("events").select("event_type", "value", "event_id"), "event_type", "value", "event_id")
 
 
-_BOOT = """
-with rows_ as (select row_number() over (order by doc_id) - 1 as r, (quality = 1)::int - (toxic = 0)::int as diff from labels),
-n as (select count(*) as n from rows_),
-drawn as (select id // n as b, floor(('0x' || substr(md5('boot:' || id), 1, 13))::bigint / pow(16, 13) * n)::bigint as r from n, range(200 * (select n from n)) t(id)),
-means as (select b, avg(diff) as m from drawn join rows_ using (r) group by b)
-select round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.975), 6) as high, count(*) as rounds, (select round(avg(diff), 6) from rows_) as difference from means"""
-
-
-@query(_BOOT)
+_BOOT = f"""
+with rows_ as (select (quality = 1)::int - (toxic = 0)::int as diff from labels),
+c as (select count(*) as n, count(*) filter (diff = -1) as less, count(*) filter (diff = 0) as same, avg(diff) as d from rows_),
+first_ as materialized (select k, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(less / n::double) + (n - k) * ln(1 - less / n::double))) over (order by k) as below
+  from c, (select unnest(range(0, (select n from c) + 1)) as k)),
+u as (select id as b, {{hash}} as u0, {{hash1}} as u1 from range(200) t(id)),
+took as (select b, u1, (select min(k) from first_ where below >= u0) as k0 from u),
+second_ as materialized (
+  select m, k, sum(exp(lgamma(m + 1) - lgamma(k + 1) - lgamma(m - k + 1) + k * ln(p) + (m - k) * ln(1 - p))) over (partition by m order by k) as below
+  from (select m, p, unnest(range(0, m + 1)) as k from (select distinct n - k0 as m, same / (n - less)::double as p from took, c))),
+means as (select t.b, (-k0 + ((n - k0) - min(s.k))) / any_value(n)::double as m from took t, c, second_ s where s.m = n - k0 and s.below >= u1 group by t.b, k0, n)
+select round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.975), 6) as high, count(*) as rounds, (select round(d, 6) from c) as difference from means"""
+_HASHED = "('0x' || substr(md5('{0}:' || {1}), 1, 13))::bigint / pow(16, 13)"
+
+
+@query(_BOOT.format(hash=_HASHED.format("boot", "id || ':0'"), hash1=_HASHED.format("boot", "id || ':1'")))
 def bootstrap_ci(t, spark):
-    from corvane.functions.ranking import ordinal
-
-    rows = t("labels").select("doc_id", (F.col("quality") == 1).alias("a"), (F.col("toxic") == 0).alias("b"))
-    return metrics.bootstrap_ci(ordinal(rows, ["doc_id"], "row"), "a", "b", "row", 200, "boot")
+    rows = t("labels").select((F.col("quality") == 1).cast("int").alias("a"), (F.col("toxic") == 0).cast("int").alias("b"))
+    return metrics.bootstrap_ci(rows, "a", "b", 200, "boot")
 
 
 @query("""
@@ -286,7 +291,18 @@ def due_order(t, spark):
     return scoring.due_order(rows, "n_chars", "u", "doc_id").select("doc_id", _r("due").alias("due"))
 
 
-@query()
+@query(f"""
+with recursive r as (select doc_id, row_number() over (order by doc_id) - 1 as r from documents),
+n as (select count(*) as n, ceil(count(*) / 4.0::double)::bigint as steps from r),
+d as (select id as k, {_HASH.format("42", "id")} as u from range((select n from n)) t(id)),
+e as (
+  select k, k + floor(u * (greatest(ceil(least(1.0::double, (k // 4 + 1) / greatest(1, ceil(0.8::double * steps))) * n), 1, least(n, (k // 4 + 1) * 4)) - k))::bigint as j from d, n),
+s as (
+  select 0::bigint as k, range((select n from n)) as slots
+  union all
+  select s.k + 1, list_transform(slots, lambda x, i: case when i = s.k + 1 then slots[j + 1] when i = j + 1 then slots[s.k + 1] else x end) from s join e on e.k = s.k),
+done as (select slots from s where k = (select n from n))
+select r.doc_id, p.position from (select unnest(slots) as r, unnest(range(len(slots))) as position from done) p join r on r.r = p.r""")
 def expanding_window(t, spark):
     return sampling.expanding_window(t("documents").select("doc_id"), "doc_id", 0.8, 4, "42")
 
@@ -346,6 +362,42 @@ def window_mixture(t, spark):
     return scoring.draw_round(_bucketed(t), "doc_id", "bucket", 4, 4, [0.5, 0.75, 1.5, 3.0], 300, "round", mixture=True)
 
 
+def _rounds_sql(doses: list[list[float]], windows: list[int], size: int, seed: str) -> str:
+    weights = ", ".join(f"case when bucket < {w} then greatest(n_chars / 1000.0::double * ({[float(x) for x in d]}::double[])[bucket + 1], 1e-6) else 0 end" for w, d in zip(windows, doses, strict=True))
+    return f"""
+with w as (select doc_id, unnest(range({len(windows)}))::int as round, unnest([{weights}]) as w from ({_BUCKETED})),
+c as (select doc_id, round, w, sum(w) over (partition by round order by doc_id) as hi from w),
+u as (select r as round, id as draw, {_HASH.format(seed, "r || ':' || id")} * (select max(hi) from c where c.round = r) as u, {_HASH.format(seed + ":order", "r || ':' || id")} as o
+  from range({size}) t(id), (select unnest(range({len(windows)}))::int as r))
+select u.round, row_number() over (partition by u.round order by o, draw) - 1 as position, draw, doc_id from u join c on c.round = u.round and w > 0 and hi - w <= u and u < hi"""
+
+
+_WINDOWS, _DOSES = [1, 2, 4], [[1.0], [0.5, 2.0], [0.5, 0.75, 1.5, 3.0]]
+
+
+def _three_rounds(t):
+    rows = _bucketed(t).withColumn("utility", F.col("n_chars") / 1000.0)
+    return scoring.build_rounds(rows, "doc_id", "bucket", 4, _WINDOWS, _DOSES, 400, "rounds", utility="utility")
+
+
+@query(_rounds_sql(_DOSES, _WINDOWS, 400, "rounds"))
+def round_builder(t, spark):
+    return _three_rounds(t)
+
+
+@query(f"select round, count(*) as drawn, count(distinct doc_id) as distinct from ({_rounds_sql(_DOSES, _WINDOWS, 400, 'rounds')}) group by round")
+def distinct_draws(t, spark):
+    return scoring.distinct_drawn(_three_rounds(t), "doc_id")
+
+
+@query(f"""
+with h as (select doc_id, row_number() over (order by {_HASH.format("1042", "doc_id")}, doc_id) as r from documents),
+b as (select row_number() over (order by doc_id) as r, bucket from ({_BUCKETED}))
+select doc_id, bucket from h join b using (r)""")
+def shuffled_buckets(t, spark):
+    return sampling.shuffled(_bucketed(t), "bucket", "doc_id", "1042").select("doc_id", "bucket")
+
+
 # --- samples ---------------------------------------------------------------------------------------
 
 
@@ -477,6 +529,93 @@ def prefix_mask(t, spark):
     return masks.allowed_tokens(cases, words, "slot")
 
 
+_SCHEMA_SQL = r"""
+select tag, list_sort(list_distinct(flatten(list(names)))) as attributes from (
+  select regexp_extract(t, '^<([A-Za-z][A-Za-z0-9]*)', 1) as tag, regexp_extract_all(t, '\s([A-Za-z-]+)=', 1) as names
+  from (select unnest(regexp_extract_all(html, '<[^/!?>][^>]*>')) as t from pages)) where tag <> '' group by tag"""
+_VOCABULARY_SQL = f"""
+select distinct token from (
+  select unnest([w[1:i], ' ' || w[1:i]]) as token from (select w, unnest(range(1, length(w) + 1)) as i from (select distinct unnest(string_split(p_name, ' ')) as w from part))
+  union all select unnest([a || '="', ' ' || a || '="', a]) from (select unnest(attributes) as a from ({_SCHEMA_SQL}))
+  union all select unnest([tag, tag || '>', tag || ' ' || tag, '>', '/>', ' ', '></' || tag]) from ({_SCHEMA_SQL})) where token <> ''"""
+
+
+@query(rf"""
+with schema_ as materialized ({_SCHEMA_SQL}), vocabulary as materialized ({_VOCABULARY_SQL}),
+tags as (select distinct unnest(regexp_extract_all(html, '<[^/!?>][^>]*>')) as t from pages),
+texts as (select distinct t[1:i] as x from (select t, unnest(range(1, length(t) + 1)) as i from tags)),
+read_ as (
+  select x, regexp_matches(x, '</?([A-Za-z]*)$') as naming, regexp_extract(x, '</?([A-Za-z]*)$', 1) as typed, not contains(x, '>') and regexp_matches(x, '<([A-Za-z]+)((?:\s+\w+="[^"]*")*)\s*$') as inside,
+    regexp_extract(x, '<([A-Za-z]+)((?:\s+\w+="[^"]*")*)\s*$', 1) as tag, list_sort(list_distinct(regexp_extract_all(regexp_extract(x, '<([A-Za-z]+)((?:\s+\w+="[^"]*")*)\s*$', 2), '(\w+)=', 1))) as used,
+    regexp_matches(x, '(from|to|location|item|robot|station|giver|receiver|robot1|robot2|edge_from|edge_to)="([^"]*)$') as value from texts),
+states as materialized (
+  select case when value then null when naming then 'tag:' || typed || ':' when inside then 'attribute:' || tag || ':' || array_to_string(used, ',') end as state,
+    any_value(typed) as typed, any_value(tag) as tag, any_value(used) as used, count(*) as n_texts from read_ group by 1),
+rests as (
+  select state, true as naming, s.tag[length(typed) + 1:] as rest from states, schema_ s where state like 'tag:%' and starts_with(s.tag, typed) and typed not in (select tag from schema_)
+  union all
+  select state, false, unnest(list_concat(list_transform(list_filter(s.attributes, lambda a: not list_contains(used, a)), lambda a: a || '="'), ['>', '/>'])) from states join schema_ s using (tag) where state like 'attribute:%'),
+names as (select tag as w from schema_ union select unnest(attributes) || '="' from schema_ union select unnest(['>', '/>'])),
+cores as (select token, naming, case when naming then token else ltrim(token) end as core from vocabulary, (values (true), (false)) p(naming) where not naming or token = trim(token)),
+pool as (select * from cores where core = '' or exists (select 1 from names where starts_with(w, core) or starts_with(core, w) or contains(w, core))),
+hit as (select distinct state, token from rests r join pool p on p.naming = r.naming where starts_with(rest, core) or starts_with(core, rest))
+select coalesce(s.state, 'free') as state, any_value(n_texts) as n_texts, count(token) as n_tokens, sha256(coalesce(string_agg(token, chr(10) order by token), '')) as tokens
+from states s left join hit h on h.state = s.state group by s.state""")
+def grammar_mask(t, spark):
+    from corvane.operators import masks
+
+    schema = T.attribute_schema(t("pages"), "html").select("tag", F.when(F.col("attributes") != "", F.split("attributes", ",")).otherwise(F.array().cast("array<string>")).alias("attributes"))
+    begun = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, F.lit(1), i))
+    tags = t("pages").select(F.explode(T.opening_tags(F.col("html"))).alias("t")).distinct()
+    cases = tags.select(F.explode(begun("t")).alias("text")).distinct().withColumn("case", F.col("text"))
+    words = t("part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct().select(F.explode(begun("w")).alias("w")).select(F.explode(F.array(F.col("w"), F.concat(F.lit(" "), "w"))).alias("token"))
+    attributes = schema.select(F.explode("attributes").alias("a")).select(F.explode(F.array(F.concat("a", F.lit('="')), F.concat(F.lit(" "), "a", F.lit('="')), "a")).alias("token"))
+    tag = F.col("tag")
+    shapes = F.array(tag, F.concat(tag, F.lit(">")), F.concat(tag, F.lit(" "), tag), F.lit(">"), F.lit("/>"), F.lit(" "), F.concat(F.lit("></"), tag))
+    vocabulary = words.union(attributes).union(schema.select(F.explode(shapes).alias("token"))).distinct()
+    states = masks.grammar_states(cases, "case")
+    hit = masks.grammar_tokens(states, schema, vocabulary)
+    counts = states.groupBy("state").agg(F.count("*").alias("n_texts")).withColumnRenamed("state", "s")
+    tokens = F.array_join(F.array_sort(F.collect_list("token")), "\n")
+    out = counts.join(hit, F.col("s") == F.col("state"), "left").groupBy("s").agg(F.max("n_texts").alias("n_texts"), F.count("token").alias("n_tokens"), F.sha2(tokens, 256).alias("tokens"))
+    return out.withColumn("s", F.coalesce("s", F.lit("free"))).withColumnRenamed("s", "state")
+
+
+def _opening_names(t):
+    """The first four words of each passage of the benchmark, as a list of names."""
+    words = F.split("text", " ")
+    return t("benchmark").select(F.array_join(F.slice(words, 1, 4), " ").alias("name"), F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("id"))
+
+
+@query()
+def name_occurrences(t, spark):
+    from corvane.operators import prose
+
+    found = prose.located(t("documents").select("doc_id", "text"), prose.name_variants(_opening_names(t)))
+    each = found.select("doc_id", F.explode("spans.id").alias("id"))
+    return each.groupBy("id").agg(F.countDistinct("doc_id").alias("n_documents"), F.count("*").alias("n"))
+
+
+@query()
+def names_in_prose(t, spark):
+    from corvane.operators import prose
+
+    found = prose.located(t("documents").select("doc_id", "text"), prose.name_variants(_opening_names(t)))
+    kept = prose.without_overlap(found)
+    one = lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"), s["id"])
+    return kept.select("doc_id", F.size("spans").alias("n"), F.array_join(F.transform("spans", one), ",").alias("spans"))
+
+
+@query(f"""
+with s as ({_SENTENCE}), e as (select n_nationkey, 'n_' || n_nationkey as a, 'r_' || regexp_extract(s, '[(]r_([0-9]+)[)]', 1) as b from s)
+select n_nationkey, a, b from e union all select n_nationkey, b, a from e""")
+def prose_edges(t, spark):
+    from corvane.operators import prose
+
+    parts = prose.mission_parts(_sentences(t), "n_nationkey", "s")
+    return parts.select("n_nationkey", F.explode("edges").alias("e")).select("n_nationkey", F.col("e")[0].alias("a"), F.col("e")[1].alias("b"))
+
+
 # --- worlds and graphs -----------------------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import mission_text, ranking
 from corvane.functions import text as T
-from corvane.operators import masks, metrics, sampling, scoring
+from corvane.operators import masks, metrics, prose, sampling, scoring
 from corvane.sources import jsonl
 
 
@@ -145,7 +145,7 @@ def test_masks(spark):
 
 def test_mission_parts(spark):
     text = "The hall (hall) connects to the dock (dock) and the lab (lab). Nothing here; the lab (lab) leads to store (store)."
-    r = masks.mission_parts(spark.createDataFrame([(1, text)], "k int, t string"), "k", "t").first()
+    r = prose.mission_parts(spark.createDataFrame([(1, text)], "k int, t string"), "k", "t").first()
     assert r.places == ["dock", "hall", "lab", "store"] and ["store", "lab"] in r.edges and len(r.edges) == 6
 
 
