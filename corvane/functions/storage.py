@@ -44,15 +44,19 @@ def _remove_at_exit(spark: SparkSession, folder: str) -> None:
     atexit.register(remove)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, which goes with this process."""
+    folder = f"{shared_dir(spark)}/{_RUN}"
+    _remove_at_exit(spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     It cuts the lineage at a place that survives a lost executor, and it fixes the rows: whatever
     reads the table again sees the same ones.
     """
-    spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/{_RUN}"
-    _remove_at_exit(spark, folder)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

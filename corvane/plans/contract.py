@@ -855,6 +855,135 @@ def composition(t, spark):
     return t("documents").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == "en").alias("english"), F.count_if(F.col("n_chars") > 1000).alias("long_"), F.countDistinct("source").alias("sources"))
 
 
+# --- results, scores, identities -------------------------------------------------------------------
+
+
+def _outcomes(t, success: str):
+    rows = t("labels").join(t("documents").select("doc_id", "lang", "source"), "doc_id")
+    of = {"record_id": F.col("doc_id").cast("string"), "domain": F.col("lang"), "scenario": F.col("source"), "success": F.expr(success), "reason": F.lit("judged")}
+    return rows.select("doc_id", *[c.alias(n) for n, c in of.items()])
+
+
+_OUTCOMES = "select l.doc_id, d.lang as domain, d.source as scenario, quality = 1 as a, toxic = 0 as b from labels l join documents d on d.doc_id = l.doc_id"
+
+
+@query(f"select doc_id // 50 as no, (row_number() over (partition by doc_id // 50 order by doc_id) - 1)::int as pos, doc_id::varchar as record_id, domain, scenario, a, b from ({_OUTCOMES})")
+def result_documents(t, spark):
+    from corvane.functions.storage import scratch
+    from corvane.sources import results
+
+    read = []
+    for name, success in (("a", "quality = 1"), ("b", "toxic = 0")):
+        path = scratch(spark, f"results-{name}")
+        results.write_documents(_outcomes(t, success).withColumn("no", F.expr("doc_id div 50")), path, name, "no", "doc_id")
+        read.append(results.read_documents(spark, path))
+    return results.paired(*read, ["no", "pos"])
+
+
+@query(f"""
+select scenario, count(*) as n, sum((a and b)::int)::bigint as "both", sum((a and not b)::int)::bigint as a_only, sum((b and not a)::int)::bigint as b_only,
+       sum((not a and not b)::int)::bigint as neither, sum(line)::bigint as places
+from (select *, row_number() over (order by doc_id) - 1 as line from ({_OUTCOMES})) group by scenario""")
+def paired_result_files(t, spark):
+    from corvane.functions.storage import scratch
+    from corvane.sources import jsonl, results
+
+    read = []
+    for name, success in (("a", "quality = 1"), ("b", "toxic = 0")):
+        path = scratch(spark, f"outcomes-{name}")
+        jsonl.write_ordered(_outcomes(t, success), path, "doc_id")
+        read.append(results.read_outcomes(spark, path))
+    both = results.paired(*read, ["line"])
+    cell = lambda x, y: F.count_if((F.col("a") == x) & (F.col("b") == y))
+    return both.groupBy("scenario").agg(
+        F.count("*").alias("n"), cell(True, True).alias("both"), cell(True, False).alias("a_only"), cell(False, True).alias("b_only"), cell(False, False).alias("neither"), F.sum("line").alias("places")
+    )
+
+
+@query("""
+select sum((turn > 0)::int)::bigint as calls, sum((turn = 0)::int)::bigint as cache_hits, coalesce(sum(case when turn > 0 then length(text) end), 0)::bigint as prompt_tokens,
+       coalesce(sum(case when turn > 0 then strlen(text) end), 0)::bigint as completion_tokens from conversations""")
+def usage_counters(t, spark):
+    from corvane.functions import usage
+    from corvane.functions.storage import materialize
+
+    rows = t("conversations").select("turn", F.length("text").alias("p"), F.octet_length("text").alias("c"))
+    answers, seen = usage.observed(rows, F.col("turn") == 0, F.col("p"), F.col("c"))
+    materialize(answers, "answers")  # the counters come with what the job does anyway
+    counted = usage.usage(seen)
+    return spark.createDataFrame([tuple(counted[n] for n in usage.COUNTERS)], ", ".join(f"{n} long" for n in usage.COUNTERS))
+
+
+@query("""
+with latest as (select doc_id, n_chars / 1000.0::double as score, case when n_chars < 500 then 1 when n_chars < 2000 then 2 else 3 end as version from documents)
+select doc_id, round(score, 6) as score, version from latest""")
+def score_cache(t, spark):
+    from corvane.functions.storage import scratch
+    from corvane.sources.cache import ScoreCache, provenance
+
+    cache = ScoreCache(spark, scratch(spark, "scores"), "doc_id", "doc_id long, score double")
+    made_by, docs = provenance("length", unit=1000), t("documents").select("doc_id", "n_chars")
+    compute = lambda rows: rows.select("doc_id", (F.col("n_chars") / 1000.0).alias("score"))
+    for most in (500, 2000):
+        cache.scored(docs.where(F.col("n_chars") < most), made_by, compute)
+    done = cache.scored(docs, made_by, compute)  # computes what the two runs before have not
+    return done.select("doc_id", _r("score").alias("score"), F.col("_version").alias("version"))
+
+
+@query("""
+select item_id, sha256('{"input":' || to_json(text) || ',"instruction":' || to_json(item_id::varchar) || ',"output":' || to_json(left(text, 20)) || '}') as record_id,
+       sha256('{"input":' || to_json(text) || ',"instruction":' || to_json(item_id::varchar) || '}') as stable_record_id from benchmark""")
+def canonical_ids(t, spark):
+    from corvane.functions import identity
+
+    no, text = F.col("item_id").cast("string"), F.col("text")
+    return t("benchmark").select("item_id", identity.record_id(no, text, F.substring(text, 1, 20)).alias("record_id"), identity.stable_record_id(no, text).alias("stable_record_id"))
+
+
+def _typed_world(t):
+    """Robots are suppliers, places nations, items parts; what a robot can carry and reach, and what is connected, from the tables."""
+    region = t("nation").select(F.col("n_nationkey").alias("place"), F.col("n_regionkey").alias("region"))
+    robots = t("supplier").select(F.col("s_suppkey").alias("robot"), F.col("s_nationkey").alias("home"))
+    pools = {"robot": robots.select("robot"), "place": region.select("place"), "item": t("part").select("p_partkey")}
+    pair = region.join(region.select(F.col("place").alias("to"), "region"), "region").where("place != to")
+    home = robots.join(region.select(F.col("place").alias("home"), "region"), "home")
+    facts = {
+        "connected": pair.select("place", "to"),
+        "can_reach": home.join(region, "region").select("robot", "place"),
+        "can_carry": t("lineitem").where("l_quantity >= 48").select("l_suppkey", "l_partkey").distinct(),
+    }
+    return pools, facts
+
+
+_TYPED = """
+with region_ as (select n_nationkey as place, n_regionkey as region from nation),
+reach as (select s_suppkey as robot, p.place from supplier join region_ h on h.place = s_nationkey join region_ p using (region)),
+carry as (select distinct l_suppkey as robot, l_partkey as item from lineitem where l_quantity >= 48)"""
+
+
+@query(f"""{_TYPED}
+select g.robot as giver, r.robot as receiver, g.item, p.place from carry g join carry r on r.item = g.item and r.robot <> g.robot
+join reach p on p.robot = g.robot join reach q on q.robot = r.robot and q.place = p.place
+where g.item in (select p_partkey from part) and g.robot in (select s_suppkey from supplier) and r.robot in (select s_suppkey from supplier)""")
+def ground_handover(t, spark):
+    from corvane.operators import grounding
+
+    static = (("can_reach", ("giver", "place")), ("can_reach", ("receiver", "place")), ("can_carry", ("giver", "item")), ("can_carry", ("receiver", "item")))
+    schema = grounding.Schema("Handover", (("giver", "robot"), ("receiver", "robot"), ("item", "item"), ("place", "place")), static, ("giver", "receiver"))
+    return grounding.ground(schema, *_typed_world(t))
+
+
+@query(f"""{_TYPED}
+select a.robot, a.place as start, b.place as target from reach a join reach b on b.robot = a.robot join region_ x on x.place = a.place join region_ y on y.place = b.place
+where x.region = y.region and a.place <> b.place""")
+def ground_moves(t, spark):
+    from corvane.operators import grounding
+
+    static = (("can_reach", ("robot", "start")), ("can_reach", ("robot", "target")), ("connected", ("start", "target")))
+    schema = grounding.Schema("MoveTo", (("robot", "robot"), ("start", "place"), ("target", "place")), static)
+    return grounding.ground(schema, *_typed_world(t))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
