@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,3 +58,8 @@ def draw(seed: str, *keys: Column | str) -> Column:
     """A number in [0, 1) by md5 of seed and keys, the same in every engine."""
     text = F.concat_ws(":", F.lit(seed), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+
+
+def mixed_seed(seed: int, *names: str) -> int:
+    """A seed of its own for each name (a domain and tier, say): the CRC of "a/b" mod 997 beside the seed."""
+    return seed * 1000 + zlib.crc32("/".join(names).encode()) % 997

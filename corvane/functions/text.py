@@ -74,6 +74,23 @@ def chat_prompt(turns: DataFrame, key: str, turn: str, role: str, text: str) ->
     return turns.groupBy(key).agg(F.concat(F.regexp_replace(joined, r"\s+$", ""), F.lit("\n\nassistant:\n")).alias("prompt"))
 
 
+def prompt_and_completion(turns: DataFrame, key: str, turn: str, role: str, text: str, end: str) -> DataFrame:
+    """(key, prompt, completion): a conversation up to its last answer, and that answer with the end of text, once."""
+    last = turns.where(F.col(role) == "assistant").groupBy(key).agg(F.max(F.struct(turn, text)).alias("_last"))
+    before = turns.join(last, key).where(F.col(turn) < F.col(f"_last.{turn}"))
+    answer = F.coalesce(F.col(f"_last.{text}"), F.lit(""))
+    closed = F.when(answer.endswith(end), answer).otherwise(F.concat(answer, F.lit(end)))
+    return chat_prompt(before, key, turn, role, text).join(last.select(key, closed.alias("completion")), key)
+
+
+def per_stage(given: str, stages: int, kind: type = float) -> list:
+    """A parameter for each stage from "1" or "1,2,3"; another number of values is an error."""
+    held = [kind(x) for x in given.split(",")]
+    if len(held) not in (1, stages):
+        raise ValueError(f"{len(held)} values for {stages} stages")
+    return held * stages if len(held) == 1 else held
+
+
 def names_and_ids(text: Column) -> Column:
     """Pairs of a name and the id in parentheses after it; names may hold apostrophes and hyphens."""
     pattern = F.lit(NAME_ID)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.ranking import draw, ordinal, rank_within
+from corvane.functions.ranking import draw, midrank, ordinal, rank_within
 from corvane.functions.storage import materialize
 
 
@@ -99,6 +99,26 @@ def alignment_violations(a: DataFrame, b: DataFrame, key: str, same: list[str] =
     )
 
 
+def crosstab(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b, n) for every value of a with every value of b, zeros too: the values that occur, few of each."""
+    counts = rows.groupBy(a, b).agg(F.count("*").alias("_n")).select(F.col(a).alias("_a"), F.col(b).alias("_b"), "_n")
+    cells = rows.select(a).distinct().crossJoin(rows.select(b).distinct())  # the result's own cells
+    both = cells.join(counts, F.col(a).eqNullSafe(F.col("_a")) & F.col(b).eqNullSafe(F.col("_b")), "left")
+    return both.select(a, b, F.coalesce("_n", F.lit(0)).cast("long").alias("n"))
+
+
+def rank_correlation(df: DataFrame, a: str, b: str, tie: str) -> DataFrame:
+    """One row: the correlation of the midranks of two columns, ties by the tie column."""
+    ranked = midrank(midrank(df, a, tie, "_ra"), b, tie, "_rb")
+    return ranked.agg(F.round(F.corr("_ra", "_rb"), 6).alias("rank_correlation"))
+
+
+def composition(df: DataFrame, distinct: str, **conditions: Column) -> DataFrame:
+    """One row: how many rows there are, how many of each condition, and how many different values of a column."""
+    counts = [F.count_if(c).alias(name) for name, c in conditions.items()]
+    return df.agg(F.count("*").alias("n"), *counts, F.countDistinct(distinct).alias(f"{distinct}s"))
+
+
 def order_statistics(df: DataFrame, group: str, value: str, tie: str) -> DataFrame:
     """Mean, and the elements at floor(n q) of the sorted values for q = .5 and .9; not interpolated."""
     r = rank_within(df, group, [value, tie], "_r", "_n")

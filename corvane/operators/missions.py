@@ -150,3 +150,11 @@ def _built(spark: SparkSession, wanted: DataFrame, todo: DataFrame, split: str,
     line = Window.partitionBy("domain", "tier").orderBy("no")
     ranked = both.withColumn("_r", F.row_number().over(first)).where("_r = 1").withColumn("_k", F.row_number().over(line))
     return ranked.join(F.broadcast(wanted), ["domain", "tier"]).where("_k <= n").select(*good.columns)  # one row for each quota
+
+
+def fault_candidates(steps: DataFrame) -> DataFrame:
+    """(task, kind, what, most): every way that a task's plan takes may be blocked; a robot of two moves or more may
+    run out of power after all but one. steps: task, robot, l1, l2, one row for each move."""
+    ways = steps.select("task", F.lit("blocked_edge").alias("kind"), F.concat_ws(">", "l1", "l2").alias("what"), F.lit(None).cast("long").alias("most")).distinct()
+    robots = steps.groupBy("task", "robot").agg(F.count("*").alias("n")).where("n >= 2")
+    return ways.unionByName(robots.select("task", F.lit("battery").alias("kind"), F.col("robot").alias("what"), (F.col("n") - 1).alias("most")))

@@ -43,6 +43,13 @@ def zscores(train: DataFrame, rows: DataFrame, value: str, out: str = "z") -> Da
     return rows.join(F.broadcast(stats), F.lit(True)).withColumn(out, (F.col(value) - F.col("_mean")) / std).drop("_mean", "_std")  # one row
 
 
+def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with each of the columns as its z-score, from one aggregate."""
+    stats = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns])
+    z = {c: (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") < 1e-6, 1.0).otherwise(F.col(f"_s_{c}")) for c in columns}
+    return df.join(F.broadcast(stats), F.lit(True)).withColumns(z).select(df.columns)  # one row
+
+
 def _distance(a: Column, b: Column, metric: str) -> Column:
     """a, b: arrays of doubles."""
     if metric == "cosine":  # of unit vectors
@@ -153,15 +160,22 @@ def gated_dose(multiplier: Column, residual: Column) -> Column:
     return F.when(multiplier > 1, 1 + (multiplier - 1) * r).otherwise(multiplier)
 
 
-def adaptive_dose(rows: DataFrame, bucket: str, difficulty: str, utility: str, first_round: bool) -> DataFrame:
-    """(bucket, dose): mean difficulty over mean utility (1 over it in the first round), scaled so that
-    its mean over the rows is 1."""
+def adaptive_dose(rows: DataFrame, bucket: str, difficulty: str, utility: str, first_round: bool, window: list[int] | None = None) -> DataFrame:
+    """(bucket, n, dose): mean difficulty over mean utility (1 over it in the first round), scaled so that
+    its mean over the rows of the pool, the buckets of the window or all, is 1; a pool without mass is an error."""
     per = rows.groupBy(bucket).agg(F.count("*").alias("n"), F.avg(difficulty).alias("d"), F.avg(utility).alias("u"))
     raw = (F.lit(1.0) if first_round else F.col("d")) / F.greatest("u", F.lit(1e-12))
-    per = per.withColumn("raw", raw)
-    every = Window.partitionBy(F.lit(0))  # one row for each bucket
-    mean = F.sum(F.col("raw") * F.col("n")).over(every) / F.sum("n").over(every)
-    return per.select(bucket, "n", (F.col("raw") / mean).alias("dose"))
+    return _scaled(per.withColumn("raw", raw), bucket, window)
+
+
+def _scaled(per: DataFrame, bucket: str, window: list[int] | None) -> DataFrame:
+    """(bucket, n, dose): raw over its mean over the rows of the window's buckets. per: one row for each bucket."""
+    per = materialize(per, "doses")
+    pool = per if window is None else per.where(F.col(bucket).isin(window))
+    mean = pool.agg(F.sum(F.col("raw") * F.col("n")) / F.sum("n")).first()[0]
+    if mean is None or not 0 < mean < float("inf"):
+        raise ValueError("the active buckets have no positive mass")
+    return per.select(bucket, "n", (F.col("raw") / F.lit(mean)).alias("dose"))
 
 
 def residual_dose(rows: DataFrame, bucket: str, difficulty: str, residuals: list[float], window: list[int]) -> DataFrame:
@@ -169,11 +183,7 @@ def residual_dose(rows: DataFrame, bucket: str, difficulty: str, residuals: list
     buckets of the window; a window without any mass is an error."""
     per = rows.groupBy(bucket).agg(F.count("*").alias("n"), F.avg(difficulty).alias("d"))
     r = F.try_element_at(F.array(*[F.lit(min(1.0, max(0.0, float(x)))) for x in residuals]), (F.col(bucket) + 1).cast("int"))
-    per = materialize(per.withColumn("raw", F.col("d") * r), "doses")  # one row for each bucket
-    mean = per.where(F.col(bucket).isin(window)).agg(F.sum(F.col("raw") * F.col("n")) / F.sum("n")).first()[0]
-    if not mean or mean <= 0:
-        raise ValueError("the active buckets have no positive mass")
-    return per.select(bucket, "n", (F.col("raw") / F.lit(mean)).alias("dose"))
+    return _scaled(per.withColumn("raw", F.col("d") * r), bucket, window)
 
 
 def check_rounds(windows: list[int], doses: list[list[float]], k: int, only_round: int | None = None, adaptive: bool = False, gated: bool = False) -> None:
@@ -257,3 +267,22 @@ def distinct_drawn(rounds: DataFrame, key: str) -> DataFrame:
     """(round, drawn, distinct): how many draws each round has, and of how many different rows."""
     times = rounds.groupBy("round", key).agg(F.count("*").alias("n"))
     return times.groupBy("round").agg(F.sum("n").alias("drawn"), F.count("*").alias("distinct"))
+
+
+def ordered_scores(scored: DataFrame, key: str, difficulty: str, utility: str, alpha: float, batch: int, seed: str) -> DataFrame:
+    """scored with due, the ratio of the ranks of difficulty and utility, and position, drawn from a window that grows over due."""
+    from corvane.operators.sampling import expanding_window
+
+    ranked = due_order(scored, difficulty, utility, key).drop("rank_d", "rank_u")
+    ranked = materialize(ordinal(ranked, ["due", key], "_place"), "due")
+    return ranked.join(expanding_window(ranked.select("_place"), "_place", alpha, batch, seed), "_place").drop("_place")
+
+
+def score_report(ordered: DataFrame, difficulty: str, utility: str) -> DataFrame:
+    """One row: means, medians and 90th percentiles of the scores, and whether the positions are a permutation."""
+    columns = {"difficulty": difficulty, "utility": utility, "due": "due"}
+    held = {name: quantiles(ordered, c, [0.5, 0.9]) for name, c in columns.items()}
+    found = [F.round(F.lit(x).cast("double"), 6).alias(f"{name}_{q}") for name, xs in held.items() for q, x in zip(("p50", "p90"), xs, strict=True)]
+    means = [F.round(F.avg(columns[n]), 6).alias(f"{n}_mean") for n in ("difficulty", "utility")]
+    whole = (F.count("*") == F.countDistinct("position")) & (F.coalesce(F.max("position") + 1, F.lit(0)) == F.count("*"))
+    return ordered.agg(F.count("*").alias("n"), *means, *found, whole.alias("is_permutation"))

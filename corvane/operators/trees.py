@@ -24,6 +24,39 @@ def depth(xml: Column) -> Column:
     return F.aggregate(tags, F.struct(F.lit(-1).alias("at"), F.lit(-1).alias("most")), step)["most"]
 
 
+def tag_counts(names: Column, groups: dict[str, tuple[str, ...]]) -> list[Column]:
+    """How many of the names are in each group, and all of them as n_nodes."""
+    count = lambda of: F.size(F.filter(names, lambda x: x.isin(*of))).cast("long")
+    return [*[count(of).alias(out) for out, of in groups.items()], F.size(names).cast("long").alias("n_nodes")]
+
+
+def well_formed(xml: Column) -> Column:
+    """Whether tags are closed in the order in which they were opened, under one root: a fold that keeps the open ones."""
+    tags = F.regexp_extract_all(xml, F.lit(r"<(/?[A-Za-z][^>]*)>"), F.lit(1))
+    start = F.struct(F.array().cast("array<string>").alias("open"), F.lit(0).alias("roots"), F.lit(True).alias("ok"))
+
+    def step(acc, t):
+        name, closes, single = F.regexp_extract(t, r"^/?([A-Za-z][\w.:-]*)", 1), t.startswith("/"), t.endswith("/")
+        fits = F.try_element_at(acc["open"], F.lit(-1)) == name
+        left = F.slice(acc["open"], F.lit(1), F.greatest(F.size(acc["open"]) - 1, F.lit(0)))
+        held = F.when(closes, left).when(single, acc["open"]).otherwise(F.concat(acc["open"], F.array(name)))
+        root = (~closes & (F.size(acc["open"]) == 0)).cast("int")
+        return F.struct(held.alias("open"), (acc["roots"] + root).alias("roots"), (acc["ok"] & (~closes | F.coalesce(fits, F.lit(False)))).alias("ok"))
+
+    return F.coalesce(F.aggregate(tags, start, step, lambda a: a["ok"] & (F.size(a["open"]) == 0) & (a["roots"] == 1)), F.lit(False))
+
+
+TREE_FEATURES = ("n_sync", "n_co", "n_fb", "depth", "n_nodes")
+
+
+def structure_vector(records: DataFrame, xml: str, plan_len: Column, n_agents: Column, n_faults: Column) -> DataFrame:
+    """records with the eight structural features; a tree that is not well formed has zeros for its five."""
+    df = features(records.withColumn("_ok", well_formed(F.col(xml))), xml)
+    df = df.withColumns({c: F.when(F.col("_ok"), F.col(c)).otherwise(0).cast("long") for c in TREE_FEATURES})
+    own = {"plan_len": plan_len, "n_agents": n_agents, "n_faults": n_faults}
+    return df.withColumns({k: F.coalesce(v, F.lit(0)).cast("long") for k, v in own.items()}).drop("_ok", "stage")
+
+
 def features(trees: DataFrame, xml: str) -> DataFrame:
     """trees with counts of waits, joint actions, recoveries and nodes, the depth, and the stage."""
     df = trees.withColumn("_names", T.tag_names(F.col(xml)))

@@ -192,18 +192,14 @@ def quantile_buckets(t, spark):
 select b.bucket, l.lang, count(d.doc_id) as n from (select unnest(range(4))::int as bucket) b cross join (select distinct lang from documents) l
 left join ({_BUCKETED}) d on d.bucket = b.bucket and d.lang = l.lang group by b.bucket, l.lang""")
 def crosstab_dense(t, spark):
-    rows = _bucketed(t)
-    cells = t("documents").select("lang").distinct().withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    counts = rows.groupBy("bucket", "lang").agg(F.count("*").alias("n"))
-    return cells.join(counts, ["bucket", "lang"], "left").select("bucket", "lang", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return metrics.crosstab(_bucketed(t), "bucket", "lang")
 
 
 @query("""
 with r as (select row_number() over (order by p_size, p_partkey) as a, row_number() over (order by p_retailprice, p_partkey) as b from part)
 select round(corr(a, b), 6) as rank_correlation from r""")
 def rank_corr(t, spark):
-    rows = midrank(midrank(t("part").select("p_partkey", "p_size", "p_retailprice"), "p_size", "p_partkey", "a"), "p_retailprice", "p_partkey", "b")
-    return rows.agg(_r(F.corr("a", "b")).alias("rank_correlation"))
+    return metrics.rank_correlation(t("part").select("p_partkey", "p_size", "p_retailprice"), "p_size", "p_retailprice", "p_partkey")
 
 
 @query("""
@@ -215,11 +211,23 @@ def pca_fuse_two(t, spark):
     return fused.select("p_partkey", _r("fused").alias("fused"))
 
 
-@query()
+_PCA_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query(f"""
+with recursive z as materialized (select l_orderkey * 8 + l_linenumber as row, {", ".join(f"(l.{c} - avg(l.{c}) over ()) / stddev_pop(l.{c}) over () as x{i}" for i, c in enumerate(_PCA_COLUMNS))} from lineitem l),
+c as materialized (select [{", ".join("[" + ", ".join(f"covar_pop(x{i}, x{j})" for j in range(4)) + "]" for i in range(4))}] as m from z),
+p as (
+  select 0 as step, m from c
+  union all
+  select step + 1, list_transform(q, lambda r: list_transform(r, lambda x: x / (q[1][1] + q[2][2] + q[3][3] + q[4][4]))) from (
+    select step, list_transform(m, lambda r: list_transform(range(1, 5), lambda j: list_sum(list_transform(range(1, 5), lambda k: r[k] * m[k][j])))) as q from p where step < 40)),
+v as (select list_transform(m, lambda r: r[1] + 0.9 * r[2] + 0.8 * r[3] + 0.7 * r[4]) as v from p where step = 40),
+w as (select list_transform(v, lambda x: abs(x) / list_sum(list_transform(v, lambda y: abs(y)))) as w from v)
+select row, round(w[1] * x0 + w[2] * x1 + w[3] * x2 + w[4] * x3, 5) as fused from z, w""")
 def pca_fuse_many(t, spark):
-    columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    rows = t("lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row"), *columns)
-    return scoring.fuse(scoring.zscores(rows, rows, "l_quantity", "l_quantity"), columns).select("row", _r("fused").alias("fused"))
+    rows = t("lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row"), *_PCA_COLUMNS)
+    return scoring.fuse(scoring.standardised(rows, _PCA_COLUMNS), _PCA_COLUMNS).select("row", _r("fused", 5).alias("fused"))
 
 
 @query("""
@@ -317,9 +325,11 @@ def weighted_draw(t, spark):
 
 @query(f"""
 select bucket, m, round(case when m > 1 then 1 + (m - 1) * least(1, greatest(0, r)) else m end, 6) as dose
-from (select bucket, m::double as m, r::double as r from (values (0, 0.5, 0.2), (1, 0.75, 0.4), (2, 1.5, 0.9), (3, 3.0, 1.2)) v(bucket, m, r))""")
+from (select bucket, [0.5::double, 0.75, 1.5, 3.0][bucket + 1] as m, avg(n_chars) / 2000.0::double as r from ({_BUCKETED}) group by bucket)""")
 def dose_gate(t, spark):
-    rows = spark.createDataFrame([(0, 0.5, 0.2), (1, 0.75, 0.4), (2, 1.5, 0.9), (3, 3.0, 1.2)], "bucket int, m double, r double")
+    means = _bucketed(t).groupBy("bucket").agg(F.avg("n_chars").alias("r"))
+    m = F.array(*[F.lit(x) for x in (0.5, 0.75, 1.5, 3.0)])[F.col("bucket")]
+    rows = means.select("bucket", m.alias("m"), (F.col("r") / 2000.0).alias("r"))
     return rows.select("bucket", "m", _r(scoring.gated_dose(F.col("m"), F.col("r"))).alias("dose"))
 
 
@@ -464,10 +474,12 @@ c as (select page_id, len(list_filter(names, lambda x: x in ('a', 'link'))) as n
   len(list_filter(names, lambda x: x in ('form', 'nav', 'aside'))) as n_fb, len(names) as n_nodes from n)
 select page_id, n_sync, n_co, n_fb, n_nodes, case when n_fb > 0 then 3 when n_sync > 0 or n_co > 0 then 2 else 1 end as stage from c""")
 def tag_features_stage(t, spark):
+    from corvane.operators import trees
+
     names = t("pages").select("page_id", F.transform(T.tag_names(F.col("html")), F.lower).alias("names"))
-    count = lambda *of: F.size(F.filter("names", lambda x: x.isin(*of))).cast("long")
-    out = names.select("page_id", count("a", "link").alias("n_sync"), count("ul", "ol", "table").alias("n_co"), count("form", "nav", "aside").alias("n_fb"), F.size("names").cast("long").alias("n_nodes"))
-    return out.withColumn("stage", F.when(F.col("n_fb") > 0, 3).when((F.col("n_sync") > 0) | (F.col("n_co") > 0), 2).otherwise(1))
+    groups = {"n_sync": ("a", "link"), "n_co": ("ul", "ol", "table"), "n_fb": ("form", "nav", "aside")}
+    out = names.select("page_id", *trees.tag_counts(F.col("names"), groups))
+    return out.withColumn("stage", trees.stage(F.col("n_fb"), F.col("n_sync"), F.col("n_co")))
 
 
 @query(r"""
@@ -619,58 +631,52 @@ def prose_edges(t, spark):
 # --- worlds and graphs -----------------------------------------------------------------------------
 
 
-def _graph(spark):
-    inline.views(spark)
+def _graph(t, spark):
+    inline.views(spark, t)
 
 
 @query(inline.WITH + inline.SHORTEST)
 def bfs_shortest(t, spark):
-    _graph(spark)
+    _graph(t, spark)
     return graph.shortest(spark.table("edges"))
 
 
 @query(inline.WITH + graph.SIMPLE_PATHS.format(nodes=4).replace("with recursive", ","))
 def simple_paths(t, spark):
-    _graph(spark)
+    _graph(t, spark)
     return spark.sql(graph.SIMPLE_PATHS.format(nodes=4))
 
 
 @query(inline.WITH + inline.STATION_DISTANCE)
 def station_distance(t, spark):
-    _graph(spark)
+    _graph(t, spark)
     return graph.station_distance(spark.table("edges"), spark.table("stations"), spark.table("can_reach"))
 
 
 @query(inline.WITH + inline.GROUND)
 def ground_actions(t, spark):
-    _graph(spark)
+    _graph(t, spark)
     return inline.ground(spark)
 
 
-@query(f"""
-with o as (select s_suppkey as k from supplier),
-p as (select k, case when k <= 1 then null else (('0x' || substr(md5('tree:' || k), 1, 13))::bigint % (k - 1)) + 1 end as parent from o)
-select k, parent from p""")
+@query(f"select s_suppkey as k, case when s_suppkey > 1 then (floor({_HASH.format('tree', 's_suppkey')} * (s_suppkey - 1)) + 1)::bigint end as parent from supplier")
 def spanning_tree(t, spark):
-    h = F.conv(F.substring(F.md5(F.concat(F.lit("tree:"), F.col("k").cast("string"))), 1, 13), 16, 10).cast("long")
-    return t("supplier").select(F.col("s_suppkey").alias("k")).select("k", F.when(F.col("k") > 1, h % F.greatest(F.col("k") - 1, F.lit(1)) + 1).alias("parent"))
+    return graph.spanning_tree(t("supplier").select(F.col("s_suppkey").alias("k")), "k", "tree")
 
 
 @query(inline.REPLAY_SQL)
 def plan_replay(t, spark):
-    return inline.replay(spark)
+    t("orders").createOrReplaceTempView("orders")
+    return inline.replay(spark.sql(inline.PLANS_SQL))
 
 
 @query("""
-with steps as (select * from (values (1, 1, 'alpha', 'a', 'b'), (1, 2, 'alpha', 'b', 'c'), (1, 3, 'beta', 'd', 'c'), (2, 1, 'beta', 'a', 'b'), (2, 2, 'beta', 'b', 'a')) s(task, no, robot, l1, l2))
+with steps as (select l_orderkey as task, l_suppkey::varchar as robot, l_returnflag as l1, l_linestatus as l2 from lineitem)
 select distinct task, 'blocked_edge' as kind, l1 || '>' || l2 as what, null::bigint as most from steps
 union all select task, 'battery', robot, count(*) - 1 from steps group by task, robot having count(*) >= 2""")
 def fault_candidates(t, spark):
-    rows = [(1, 1, "alpha", "a", "b"), (1, 2, "alpha", "b", "c"), (1, 3, "beta", "d", "c"), (2, 1, "beta", "a", "b"), (2, 2, "beta", "b", "a")]
-    steps = spark.createDataFrame(rows, "task int, no int, robot string, l1 string, l2 string")
-    edges = steps.select("task", F.lit("blocked_edge").alias("kind"), F.concat_ws(">", "l1", "l2").alias("what"), F.lit(None).cast("long").alias("most")).distinct()
-    robots = steps.groupBy("task", "robot").agg(F.count("*").alias("n")).where("n >= 2")
-    return edges.unionByName(robots.select("task", F.lit("battery").alias("kind"), F.col("robot").alias("what"), (F.col("n") - 1).alias("most")))
+    steps = t("lineitem").select(F.col("l_orderkey").alias("task"), F.col("l_suppkey").cast("string").alias("robot"), F.col("l_returnflag").alias("l1"), F.col("l_linestatus").alias("l2"))
+    return missions.fault_candidates(steps)
 
 
 @query("""
@@ -788,7 +794,10 @@ weighted as (select u.*, case when sum(i.idf) over (partition by page_id) > 0 th
 select page_id, round(sum(w * nll) / greatest(sum(w), 1), 6) as nll, round(sum(w * (1 - ok)) / greatest(sum(w), 1), 6) as error from weighted group by page_id"""
 
 
-@query(_TOKENS)
+@query(f"""
+with scored as ({_TOKENS.replace("round(sum(w * nll) / greatest(sum(w), 1), 6)", "sum(w * nll) / greatest(sum(w), 1)").replace("round(sum(w * (1 - ok)) / greatest(sum(w), 1), 6)", "sum(w * (1 - ok)) / greatest(sum(w), 1)")})
+select page_id, round(nll, 6) as nll, round(error, 6) as error,
+  round(0.5::double * (row_number() over (order by nll, page_id) - 0.5) / count(*) over () + 0.5::double * (row_number() over (order by error, page_id) - 0.5) / count(*) over (), 6) as difficulty from scored""")
 def semantic_difficulty(t, spark):
     from corvane.operators import difficulty
 
@@ -802,10 +811,22 @@ def semantic_difficulty(t, spark):
         (draw("nll", row) * 4).alias("nll"), (draw("ok", row) >= 0.3).alias("top1_ok"),
     )
     spans = difficulty.opening_spans(pages, "page_id", "html")
-    return difficulty.semantic_difficulty(tokens, spans, "page_id").select("page_id", _r("nll").alias("nll"), _r("error").alias("error"))
+    return difficulty.semantic_difficulty(tokens, spans, "page_id").select("page_id", *[_r(c).alias(c) for c in ("nll", "error", "difficulty")])
 
 
-@query()
+def _view_sql(name: str, vectors: str, distance: str) -> str:
+    return f"""{name}_e as materialized ({vectors}),
+{name}_p as (select t.vec_id, {distance} as d, row_number() over (partition by t.vec_id order by {distance}, q.vec_id) as r from {name}_e t, {name}_e q where t.vec_id % 10 <> 0 and q.vec_id % 10 = 0),
+{name}_near as materialized (select * from {name}_p where r <= 5), {name}_s as (select median(d) as s from {name}_near where d > 1e-8),
+{name} as materialized (select vec_id, avg(case when s is null then 1 else exp(-d * d / (2 * s * s)) end) as u from {name}_near, {name}_s group by vec_id)"""
+
+
+@query(f"""
+with {_view_sql("text_", "select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings", "sqrt(greatest(0, 2 - 2 * list_inner_product(t.v, q.v)))")},
+stats as (select avg(embedding[1]::double) as ma, stddev_pop(embedding[1]::double) as sa, avg(embedding[2]::double) as mb, stddev_pop(embedding[2]::double) as sb from embeddings where vec_id % 10 <> 0),
+{_view_sql("shape_", "select vec_id, [(embedding[1]::double - ma) / sa, (embedding[2]::double - mb) / sb] as v from embeddings, stats", "list_distance(t.v, q.v)")}
+select vec_id, round(0.5::double * (row_number() over (order by t.u, vec_id) - 0.5) / count(*) over () + 0.5::double * (row_number() over (order by s.u, vec_id) - 0.5) / count(*) over (), 6) as utility
+from text_ t join shape_ s using (vec_id)""")
 def two_view_utility(t, spark):
     from corvane.operators import difficulty
 
@@ -816,24 +837,21 @@ def two_view_utility(t, spark):
 
 @query(inline.WITH + """
 select e.src as loc, c.robot, string_agg(e.dst, ',' order by e.dst) as ways from edges e join can_reach c on c.loc = e.dst
-where not ((e.src = 'hall' and e.dst = 'dock') or (e.src = 'dock' and e.dst = 'hall')) group by e.src, c.robot""")
+where not exists (select 1 from blocked b where b.src = e.src and b.dst = e.dst) group by e.src, c.robot""")
 def valid_outgoing(t, spark):
-    _graph(spark)
-    blocked = spark.createDataFrame([("hall", "dock"), ("dock", "hall")], "src string, dst string")
-    open_ = spark.table("edges").join(blocked, ["src", "dst"], "left_anti").join(spark.table("can_reach"), F.col("dst") == F.col("loc"))
-    return open_.groupBy(F.col("src").alias("loc"), "robot").agg(F.array_join(F.array_sort(F.collect_list("dst")), ",").alias("ways"))
+    _graph(t, spark)
+    out = graph.valid_outgoing(spark.table("edges"), spark.table("blocked"), spark.table("can_reach"))
+    return out.withColumn("ways", F.array_join("ways", ","))
 
 
 @query(inline.WITH + f"""
-select a.loc as a, b.loc as b, round({_HASH.format("extra", "a.loc || b.loc")}, 6) as u from locations a join locations b on a.loc < b.loc
-where not exists (select 1 from edges e where e.src = a.loc and e.dst = b.loc) order by {_HASH.format("extra", "a.loc || b.loc")} limit 2""")
+, numbered as (select loc, row_number() over (order by loc) - 1 as r from locations),
+drawn as (select id as draw, floor({_HASH.format("extra", "id || ':i'")} * (select count(*) from locations))::bigint as i, floor({_HASH.format("extra", "id || ':j'")} * (select count(*) from locations))::bigint as j from range(176) t(id)),
+pairs as (select draw, x.loc as a, y.loc as b from drawn join numbered x on x.r = least(i, j) join numbered y on y.r = greatest(i, j) where i <> j)
+select a, b, min(draw) as draw from pairs where not exists (select 1 from edges where src = a and dst = b) group by a, b order by draw limit 20""")
 def extra_edges(t, spark):
-    _graph(spark)
-    loc = spark.table("locations")
-    pairs = loc.select(F.col("loc").alias("a")).join(loc.select(F.col("loc").alias("b")), F.col("a") < F.col("b"))
-    spare = pairs.join(spark.table("edges"), (F.col("a") == F.col("src")) & (F.col("b") == F.col("dst")), "left_anti")
-    u = draw("extra", F.concat("a", "b"))
-    return spare.withColumn("_u", u).orderBy("_u").limit(2).select("a", "b", _r("_u").alias("u"))
+    _graph(t, spark)
+    return graph.extra_edges(spark.table("locations"), "loc", spark.table("edges"), 20, "extra")
 
 
 _SCENARIO = "case source when 'src0' then 'relay+service' when 'src1' then 'heavy+extra' when 'src2' then 'relay' else 'independent' end"
@@ -852,7 +870,60 @@ def family_success(t, spark):
 @query("""
 select count(*) as n, sum((lang = 'en')::int)::bigint as english, sum((n_chars > 1000)::int)::bigint as long_, count(distinct source) as sources from documents""")
 def composition(t, spark):
-    return t("documents").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == "en").alias("english"), F.count_if(F.col("n_chars") > 1000).alias("long_"), F.countDistinct("source").alias("sources"))
+    return metrics.composition(t("documents"), "source", english=F.col("lang") == "en", long_=F.col("n_chars") > 1000)
+
+
+_DUE = f"""
+with u as (select doc_id, n_chars, {_HASH.format("utility", "doc_id")} as u from documents),
+r as (select doc_id, n_chars, u, (row_number() over (order by n_chars, doc_id) - 0.5::double) / count(*) over () as rank_d, (row_number() over (order by u, doc_id) - 0.5::double) / count(*) over () as rank_u from u)
+select doc_id, n_chars as difficulty, u as utility, rank_d / greatest(rank_u, 1e-12) as due from r"""
+
+
+def _ordered(t):
+    rows = t("documents").select("doc_id", F.col("n_chars").alias("difficulty"), draw("utility", "doc_id").alias("utility"))
+    return scoring.ordered_scores(rows, "doc_id", "difficulty", "utility", 0.8, 4, "42")
+
+
+@query(f"""
+with recursive due as materialized ({_DUE}), r as (select doc_id, due, row_number() over (order by due, doc_id) - 1 as r from due),
+n as (select count(*) as n, ceil(count(*) / 4.0::double)::bigint as steps from r),
+d as (select id as k, {_HASH.format("42", "id")} as u from range((select n from n)) t(id)),
+e as (select k, k + floor(u * (greatest(ceil(least(1.0::double, (k // 4 + 1) / greatest(1, ceil(0.8::double * steps))) * n), 1, least(n, (k // 4 + 1) * 4)) - k))::bigint as j from d, n),
+s as (select 0::bigint as k, range((select n from n)) as slots
+  union all select s.k + 1, list_transform(slots, lambda x, i: case when i = s.k + 1 then slots[j + 1] when i = j + 1 then slots[s.k + 1] else x end) from s join e on e.k = s.k)
+select r.doc_id, round(due, 6) as due, p.position from (select unnest(slots) as r, unnest(range(len(slots))) as position from s where k = (select n from n)) p join r on r.r = p.r""")
+def ordered_scores(t, spark):
+    return _ordered(t).select("doc_id", _r("due").alias("due"), "position")
+
+
+@query(f"""
+select count(*) as n, round(avg(difficulty), 6) as difficulty_mean, round(avg(utility), 6) as utility_mean, round(quantile_cont(difficulty, 0.5), 6) as difficulty_p50, round(quantile_cont(difficulty, 0.9), 6) as difficulty_p90,
+  round(quantile_cont(utility, 0.5), 6) as utility_p50, round(quantile_cont(utility, 0.9), 6) as utility_p90, round(quantile_cont(due, 0.5), 6) as due_p50, round(quantile_cont(due, 0.9), 6) as due_p90, true as is_permutation from ({_DUE})""")
+def score_report(t, spark):
+    return scoring.score_report(_ordered(t), "difficulty", "utility")
+
+
+@query("select doc_id, (row_number() over (order by doc_id) - 1) // 64 as batch, (row_number() over (order by doc_id) - 1) % 64 as place from documents")
+def position_batches(t, spark):
+    from corvane.sources import jsonl
+
+    return jsonl.batches(t("documents").select("doc_id"), 64, "doc_id")
+
+
+@query("select doc_id, source from documents order by doc_id limit 100")
+def first_rows(t, spark):
+    from corvane.sources import jsonl
+
+    return jsonl.first_rows(t("documents").select("doc_id", "source"), 100, "doc_id")
+
+
+@query(r"""
+with last as (select conv_id, max(turn) as turn from conversations where role = 'assistant' group by conv_id),
+answer as (select c.conv_id, max(c.text) as text from conversations c join last l on l.conv_id = c.conv_id and l.turn = c.turn and c.role = 'assistant' group by c.conv_id)
+select c.conv_id, regexp_replace(string_agg(c.role || ': ' || c.text, chr(10) || chr(10) order by c.turn, c.role || ': ' || c.text), '\s+$', '') || chr(10) || chr(10) || 'assistant:' || chr(10) as prompt,
+  any_value(a.text) || '<|end|>' as completion from conversations c join last l on l.conv_id = c.conv_id and c.turn < l.turn join answer a on a.conv_id = c.conv_id group by c.conv_id""")
+def prompt_completion(t, spark):
+    return T.prompt_and_completion(t("conversations"), "conv_id", "turn", "role", "text", "<|end|>")
 
 
 # --- results, scores, identities -------------------------------------------------------------------

@@ -67,6 +67,33 @@ def read_document(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
+def read_residuals(spark: SparkSession, path: str, buckets: int) -> list[float]:
+    """The residuals R_b of a gate's document, cut to [0, 1]; fails unless there is one for each bucket."""
+    row = spark.read.schema("R_b array<double>").json(path, multiLine=True).first()
+    held = (row.R_b if row else None) or []
+    if len(held) != buckets:
+        raise ValueError(f"{path} has {len(held)} residuals for {buckets} buckets")
+    return [min(1.0, max(0.0, x)) for x in held]
+
+
+def first_rows(df: DataFrame, n: int, row: str = "row_idx") -> DataFrame:
+    """The n rows of the least number; none for 0, all for fewer rows."""
+    return df.orderBy(row).limit(n)
+
+
+def batches(df: DataFrame, size: int, order: str) -> DataFrame:
+    """df with batch and place: position in the order, cut at every `size` rows."""
+    from corvane.functions.ranking import ordinal
+
+    out = ordinal(df, [order], "_i")
+    return out.withColumns({"batch": F.expr(f"_i div {size}"), "place": F.col("_i") % size}).drop("_i")
+
+
+def without_faults(records: DataFrame, include_faulted: bool = False, faults: str = "meta.faults") -> DataFrame:
+    """Records whose mission has no fault; all of them if faulted ones are wanted too."""
+    return records if include_faulted else records.where(F.coalesce(F.size(faults), F.lit(0)) <= 0)
+
+
 def write_report(row: DataFrame, path: str) -> None:
     row.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value")).write.text(path)
 
