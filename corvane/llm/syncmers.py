@@ -1,7 +1,10 @@
 """Document fingerprints of closed syncmers.
 
-The letters are words, maximal runs of non-space characters, by their hashes. A k-mer of K words is
-a closed syncmer if the least of its inner s-mers (S = 1 word) is its first or its last one.
+The letters are words, maximal runs of non-space characters, by their hashes. A word of more than
+LONG code points (a sentence of a script without spaces, say) stands for its code points, and in a
+text of at most SHORT code points each code point is a letter; so long and short texts have no anchors
+in common. A k-mer of K letters is a closed syncmer if the least of its inner s-mers (S letters) is its
+first or its last one.
 Whether a k-mer is chosen depends on nothing but itself, so the same passage gives the same anchors
 wherever it stands. A fingerprint keeps the SKETCH least distinct anchor hashes of the whole text,
 each with the place where the anchor stands first. The likeness of two fingerprints compares the
@@ -13,7 +16,8 @@ the table into ranges of some RANGE_ROWS rows, each of which gets a copy of the
 range after it, so that one window for each range finds every successor. Texts are shuffled once.
 
 Defined results: null counts as the empty text; without words a fingerprint is empty; two empty fingerprints
-have likeness 1, an empty and another one 0. A text of fewer than K words is one anchor. Rows that repeat
+have likeness 1, an empty and another one 0. A text of fewer than K letters is one anchor. Blanks count as
+letters of short texts only. Rows that repeat
 a doc_id follow one another in the order of their texts' hashes; a null doc_id comes last. The only
 row of a table is its own successor. An empty table gives an empty result.
 """
@@ -28,7 +32,10 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import WORD, text_or_empty
 
-K = 3
+K = 4
+S = 2
+LONG = 24
+SHORT = 256
 SKETCH = 64
 DRIFT = 16
 RANGE_ROWS = 512
@@ -37,15 +44,19 @@ MOST_RANGES = 65_536
 
 def with_anchors(df: DataFrame, text: str, out: str, k: int = K, sketch: int = SKETCH) -> DataFrame:
     """df with out: the array of struct<h: long, at: int> of the text's least anchors, ascending."""
-    held, size = f"_{out}_words", f"_{out}_size"
+    held, size, inner = f"_{out}_letters", f"_{out}_size", f"_{out}_inner"
+    every = lambda t: F.regexp_extract_all(t, F.lit(r"(?s)."), F.lit(0))
     words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
-    df = df.withColumn(held, F.transform(words, lambda w: F.xxhash64(w))).withColumn(size, F.size(held))
+    cut = F.flatten(F.transform(words, lambda w: F.when(F.length(w) > LONG, every(w)).otherwise(F.array(w))))
+    letters = F.when(F.length(F.col(text)) <= SHORT, every(F.col(text))).when(F.regexp_like(F.col(text), F.lit(f"{WORD[:-1]}{{{LONG + 1}}}")), cut).otherwise(words)
+    df = df.withColumn(held, F.transform(letters, lambda w: F.xxhash64(w))).withColumn(size, F.size(held))
+    df = df.withColumn(inner, F.zip_with(held, F.slice(held, F.lit(2), F.greatest(F.col(size) - 1, F.lit(0))), lambda x, y: F.xxhash64(x, y)))
     at = lambda i, n: F.element_at(F.col(held), i + n)
-    ends = lambda i: F.least(at(i, 0), at(i, k - 1))
+    pair = lambda i, n: F.element_at(F.col(inner), i + n)
+    ends = lambda i: F.least(pair(i, 0), pair(i, k - S))
 
     def closed(i: Column) -> Column:
-        inner = [at(i, n) >= ends(i) for n in range(1, k - 1)]
-        return reduce(lambda x, y: x & y, inner, F.lit(True))
+        return reduce(lambda x, y: x & y, [pair(i, n) >= ends(i) for n in range(1, k - S)], F.lit(True))
 
     # an anchor is one number, 31 bits of hash above 32 bits of place, so that numbers are sorted
     word = lambda x, i: F.shiftleft(F.shiftrightunsigned(x, 33), 32).bitwiseOR(i.cast("long"))
@@ -53,13 +64,13 @@ def with_anchors(df: DataFrame, text: str, out: str, k: int = K, sketch: int = S
     found = F.transform(places, lambda i: word(F.xxhash64(*[at(i, n) for n in range(k)]), i))
     whole = F.when(F.col(size) > 0, F.array(word(F.xxhash64(F.col(held)), F.lit(1))))
     none = F.array().cast("array<bigint>")
-    every = f"_{out}_every"
-    df = df.withColumn(every, F.sort_array(F.when(F.col(size) >= k, found).otherwise(F.coalesce(whole, none)))).drop(held, size)
-    # every stands twice in what follows, so it is made once and not again for each element
+    line = f"_{out}_every"
+    df = df.withColumn(line, F.sort_array(F.when(F.col(size) >= k, found).otherwise(F.coalesce(whole, none)))).drop(held, size, inner)
+    # the line stands twice in what follows, so it is made once and not again for each element
     hash_of = lambda x: F.shiftright(x, 32)
-    first = F.filter(F.col(every), lambda x, i: (i == 0) | (hash_of(x) != hash_of(F.element_at(F.col(every), F.greatest(i, F.lit(1))))))
+    first = F.filter(F.col(line), lambda x, i: (i == 0) | (hash_of(x) != hash_of(F.element_at(F.col(line), F.greatest(i, F.lit(1))))))
     split = F.transform(F.slice(first, 1, sketch), lambda x: F.struct(hash_of(x).alias("h"), x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("at")))
-    return df.withColumn(out, split).drop(every)
+    return df.withColumn(out, split).drop(line)
 
 
 def likeness(df: DataFrame, a: str, b: str, out: str, sketch: int = SKETCH) -> DataFrame:

@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import struct
 from collections import Counter
 
+import xxhash
 from pyspark.sql import functions as F
 
 from corvane.llm import secrets, sharding, syncmers
@@ -104,19 +106,82 @@ def test_edited_texts_and_likeness(spark):
         assert got[i].near_edited > 0.25
 
 
-def test_anchors_are_closed_syncmers(spark):
-    import xxhash
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
 
-    def signed(h):
-        return h - (1 << 64) if h >> 63 else h
 
+def xx(*longs):
+    """Spark's hash of some longs: each seeds the next."""
+    h = 42
+    for x in longs:
+        h = xxhash.xxh64_intdigest(struct.pack("<q", x), h)
+    return signed(h)
+
+
+def letters(text):
+    if len(text) <= syncmers.SHORT:
+        return list(text)
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    return [x for w in words for x in (w if len(w) > syncmers.LONG else [w])]
+
+
+def anchors(text, sketch=syncmers.SKETCH):
+    """The least anchors with their first places, written out."""
+    h = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in letters(text)]
+    k, found = syncmers.K, {}
+    for i in range(len(h) - k + 1):
+        inner = [xx(h[i + n], h[i + n + 1]) for n in range(k - 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            found.setdefault(xx(*h[i : i + k]) % (1 << 64) >> 33, i + 1)
+    if 0 < len(h) < k:
+        found = None  # one anchor of the whole text
+    return None if found is None else sorted(found.items())[:sketch]
+
+
+def likeness(a, b):
+    least = sorted({h for h, _ in a} | {h for h, _ in b})[: syncmers.SKETCH]
+    if not least:
+        return 1.0
+    x, y = dict(a), dict(b)
+    offsets = sorted(y[h] - x[h] for h in least if h in x and h in y)
+    c = sum(abs(o - offsets[len(offsets) // 2]) <= syncmers.DRIFT for o in offsets) / len(least)
+    return 2 * c / (1 + c)
+
+
+def test_fingerprints_and_likeness_by_brute_force(spark):
+    from tests.llm.conftest import prose
+
+    r = random.Random(5)
+    han = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(900))
+    texts = [prose(k, 30 + 40 * k) for k in range(8)] + [prose(3, 140) + " and more", han, han[:450] + " " + han[450:], "short text of twenty", "The cat sat on mats.", "x" * 300]
+    texts += ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=5000)), "", "a b c", " \n ", "😀" * 30 + prose(4, 60), "word " * 100, prose(1, 70) + " " + "y" * 40]
+    rows = list(enumerate(texts))
+    got = {x.doc_id: x for x in syncmers.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    wrote = lambda f: " ".join(f"{h:08x}:{at}" for h, at in f)
+    for i, t in rows:
+        after = texts[i - 1]  # the next one in descending order, behind the last the first
+        half = len(t) // 2
+        a, e, n = anchors(t), anchors(t[: len(t) - half] + after[:half]), anchors(after)
+        x = got[i]
+        if a is not None:
+            assert x.fingerprint == wrote(a), i
+            if e is not None:
+                assert x.edited_fingerprint == wrote(e) and abs(x.near_edited - likeness(a, e)) < 1e-9, i
+            if n is not None:
+                assert abs(x.near_next - likeness(a, n)) < 1e-9, i
+    for i, t in rows:  # texts without spaces, and short ones, are known again by half of them
+        if t in (han, "short text of twenty", "The cat sat on mats.") or len(t) == 5000:
+            assert got[i].near_edited > 0.25 > got[i].near_next, t[:30]
+
+
+def test_anchors_are_context_free(spark):
     from tests.llm.conftest import prose
 
-    text, k = prose(9, 80) + " äöü", syncmers.K
-    h = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in text.split()]
-    chosen = [i for i in range(len(h) - k + 1) if min(h[i : i + k]) in (h[i], h[i + k - 1])]
-    df = syncmers.with_anchors(spark.createDataFrame([(text,)], "t string"), "t", "fp", sketch=1000)
-    assert sorted(x["at"] - 1 for x in df.first().fp) == chosen and len(chosen) < len(h) - k + 1
+    text = prose(9, 120) + " äöü"
+    df = spark.createDataFrame([(1, text), (2, prose(5, 90) + " " + text)], "i int, t string")
+    own, behind = (x.fp for x in syncmers.with_anchors(df, "t", "fp", sketch=1000).orderBy("i").collect())
+    assert {(x.h, x["at"] + 90) for x in own} <= {(x.h, x["at"]) for x in behind}
+    assert len(own) < 0.85 * (len(text.split()) - syncmers.K + 1)
 
 
 def test_successors_over_many_ranges(spark):
