@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import materialize, text_or_empty
-from corvane.llm.tokens import Cache, pre_tokens, tokenizer_path
+from corvane.llm.tokens import Cache, cuts_at_space, pre_tokens, tokenizer_path
 
 WINDOW = 2048
 OPEN = 64
@@ -46,6 +46,8 @@ def _pack(ids: list[int]) -> bytes:
 def ids_of(path: str, text: str) -> bytes:
     """The ids of a text as little-endian 32-bit numbers."""
     if path not in _caches:
+        if not cuts_at_space(path):
+            raise ValueError(f"{path} is no tokenizer that texts can be cut for at white space")
         _caches[path] = Cache(path, _pack, b"".join)
     return b"".join(map(_caches[path].__getitem__, pre_tokens(text)))
 

@@ -1,11 +1,14 @@
 """Token counts by a map-side two-tier lookup.
 
-Texts are cut at ASCII white space, which no token crosses, into pre-tokens. A first pass lets each
-task count its own pre-tokens and hand on its FREQUENT_PER_TASK most frequent ones; the
-TABLE_ROWS most frequent of those are encoded once and broadcast as a compact table of token
-lengths. A second pass looks every pre-token up in that table, and else in a bounded cache that the
-worker keeps, whose misses are encoded word by word. Pre-tokens are never shuffled, and the table
-decides only which tier answers: every count is the tokenizer's own.
+Texts are cut at ASCII white space, which no token crosses, into pre-tokens. A first pass lets some
+tasks, SAMPLE_TASKS or so, count their own pre-tokens and hand on the FREQUENT_PER_TASK most frequent
+ones; the driver adds these lists up, and the TABLE_ROWS most frequent of all are encoded once and
+broadcast as a compact table of token lengths. A second pass looks every pre-token up in that table,
+and else in a bounded cache that the worker keeps, whose misses are encoded word by word. Pre-tokens
+are never shuffled, and the table decides only which tier answers: every count is the tokenizer's own.
+
+That holds for a tokenizer that lower-cases, drops white space and splits words as this one does, as
+its file says. Texts are encoded whole for any other, and for sentencepiece models.
 
 Defined results: null counts as the empty text, which has no token. Special strings in a text are
 treated as the tokenizer treats them by default. A text of any length is counted whole.
@@ -13,6 +16,7 @@ treated as the tokenizer treats them by default. A text of any length is counted
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import Counter
@@ -26,6 +30,8 @@ from corvane.llm.common import text_or_empty
 
 TABLE_ROWS = 65_536
 FREQUENT_PER_TASK = 2048
+#: Tasks of the first pass that look at their texts: 64 * 2,048 pre-tokens of up to 32 characters go to the driver.
+SAMPLE_TASKS = 64
 #: The longest pre-token that enters the table, which bounds it: 65,536 * (4 * 32 + 3) bytes, 8.6 MB.
 LONGEST = 32
 CACHE_ROWS = 300_000
@@ -35,6 +41,7 @@ _NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 OVER = 2048
 
 _loaded: dict[str, object] = {}
+_apart: dict[str, bool] = {}
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -54,6 +61,35 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
+#: What a tokenizer's file says if pre_tokens() and Cache may take its texts apart. Fixed values.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
+def cuts_at_space(path: str) -> bool:
+    """Whether a tokenizer is one of which texts can be taken apart at white space."""
+    if not path.endswith(".json"):
+        return False
+    if path not in _apart:
+        with open(path, encoding="utf-8") as f:
+            held = json.load(f)
+        _apart[path] = held.get("normalizer") == _NORMALIZER and held.get("pre_tokenizer") == _PRE_TOKENIZER
+    return _apart[path]
+
+
+def whole_lengths(path: str, texts: list[str]) -> list[int]:
+    """The number of tokens of each text, encoded as it is."""
+    if path.endswith(".model"):
+        if path not in _loaded:
+            import sentencepiece
+
+            _loaded[path] = sentencepiece.SentencePieceProcessor(model_file=path)
+        return [len(_loaded[path].encode(t)) for t in texts]
+    return [len(tokenizer(path).encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def pre_tokens(text: str) -> list[str]:
     """The text cut at white space, where a cut cannot change its tokens."""
     if any(c in text for c in _NOT_SPACE):
@@ -137,11 +173,15 @@ def _frequent(batches: Iterator[pa.RecordBatch], most: int, longest: int) -> Ite
     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["piece", "n"])
 
 
-def frequent(docs: DataFrame, rows: int = TABLE_ROWS, per_task: int = FREQUENT_PER_TASK) -> list[str]:
-    """The most frequent pre-tokens of the whole table, from bounded summaries of each task."""
-    found = docs.select(text_or_empty().alias("text")).mapInArrow(lambda it: _frequent(it, per_task, LONGEST), "piece string, n long")
-    top = found.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(rows)
-    return [r.piece for r in top.select("piece").collect()]
+def frequent(docs: DataFrame, rows: int = TABLE_ROWS, per_task: int = FREQUENT_PER_TASK, tasks: int = SAMPLE_TASKS) -> list[str]:
+    """The most frequent pre-tokens of a bounded sample of the table's partitions, from bounded summaries of each."""
+    every = max(1, docs.rdd.getNumPartitions() // tasks)
+    some = docs.where(F.spark_partition_id() % every == 0).select(text_or_empty().alias("text"))
+    found = some.mapInArrow(lambda it: _frequent(it, per_task, LONGEST), "piece string, n long")
+    counts: Counter = Counter()
+    for piece, n in found.toLocalIterator():
+        counts[piece] += n
+    return [p for p, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:rows]]
 
 
 def pack_table(pieces: list[str], lengths: list[int]) -> bytes:
@@ -158,6 +198,13 @@ def unpack_table(data: bytes) -> dict[str, int]:
 def with_token_counts(docs: DataFrame, path: str | None = None, text: str = "text", out: str = "n_tokens", table_rows: int = TABLE_ROWS) -> DataFrame:
     """docs with a column of the number of tokens of each text."""
     path = path or tokenizer_path()
+    if not cuts_at_space(path):
+
+        @F.arrow_udf("long")
+        def whole(texts: pa.Array) -> pa.Array:
+            return pa.array(whole_lengths(path, texts.to_pylist()), pa.int64())
+
+        return docs.withColumn(out, whole(text_or_empty(text)))
     pieces = frequent(docs.select(F.col(text).alias("text")), table_rows)
     table = pack_table(pieces, list(map(len, encode_each(path, pieces))))
     sent = docs.sparkSession.sparkContext.broadcast(table)

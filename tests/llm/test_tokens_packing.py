@@ -3,6 +3,8 @@ import struct
 import zlib
 from collections import defaultdict
 
+import pytest
+
 from corvane.llm import packing, tokens
 
 
@@ -24,6 +26,27 @@ def test_cache_agrees_with_the_tokenizer_on_odd_strings():
         assert tokens._count(cache, text) == len(ids(text)), text
 
 
+def test_other_tokenizers_are_asked_for_whole_texts(docs, held):
+    import sentencepiece
+
+    path = tokens.tokenizer_path("byte_bpe_50k.json")
+    assert tokens.cuts_at_space(tokens.tokenizer_path()) and not tokens.cuts_at_space(path)
+    want = sorted(len(tokens.tokenizer(path).encode(r[1] or "", add_special_tokens=False).ids) for r in held)
+    assert sorted(r.n_tokens for r in tokens.report(docs, path).collect()) == want
+    path = tokens.tokenizer_path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert sorted(r.n_tokens for r in tokens.report(docs, path).collect()) == sorted(len(model.encode(r[1] or "")) for r in held)
+    with pytest.raises(ValueError, match="white space"):
+        packing.ids_of(path, "a b")
+
+
+def test_counts_do_not_depend_on_the_table(docs, held, monkeypatch):
+    want = sorted(len(ids(r[1])) for r in held)
+    for tasks, rows in ((1, 5), (64, 1)):
+        monkeypatch.setattr(tokens.frequent, "__defaults__", (rows, 3, tasks))
+        assert sorted(r.n_tokens for r in tokens.report(docs).collect()) == want
+
+
 def test_full_cache_starts_anew(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_ROWS", 5)
     cache = tokens.Cache(tokens.tokenizer_path(), len, sum)
