@@ -60,3 +60,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(table: DataFrame) -> None:
+    """Deletes the files of a table that materialize() wrote, once nothing reads it any more."""
+    spark = table.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if f"/{_RUN}/" in path:  # never anything else
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
