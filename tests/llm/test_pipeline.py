@@ -34,14 +34,29 @@ def test_stages(spark, sf, tmp_path):
     assert max(lines.values()) <= 2048 and padding <= 2048 + 0.01 * sum(lines.values())
 
 
-def test_edge_cases_go_through_all_stages(spark, docs, none, sf):
-    for start in (docs, none):
-        rows = start
-        for _, stage in P.STAGES:
-            rows = stage(spark, rows, sf)
-        rows.collect()
+def test_edge_cases_have_their_results(spark, docs, none, held, sf):
+    """Nulls, blank, long and repeated rows, and columns named like ours: what each stage does with them."""
+    rows, columns = docs, docs.columns
+    texts, by_stage = {r[1] or "" for r in held}, []
+    for _, stage in P.STAGES[:-1]:
+        rows = stage(spark, rows, sf)
+        by_stage.append(rows.collect())
+        assert rows.columns == columns
+    clean, exact, near, mixed = by_stage
+    assert len(clean) == len(held)
+    assert sorted(r.text or "" for r in exact) == sorted(texts)
+    largest = {t: max((r[0] for r in held if (r[1] or "") == t), key=lambda x: (x is not None, x)) for t in texts}
+    assert all(r.doc_id == largest[r.text or ""] for r in exact)
+    blank = [r for r in near if not (r.text or "").strip()]
+    assert len(blank) == 1 and len(near) < len(exact) and {str(r) for r in near} <= {str(r) for r in exact}
+    assert {r.doc_id for r in mixed} <= {r.doc_id for r in near} and all(r.fp == "f" for r in mixed)
+    pieces = P.pack_sequences(spark, spark.createDataFrame(mixed, docs.schema), sf).collect()
+    assert sum(p.start == 0 for p in pieces) == len(mixed)
+    for _, stage in P.STAGES:
+        none = stage(spark, none, sf)
+    assert none.collect() == []
 
 
 def test_every_operator_has_a_query():
     assert [n for n in Q.queries() if n != "pipeline"] == sorted((n for n in Q.queries() if n != "pipeline"), key=lambda n: int(n[2:].split("_")[0]))
-    assert len(Q.queries()) == 11
+    assert len(Q.queries()) == 14
