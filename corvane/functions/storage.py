@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +52,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
+_open: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def tables_within() -> Iterator[list[str]]:
+    """Gathers the paths of all tables that are written in the block, for discard()."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open[:] = [x for x in _open if x is not made]
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
@@ -59,13 +74,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
+    for made in _open:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(table: DataFrame) -> None:
-    """Deletes the files of a table that materialize() wrote, once nothing reads it any more."""
-    spark = table.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if f"/{_RUN}/" in path:  # never anything else
+def discard(spark: SparkSession, made: list[str], *but: DataFrame) -> None:
+    """Deletes tables that have served, without those that the tables `but` are read from."""
+    kept = {f.rsplit("/", 1)[1] for df in but for f in (p.rsplit("/", 1)[0] for p in df.inputFiles())}
+    for path in made:
+        if path.rsplit("/", 1)[1] not in kept:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def remove(table: DataFrame) -> None:
+    """Deletes a table that materialize() wrote, once nothing reads it any more."""
+    discard(table.sparkSession, [p.rsplit("/", 1)[0] for p in table.inputFiles()[:1] if f"/{_RUN}/" in p])
