@@ -179,4 +179,4 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, like: tuple[int, int] |
 
     like: a Jaccard likeness of the shingle sets as a fraction (see near_copies), instead of DISTANCE bits.
     """
-    return keep_least(docs, near_copies.classes(docs, shingle, like) if like else classes(docs, shingle))
+    return near_copies.deduplicate(docs, shingle, like) if like else keep_least(docs, classes(docs, shingle))
