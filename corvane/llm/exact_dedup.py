@@ -3,7 +3,7 @@
 A text is cut into chunks of CHUNK bytes. Each chunk gets two polynomial hashes of its 32-bit
 words, modulo two primes below 2**31. Hashes of neighbouring chunks compose: the hash of a whole
 text is the sum of its chunks' hashes, each shifted by the base to the number of words behind it.
-So the chunks of a huge text are hashed one by one in any task, and only 16-byte hashes meet.
+So a huge text is hashed chunk by chunk, where it is read, and only 16-byte hashes meet.
 
 Texts of equal length and equal fingerprints are then compared byte by byte, chunk by chunk:
 chunks of equal hash meet in a partial minimum and maximum, which must agree. A third of all rows

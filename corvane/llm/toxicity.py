@@ -9,8 +9,9 @@ those that it goes with. The posteriors of that model are the labels on which a
 the voters' hits is trained, together with one virtual text for each voter, which carries the label
 model's estimate of that voter. It scores every whole text.
 
-All fitting is on a bounded sample of labelled rows: at most TRAIN_ROWS of each label, of at most
-TRAIN_BYTES bytes. Held-out rows are never read for it.
+All fitting is on a bounded sample of labelled rows: TRAIN_ROWS or so of each label and at most three
+times as many in all, of at most TRAIN_BYTES bytes, which makes up to 150 MB on the driver. Held-out
+rows are never read for it.
 
 Defined results: null counts as the empty text, which has no hit and gets the score of a text
 without hits. Without labels the lexicon and the patterns vote alone. Rows of equal texts get equal
