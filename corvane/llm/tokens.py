@@ -179,7 +179,8 @@ def frequent(docs: DataFrame, rows: int = TABLE_ROWS, per_task: int = FREQUENT_P
     some = docs.where(F.spark_partition_id() % every == 0).select(text_or_empty().alias("text"))
     found = some.mapInArrow(lambda it: _frequent(it, per_task, LONGEST), "piece string, n long")
     counts: Counter = Counter()
-    for piece, n in found.toLocalIterator():
+    lists = found.toArrow()  # at most per_task rows of each of some `tasks` tasks
+    for piece, n in zip(lists["piece"].to_pylist(), lists["n"].to_pylist(), strict=True):
         counts[piece] += n
     return [p for p, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:rows]]
 
