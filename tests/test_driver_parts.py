@@ -98,3 +98,17 @@ def test_graph_parts(spark):
     assert tree[1] is None and all(1 <= p < k for k, p in tree.items() if k > 1)
     plans = spark.createDataFrame([(1, 1, "x", "x", "y"), (1, 2, "y", "y", "y"), (2, 1, "x", "x", "z"), (2, 2, "y", "z", "q")], "plan int, no int, need string, gone string, came string")
     assert sorted(tuple(r) for r in inline.replay(plans).collect()) == [(1, True, "free,y"), (2, False, "free,z")]
+
+
+def test_station_distance_within_steps(spark):
+    """A line of places, the station at its start: what lies beyond the steps, or on no list of places, has no distance or no row."""
+    line = [(f"p{i}", f"p{i + 1}") for i in range(20)]
+    edges = spark.createDataFrame([*line, *[(b, a) for a, b in line]], "src string, dst string")
+    places = spark.createDataFrame([(f"p{i}",) for i in range(20)], "loc string")  # p20 is none of them
+    stations, robots = places.where("loc = 'p0'"), spark.createDataFrame([("r",), ("idle",)], "robot string")
+    reach = places.select(F.lit("r").alias("robot"), "loc")
+    far = graph.UNREACHED
+    got = {(x.robot, x.loc): x.distance for x in graph.station_distance(edges, stations, reach, robots, places, most=16).collect()}
+    assert got == {**{("r", f"p{i}"): i if i <= 16 else far for i in range(20)}, **{("idle", f"p{i}"): far if i else 0 for i in range(20)}}
+    got = {x.loc: x.distance for x in graph.station_distance(edges, stations, reach).collect()}
+    assert got == {f"p{i}": i for i in range(21)}
