@@ -1,9 +1,10 @@
 """Groundings of action schemas over tables of typed objects: a multiway join that static facts prune.
 
 An action has typed parameters and static preconditions, relations between some of them. The
-product of the pools is never formed: the join begins with the relation that has the fewest rows and
-goes on with the one that shares most bound parameters, the smaller of equals, so that every step
-is an equi-join as long as any relation is connected to what is bound. Each relation is first
+product of the pools is never formed: every step is an equi-join as long as any relation is connected
+to what is bound. Of the orders that allow it, the one is taken whose steps make the fewest rows, by the
+relations' rows and different values: two relations that share a parameter of few values (places)
+would make the square of their rows, if nothing else tied them first. Each relation is first
 reduced to objects of its parameters' pools. A parameter that no relation names comes last, when
 everything else is pruned; its product with the rest is then part of the result.
 """
@@ -43,8 +44,14 @@ def _relation(facts: DataFrame, args: tuple[str, ...], types: dict[str, str], po
     return named
 
 
-def join_order(static: tuple[tuple[str, tuple[str, ...]], ...], rows: dict[str, int]) -> list[int]:
-    """The places of the relations in the order of their joins."""
+def join_order(static: tuple[tuple[str, tuple[str, ...]], ...], rows: dict[str, int], values: dict[str, tuple[int, ...]] | None = None) -> list[int]:
+    """The places of the relations in the order of their joins. values: how many different ones each column of a relation has.
+
+    Without values: from the smallest relation on, what shares most bound parameters.
+    """
+    if values:
+        starts = [_cheapest(static, rows, values, i) for i in range(len(static))]
+        return min(starts, key=lambda x: (x[0], x[1]))[1] if starts else []
     left, bound, order = list(range(len(static))), set(), []
     while left:
         shared = {i: len(bound & set(static[i][1])) for i in left}
@@ -56,10 +63,39 @@ def join_order(static: tuple[tuple[str, tuple[str, ...]], ...], rows: dict[str,
     return order
 
 
+def _cheapest(static: tuple[tuple[str, tuple[str, ...]], ...], rows: dict[str, int], values: dict[str, tuple[int, ...]], start: int) -> tuple[float, list[int]]:
+    """(rows of all steps, order) from a relation on, each time with the connected one of which the fewest rows are expected."""
+    of = lambda i: dict(zip(static[i][1], values[static[i][0]], strict=True))
+    size, bound, order, left = float(rows[static[start][0]]), of(start), [start], [i for i in range(len(static)) if i != start]
+    total = size
+    while left:
+        expected = {}
+        for i in left:
+            n, own = size * rows[static[i][0]], of(i)
+            for a in own.keys() & bound.keys():
+                n /= max(1, own[a], bound[a])
+            expected[i] = min(n, size) if own.keys() <= bound.keys() else n
+        best = min(left, key=lambda i: (not (bound.keys() & set(static[i][1])), expected[i], i))
+        size = expected[best]
+        total += size
+        for a, n in of(best).items():
+            bound[a] = min(bound.get(a, n), n)
+        left.remove(best)
+        order.append(best)
+    return total, order
+
+
+def _measured(facts: DataFrame) -> tuple[int, tuple[int, ...]]:
+    """Rows of a relation, and some number of different values of each column."""
+    seen = facts.agg(F.count("*"), *[F.approx_count_distinct(F.col(c)) for c in facts.columns]).first()
+    return seen[0], tuple(seen[1:])
+
+
 def ground(schema: Schema, pools: dict[str, DataFrame], facts: dict[str, DataFrame], rows: dict[str, int] | None = None) -> DataFrame:
-    """One row for each grounding, a column for each parameter. rows: sizes of the relations, counted if not given."""
+    """One row for each grounding, a column for each parameter. rows: sizes of the relations, counted if not given, and their values too."""
     types = dict(schema.params)
-    rows = rows or {r: facts[r].count() for r in {r for r, _ in schema.static}}
+    seen = {} if rows else {r: _measured(facts[r]) for r in {r for r, _ in schema.static}}
+    rows, values = rows or {r: n for r, (n, _) in seen.items()}, {r: v for r, (_, v) in seen.items()}
     bound: DataFrame | None = None
 
     def distinct_agents(df: DataFrame, new: set[str]) -> DataFrame:
@@ -68,7 +104,7 @@ def ground(schema: Schema, pools: dict[str, DataFrame], facts: dict[str, DataFra
                 df = df.where(F.col(a) != F.col(b))
         return df
 
-    for i in join_order(schema.static, rows):
+    for i in join_order(schema.static, rows, values):
         name, args = schema.static[i]
         relation = _relation(facts[name], args, types, pools)
         had = set(bound.columns) if bound is not None else set()

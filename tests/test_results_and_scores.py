@@ -130,3 +130,18 @@ def test_groundings_are_those_of_the_product(spark):
                 want.append(combo)
         assert sorted(tuple(x) for x in grounding.ground(schema, pools, tables).collect()) == sorted(want), schema.name
     assert grounding.join_order(schemas[0].static, {"connected": 9, "reach": 5}) == [1, 2, 0]
+
+
+def test_groundings_begin_where_few_rows_meet(spark):
+    """Robots share few places: two of them must be tied by an item before their places meet."""
+    static = (("reach", ("g", "l")), ("reach", ("t", "l")), ("carry", ("g", "i")), ("carry", ("t", "i")))
+    order = grounding.join_order(static, {"reach": 3000, "carry": 20000}, {"reach": (600, 25), "carry": (600, 10000)})
+    assert set(order[:2]) == {2, 3} and sorted(order) == [0, 1, 2, 3]
+    assert grounding.join_order((), {}, {"x": (1,)}) == []
+    # 600 robots at one place: 359,400 pairs of them, 600 of which share an item
+    robots = spark.range(600).select(F.col("id").alias("o"))
+    facts = {"reach": robots.select("o", F.lit(0).alias("p")), "carry": robots.select("o", F.expr("o div 2").alias("c"))}
+    pools = {"robot": robots, "place": spark.createDataFrame([(0,)], "o int"), "item": robots}
+    schema = grounding.Schema("Hand", (("g", "robot"), ("t", "robot"), ("i", "item"), ("l", "place")), static, ("g", "t"))
+    got = grounding.ground(schema, pools, facts)
+    assert sorted(tuple(x) for x in got.collect()) == sorted((i, i ^ 1, i // 2, 0) for i in range(600))
