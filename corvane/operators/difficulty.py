@@ -2,53 +2,86 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.functions.ranking import midrank
+from corvane.functions.storage import arrow_batches, materialize
 from corvane.operators import scoring
 
+BATCH = 256  # records that a Python worker holds at a time
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def sums_before(lengths: pa.Array) -> pa.Array:
+    """For each element of a row's array the sum of those before it; a fold in SQL copies what it has at every step."""
+    ends = np.concatenate([[0], np.cumsum(lengths.flatten().to_numpy(zero_copy_only=False), dtype=np.int64)])
+    at = np.concatenate([[0], np.cumsum(lengths.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    own = ends[:-1] - np.repeat(ends[at[:-1]], np.diff(at))
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(own, pa.int32()))
+
 
 def opening_spans(records: DataFrame, key: str, xml: str) -> DataFrame:
     """(key, begin, end) of every opening tag, in characters, end exclusive."""
     pattern = r"<[^/!?>][^>]*>"
     tags = F.regexp_extract_all(F.col(xml), F.lit(pattern), F.lit(0))
-    steps = F.zip_with(F.slice(F.split(F.col(xml), pattern, -1), 1, F.size(tags)), tags, lambda g, t: F.struct(F.length(g).alias("g"), F.length(t).alias("t")))
-    none = F.array().cast("array<struct<begin: int, end: int>>")
-
-    def add(acc, x):
-        begin = acc["at"] + x["g"]
-        span = F.struct(begin.alias("begin"), (begin + x["t"]).alias("end"))
-        return F.struct((begin + x["t"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    found = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
-    return records.select(key, F.explode(found).alias("s")).select(key, "s.begin", "s.end")
+    steps = records.select(key, F.transform(tags, F.length).alias("t"), F.transform(F.split(F.col(xml), pattern, -1), F.length).alias("g"))
+    steps = steps.select(key, "t", F.zip_with(F.slice("g", 1, F.size("t")), "t", lambda g, t: g + t).alias("s"), "g")
+    begins = steps.select(key, F.explode(F.arrays_zip("t", F.slice("g", 1, F.size("t")).alias("g"), sums_before("s").alias("b"))).alias("x"))
+    begin = F.col("x.b") + F.col("x.g")
+    return begins.select(key, begin.alias("begin"), (begin + F.col("x.t")).alias("end"))
 
 
 def in_spans(tokens: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     """tokens (key, pos, char_start, char_end, ...) with in_tag: whether a span overlaps the token.
 
-    An equi-join on the record with a test; a token stays one row however many spans it meets.
+    One sort of the record's tokens by their ends and spans by their beginnings: of the spans that begin before
+    a token's end, the farthest end must lie behind its start. No token meets the spans one by one.
     """
-    s = spans.select(F.col(key).alias("_k"), F.col("begin").alias("_b"), F.col("end").alias("_e"))
-    hit = tokens.join(s, (F.col(key) == F.col("_k")) & (F.col("char_start") < F.col("_e")) & (F.col("char_end") > F.col("_b")), "left_semi")
-    marks = hit.select(F.col(key).alias("_k"), F.col("pos").alias("_p")).withColumn("_in", F.lit(True))
-    return tokens.join(marks, (F.col(key) == F.col("_k")) & (F.col("pos") == F.col("_p")), "left").withColumn("in_tag", F.coalesce("_in", F.lit(False))).drop("_k", "_p", "_in")
+    line = tokens.select(key, F.col("char_end").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("_end"), F.struct("*").alias("_t"))
+    s = spans.select(key, F.col("begin").alias("_at"), F.lit(1).alias("_kind"), F.col("end").cast("long").alias("_end"))
+    farthest = F.max("_end").over(Window.partitionBy(key).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    seen = line.unionByName(s, allowMissingColumns=True).withColumn("_far", farthest).where("_kind = 0")
+    hit = F.col(f"_t.{key}").isNotNull() & (F.col("_far") > F.col("_t.char_start"))
+    return seen.select("_t.*", F.coalesce(hit, F.lit(False)).alias("in_tag"))
 
 
 def semantic_difficulty(tokens: DataFrame, spans: DataFrame, key: str, mode: str = "pca") -> DataFrame:
     """(key, nll, error, difficulty) from scored tokens (token_id, nll, top1_ok).
 
     Tokens of opening tags are weighted by how rare they are over the records; the weighted loss and
-    the weighted share of wrong first guesses are ranked and fused.
+    the weighted share of wrong first guesses are ranked and fused. The tokens are read once: a record's
+    tokens of one id have one weight, so their sums are what is kept and weighted.
     """
-    marked = in_spans(tokens, spans, key)
-    n = marked.select(key).distinct().count()
-    idf = marked.groupBy("token_id").agg(F.countDistinct(key).alias("_df")).withColumn("_idf", F.log(F.lit(n + 1.0) / (F.col("_df") + 1))).drop("_df")
-    w = marked.join(idf, "token_id").withColumn("_wrong", 1.0 - F.col("top1_ok").cast("double"))
-    loss = scoring.weighted_mean(w, key, "nll", "_idf", "in_tag").withColumnRenamed("score", "nll")
-    wrong = scoring.weighted_mean(w, key, "_wrong", "_idf", "in_tag").withColumnRenamed("score", "error")
-    return scoring.fused_midranks(loss.join(wrong, key), ["nll", "error"], key, mode, "difficulty").select(key, "nll", "error", "difficulty")
+    wrong = 1.0 - F.col("top1_ok").cast("double")
+    marked = in_spans(tokens, spans, key).select(key, "token_id", "nll", wrong.alias("error"), "in_tag")
+    sums = [F.count_if("in_tag").alias("tag_n"), F.count("*").alias("all_n")]
+    for c in ("nll", "error"):
+        sums += [F.sum(F.when(F.col("in_tag"), F.col(c))).alias(f"tag_{c}"), F.sum(c).alias(f"all_{c}")]
+    with arrow_batches(tokens.sparkSession, BATCH):
+        held = materialize(marked.groupBy(key, "token_id").agg(*sums), "token-sums")
+    n = held.select(key).distinct().count()
+    idf = held.groupBy("token_id").agg(F.count(key).alias("_df")).select("token_id", F.log(F.lit(n + 1.0) / (F.col("_df") + 1)).alias("_idf"))
+    scores = materialize(_weighted_means(held.join(idf, "token_id"), key, "_idf", ["nll", "error"]), "scores")
+    return scoring.fused_midranks(scores, ["nll", "error"], key, mode, "difficulty").select(key, "nll", "error", "difficulty")
+
+
+def _weighted_means(held: DataFrame, key: str, weight: str, values: list[str]) -> DataFrame:
+    """(key, values): scoring.weighted_mean of each value, from sums and numbers of the target's tokens (tag_) and of all (all_)."""
+    sums = []
+    for side in ("tag", "all"):
+        sums += [F.sum(f"{side}_n").alias(f"{side}_n"), F.sum(F.col(f"{side}_n") * F.col(weight)).alias(f"{side}_w")]
+        for c in values:
+            sums += [F.sum(f"{side}_{c}").alias(f"{side}_{c}"), F.sum(F.col(f"{side}_{c}") * F.col(weight)).alias(f"{side}_w_{c}")]
+
+    def mean(side: str, c: str) -> Column:
+        weighted = F.col(f"{side}_w_{c}") / F.greatest(f"{side}_w", F.lit(1.0))
+        return F.when(F.col(f"{side}_w") > 0, weighted).otherwise(F.col(f"{side}_{c}") / F.greatest(F.col(f"{side}_n").cast("double"), F.lit(1.0)))
+
+    return held.groupBy(key).agg(*sums).select(key, *[F.when(F.col("tag_n") > 0, mean("tag", c)).otherwise(mean("all", c)).alias(c) for c in values])
 
 
 def two_view_utility(train: DataFrame, val: DataFrame, key: str, vector: str, features: list[str], k: int, mode: str = "pca") -> DataFrame:

@@ -112,3 +112,18 @@ def test_station_distance_within_steps(spark):
     assert got == {**{("r", f"p{i}"): i if i <= 16 else far for i in range(20)}, **{("idle", f"p{i}"): far if i else 0 for i in range(20)}}
     got = {x.loc: x.distance for x in graph.station_distance(edges, stations, reach).collect()}
     assert got == {f"p{i}": i for i in range(21)}
+
+
+def test_tokens_meet_spans_in_one_sort(spark):
+    tokens = [(k, i, 3 * i, 3 * i + 2 + i % 3) for k in ("a", "b", None) for i in range(30)]
+    spans = [("a", 1, 3), ("a", 2, 40), ("a", 50, 51), ("b", 89, 95), ("c", 0, 9), (None, 0, 90)]
+    t = spark.createDataFrame(tokens, "k string, pos int, char_start int, char_end int")
+    got = difficulty.in_spans(t, spark.createDataFrame(spans, "k string, begin int, end int"), "k")
+    assert {(r.k, r.pos, r.in_tag) for r in got.collect()} == {(k, p, k is not None and any(k == s and a < e and z > b for s, b, e in spans)) for k, p, a, z in tokens}
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()  # tokens times spans of a long page
+    rows = [(0, [3, 1, 2]), (1, []), (2, None), (3, [5]), (4, [1] * 9)]
+    sums = spark.createDataFrame(rows, "i int, n array<int>").coalesce(1).select("i", difficulty.sums_before("n").alias("s"))
+    assert {r.i: r.s or [] for r in sums.collect()} == {0: [0, 3, 4], 1: [], 2: [], 3: [0], 4: list(range(9))}
+    xml = 'é <a b="1">x</a><c/><!-- n --><d>'
+    found = difficulty.opening_spans(spark.createDataFrame([(1, xml), (2, "none"), (3, None)], "k int, x string"), "k", "x").collect()
+    assert [(r.k, xml[r.begin : r.end]) for r in sorted(found)] == [(1, '<a b="1">'), (1, "<c/>"), (1, "<d>")]
