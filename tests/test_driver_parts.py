@@ -127,3 +127,19 @@ def test_tokens_meet_spans_in_one_sort(spark):
     xml = 'é <a b="1">x</a><c/><!-- n --><d>'
     found = difficulty.opening_spans(spark.createDataFrame([(1, xml), (2, "none"), (3, None)], "k int, x string"), "k", "x").collect()
     assert [(r.k, xml[r.begin : r.end]) for r in sorted(found)] == [(1, '<a b="1">'), (1, "<c/>"), (1, "<d>")]
+
+
+def test_shortest_paths_write_each_pair_once(spark, monkeypatch):
+    ring = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("f", "a"), ("f", "g"), ("x", "x")]
+    written, write = [], graph.materialize
+
+    def noted(df, name):
+        out = write(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(graph, "materialize", noted)
+    edges = spark.createDataFrame([*ring, *[(b, a) for a, b in ring]], "src string, dst string")
+    got = {(r.src, r.dst): (r.n, r.path) for r in graph.shortest(edges).collect()}
+    assert len(got) == 42 and got["a", "d"] == (3, "a>b>c>d") and got["g", "c"] == (4, "g>f>a>b>c") and got["e", "b"] == (3, "e>d>c>b")
+    assert sum(n for name, n in written if name != "links") == len(got)
