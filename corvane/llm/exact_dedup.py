@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import build_filter, carried, materialize, one_row, text_or_empty, with_filter
+from corvane.llm.common import build_filter, carried, counted, materialize, one_row, text_or_empty, with_filter
 
 CHUNK = 65_536
 #: (modulus, base) of the two hashes.
@@ -166,17 +166,17 @@ def differing(docs: DataFrame, repeated: DataFrame, pieces: DataFrame, n: int, h
         .where("least != most")
         .select("c1", "c2")
     )
-    unequal = materialize(unequal, "unequal-chunks")
+    unequal, n_unequal = counted(unequal, "unequal-chunks")
     of = repeated.select("doc_id", "n_bytes", "row_hash", "h1", "h2")
     on = F.expr("doc_id <=> _d and n_bytes = _n and row_hash = _r")
     own = pieces.select(F.col("doc_id").alias("_d"), F.col("n_bytes").alias("_n"), F.col("row_hash").alias("_r"), "no", "c1", "c2")
     long = own.where(F.col("_n") > chunk).join(of, on).groupBy(*FINGERPRINT, "no")
     split = long.agg(F.min(F.struct("c1", "c2")).alias("a"), F.max(F.struct("c1", "c2")).alias("b")).where("a != b").select(*FINGERPRINT)
     bad = split
-    if not unequal.isEmpty():
+    if n_unequal:
         bad = bad.union(own.join(unequal, ["c1", "c2"], "left_semi").join(of, on).select(*FINGERPRINT))
-    bad = materialize(bad.distinct(), "differing")
-    return None if bad.isEmpty() else bad
+    bad, n_bad = counted(bad.distinct(), "differing")
+    return bad if n_bad else None
 
 
 def _join(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -204,9 +204,8 @@ def deduplicate(docs: DataFrame, hashes=HASHES, chunk: int = CHUNK) -> DataFrame
     they meet in a partial maximum.
     """
     rows, groups = classes(docs, hashes, chunk)
-    several = materialize(_join(rows, groups.where("group_size > 1")).select(
+    several, n = counted(_join(rows, groups.where("group_size > 1")).select(
         "doc_id", "n_bytes", "row_hash", (F.struct("doc_id", "row_hash") == F.col("_keep")).alias("stays")), "copies")
-    n = several.count()
     if not n:
         return docs
     table, width = build_filter(F.struct("n_bytes", "row_hash"), several, n)

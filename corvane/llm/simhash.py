@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import near_copies
-from corvane.llm.common import keep_least, materialize, text_or_empty
+from corvane.llm.common import counted, keep_least, materialize, text_or_empty
 from corvane.llm.components import components
 
 DISTANCE = 4
@@ -179,4 +179,6 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, like: tuple[int, int] |
 
     like: a Jaccard likeness of the shingle sets as a fraction (see near_copies), instead of DISTANCE bits.
     """
-    return near_copies.deduplicate(docs, shingle, like) if like else keep_least(docs, classes(docs, shingle))
+    if like:
+        return near_copies.deduplicate(docs, shingle, like)
+    return keep_least(docs, *counted(classes(docs, shingle).where("n > 1"), "near-copies"))

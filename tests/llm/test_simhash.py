@@ -104,3 +104,15 @@ def test_deduplicate(docs, held):
 
 def test_empty(none):
     assert S.report(none).collect() == [] and S.deduplicate(none).collect() == []
+
+
+def test_components_run_three_plans_a_round(spark):
+    """The driver keeps every plan that has run: edges are counted as they are written, and labels go with them."""
+    chain = [(k, k + 1) for k in range(64)]
+    ran = lambda: spark._jsparkSession.sharedState().statusStore().executionsCount()
+    before, read = ran(), spark.createDataFrame(chain, "a long, b long")
+    out = components(read)
+    made = ran() - before
+    assert made <= 1 + 3 * 32  # a chain of 64 links takes 32 rounds, which were 163 plans
+    assert {r.root for r in out.collect()} == {0} and out.count() == 65
+    assert components(spark.createDataFrame([(3, 3)], "a long, b long")).collect() == []
