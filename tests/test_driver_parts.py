@@ -1,13 +1,14 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corvane import __main__ as cli
-from corvane.functions import ranking
+from corvane.functions import ranking, storage
 from corvane.functions import text as T
 from corvane.operators import difficulty, graph, metrics, scoring, trees
-from corvane.plans import inline
+from corvane.plans import contract, inline
 from corvane.sources import jsonl
 
 
@@ -143,3 +144,32 @@ def test_shortest_paths_write_each_pair_once(spark, monkeypatch):
     got = {(r.src, r.dst): (r.n, r.path) for r in graph.shortest(edges).collect()}
     assert len(got) == 42 and got["a", "d"] == (3, "a>b>c>d") and got["g", "c"] == (4, "g>f>a>b>c") and got["e", "b"] == (3, "e>d>c>b")
     assert sum(n for name, n in written if name != "links") == len(got)
+
+
+def test_shortest_paths_of_the_query_write_no_pair(spark, sf, monkeypatch):
+    written, write = [], storage.materialize
+
+    def noted(df, name):
+        written.append(name)
+        return write(df, name)
+
+    monkeypatch.setattr(storage, "materialize", noted)
+    monkeypatch.setattr(graph, "materialize", noted)
+    assert contract.queries()["bfs_shortest"](spark, sf).count() and written == ["links"]
+
+
+def test_searches_from_each_place_find_the_same_paths(spark, monkeypatch):
+    """Ways of one direction, ties by name (s10 before s1 where a sign follows), parts without a way, nulls, loops, repeated rows; batches of a few rows."""
+    r = np.random.default_rng(5)
+    rows = [(f"s{a}", f"s{b}") for a, b in r.integers(0, 40, (70, 2)).tolist()] + [("a", "s1"), ("a", "s10"), ("s1", "é"), ("s10", "é"), ("x", "y"), ("é", None), (None, "a"), ("a", "s1")]
+    edges = lambda more=(): spark.createDataFrame([*rows, *more], "src string, dst string")
+    found = lambda df: sorted(tuple(x) for x in df.select("src", "dst", "n", "path").collect())
+    want = found(graph.shortest(edges()))
+    assert len(want) > 300 and ("a", "é", 2, "a>s10>é") in want
+    monkeypatch.setattr(graph, "ROWS", 3)
+    got = graph.shortest_from_each(edges())
+    assert found(got) == want and "MapInArrow" in got._jdf.queryExecution().toString()
+    larger = graph.shortest_from_each(edges(), most_bytes=100)
+    assert found(larger) == want and "MapInArrow" not in larger._jdf.queryExecution().toString()
+    assert found(graph.shortest_from_each(edges([("x>", "x")]))) == sorted([*want, ("x>", "x", 1, "x>>x"), ("x>", "y", 2, "x>>x>y")])
+    assert found(graph.shortest_from_each(edges().limit(0))) == []
